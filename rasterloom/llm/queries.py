@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing
+from . import bpe, mixing, ngram_join
 from .common import table
 
 
@@ -67,10 +67,15 @@ def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op8_source_mixing": op8_source_mixing,
         "op9_bpe_roundtrip": op9_bpe_roundtrip,
+        "op10_ngram_join": op10_ngram_join,
     }
 
 
