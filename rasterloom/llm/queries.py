@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, ngram_join
+from . import bpe, line_dedup, mixing, ngram_join
 from .common import table
 
 
@@ -17,6 +17,15 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines (non-blank, before), n_removed, kept_sha256 of the text that stays."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(" \t\r\x0b\x0c")) != "")).cast("long")
+    out = line_dedup.dedup_lines(docs.withColumn("n_lines", F.coalesce(lines, F.lit(0).cast("long"))), dropped="n_removed")
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return out.select("doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -73,6 +82,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_line_dedup": op3_line_dedup,
         "op8_source_mixing": op8_source_mixing,
         "op9_bpe_roundtrip": op9_bpe_roundtrip,
         "op10_ngram_join": op10_ngram_join,
