@@ -114,7 +114,7 @@ def _telling(rows: list[np.ndarray], y: np.ndarray, false_slots: float) -> np.nd
 
 
 def fit(
-    texts: list[str | None], labels: list[int], *, epochs: int = 24, rate: float = 0.4, l1: float = 2e-5, cf: float = 2.0, false_slots: float = 20.0,
+    texts: list[str | None], labels: list[int], *, epochs: int = 24, rate: float = 0.4, l1: float = 1e-4, cf: float = 2.0, false_slots: float = 20.0,
     groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, seed: int = 0,
 ) -> Model:
     """Adagrad with a proximal l1 step over shuffled mini-batches; the same rows give the same model."""
@@ -157,7 +157,7 @@ def fit(
             step = rate / np.sqrt(history[slots])
             moved = model.weights[slots] - step * total
             model.weights[slots] = np.sign(moved) * np.maximum(np.abs(moved) - step * l1, 0)
-            g = slope.sum() + 0.02 * model.bias  # a small bias lets a single telling word decide
+            g = slope.sum() + 0.005 * model.bias  # a small bias lets a single telling word decide
             bias_history += g * g
             model.bias -= rate * g / np.sqrt(bias_history)
     return model
