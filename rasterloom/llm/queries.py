@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, ngram_join, toxicity
-from .common import table
+from . import bpe, line_dedup, mixing, ngram_join, simhash, toxicity
+from .common import table, write_table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -34,6 +34,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = write_table(simhash.compare_with_edits(table(spark, sf_dir, "documents")))
+    near = simhash.near_classes(rows.select("doc_id", "fingerprint"))
+    return rows.join(near, "fingerprint").select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_id")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -92,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op3_line_dedup": op3_line_dedup,
+        "op6_simhash": op6_simhash,
         "op8_source_mixing": op8_source_mixing,
         "op9_bpe_roundtrip": op9_bpe_roundtrip,
         "op10_ngram_join": op10_ngram_join,
