@@ -35,10 +35,12 @@ from pyspark.sql import functions as F
 
 from .lexicon import Transducer, compile_transducer
 
-#: Words whose ids one worker keeps at hand; the table starts afresh when full.
-MEMO_WORDS = 400_000
+#: Words, and as many segments, in a generation of what one worker keeps at hand.
+MEMO_WORDS = 250_000
 #: Distinct words counted in one worker before it hands on what it has.
-COUNTED_WORDS = 200_000
+COUNTED_WORDS = 300_000
+#: The rank of pairs that don't merge.
+NEVER = 1 << 30
 
 # White space of the pre-tokenizer (Unicode White_Space) and its pattern.
 _S = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -65,10 +67,13 @@ class Vocabulary:
         vocab = spec["model"]["vocab"]
         by_bytes = {raw(t): i for t, i in vocab.items()}
         self.byte_ids = [by_bytes.get(bytes([b])) for b in range(256)]
-        self.joins: dict[tuple[int, int], tuple[int, int]] = {}
+        #: The rank of a pair of ids, and the id that a rank makes.
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.joins[vocab[left], vocab[right]] = (rank, vocab[left + right])
+            self.ranks[vocab[left], vocab[right]] = rank
+            self.made.append(vocab[left + right])
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.pattern = regex.compile(_PATTERN)
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
@@ -82,37 +87,40 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Ids of one word: join the pair of lowest rank, leftmost first, until none is left."""
-        ids = [self.byte_ids[b] for b in word]
+        byte_ids, ranks = self.byte_ids, self.ranks
+        ids = [byte_ids[b] for b in word]
         if len(ids) > 64:
             return self._merge_long(ids)
-        joins = self.joins
-        while len(ids) > 1:
-            best = min(((j[0], k) for k in range(len(ids) - 1) if (j := joins.get((ids[k], ids[k + 1])))), default=None)
-            if best is None:
-                break
-            k = best[1]
-            ids[k : k + 2] = [joins[ids[k], ids[k + 1]][1]]
+        row = [ranks.get(pair, NEVER) for pair in zip(ids, ids[1:])]
+        while row and (best := min(row)) != NEVER:
+            k = row.index(best)
+            ids[k] = new = self.made[best]
+            del ids[k + 1], row[k]
+            if k < len(row):
+                row[k] = ranks.get((new, ids[k + 1]), NEVER)
+            if k:
+                row[k - 1] = ranks.get((ids[k - 1], new), NEVER)
         return tuple(ids)
 
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
         """The same with a heap and links, for words of thousands of bytes."""
         import heapq
 
-        n, joins = len(ids), self.joins
+        n, ranks = len(ids), self.ranks
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(j[0], k, ids[k], ids[k + 1]) for k in range(n - 1) if (j := joins.get((ids[k], ids[k + 1])))]
+        heap = [(r, k, *pair) for k, pair in enumerate(zip(ids, ids[1:])) if (r := ranks.get(pair)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, k, left, right = heapq.heappop(heap)
+            rank, k, left, right = heapq.heappop(heap)
             m = after[k] if alive[k] else n
             if not alive[k] or m >= n or ids[k] != left or ids[m] != right:
                 continue
-            ids[k], alive[m], after[k] = joins[left, right][1], False, after[m]
+            ids[k], alive[m], after[k] = self.made[rank], False, after[m]
             if after[k] < n:
                 before[after[k]] = k
             for a, b in ((before[k], k), (k, after[k])):
-                if a >= 0 and b < n and (j := joins.get((ids[a], ids[b]))):
-                    heapq.heappush(heap, (j[0], a, ids[a], ids[b]))
+                if a >= 0 and b < n and (r := ranks.get((ids[a], ids[b]))) is not None:
+                    heapq.heappush(heap, (r, a, ids[a], ids[b]))
         return tuple(i for i, live in zip(ids, alive, strict=True) if live)
 
     def parts(self, text: str) -> list[str]:
@@ -130,28 +138,62 @@ def _transducer(name: str) -> Transducer:
     return Transducer(SparkFiles.get(name))
 
 
-class _Memo(dict):
-    """Word -> ids; what is missing comes from the transducer, else from merging."""
+class _Generations(dict):
+    """A memo of bounded size: when it is full it becomes the old generation, from which what is used again returns."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Transducer) -> None:
+    def __init__(self) -> None:
         super().__init__()
-        self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.old: dict = {}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        raw = word.encode()
-        ids = self.lexicon.lookup(raw)
+    def __missing__(self, key: str) -> tuple[int, ...]:
+        ids = self.old.get(key)
         if ids is None:
-            ids = self.vocabulary.merge(raw)
+            ids = self.make(key)
         if len(self) >= MEMO_WORDS:
+            self.old = dict(self)
             self.clear()
-        if len(word) <= 64:
-            self[word] = ids
+        if len(key) <= 64:
+            self[key] = ids
         return ids
 
 
+class _Memo(_Generations):
+    """Pre-token -> ids, from the transducer, else by merging."""
+
+    def __init__(self, vocabulary: Vocabulary, lexicon: Transducer) -> None:
+        super().__init__()
+        self.vocabulary, self.lexicon = vocabulary, lexicon
+
+    def make(self, word: str) -> tuple[int, ...]:
+        raw = word.encode()
+        ids = self.lexicon.lookup(raw)
+        return self.vocabulary.merge(raw) if ids is None else ids
+
+
+class _Segments(_Generations):
+    """What stands after a single space, up to the next -> ids of the space and it."""
+
+    def __init__(self, memo: _Memo) -> None:
+        super().__init__()
+        self.memo, self.pattern = memo, memo.vocabulary.pattern
+
+    def whole(self, text: str) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(map(self.memo.__getitem__, self.pattern.findall(text))))
+
+    def make(self, segment: str) -> tuple[int, ...]:
+        return self.whole(" " + segment)
+
+    def encode(self, text: str) -> chain | tuple[int, ...]:
+        """A space between two other characters always begins a pre-token, so text splits there; runs of spaces do not."""
+        if "  " in text:
+            return self.whole(text)
+        first, *rest = text.split(" ")
+        return chain(self.whole(first), chain.from_iterable(map(self.__getitem__, rest)))
+
+
 @lru_cache(maxsize=2)
-def _memo(spec: str, name: str) -> _Memo:
-    return _Memo(_vocabulary(spec), _transducer(name))
+def _segments(spec: str, name: str) -> _Segments:
+    return _Segments(_Memo(_vocabulary(spec), _transducer(name)))
 
 
 def _texts(column: pa.Array) -> Iterator[str]:
@@ -170,18 +212,27 @@ def count_words(docs: DataFrame, spec: str, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, seen = _vocabulary(shared.value), Counter()
+        vocabulary, segments, others = _vocabulary(shared.value), Counter(), Counter()
 
         def hand_on() -> pa.RecordBatch:
-            out = pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
-            seen.clear()
+            for segment, n in segments.items():
+                for word in vocabulary.pattern.findall(" " + segment):
+                    others[word] += n
+            out = pa.record_batch([pa.array(others.keys(), pa.string()), pa.array(others.values(), pa.int64())], ["word", "n"])
+            segments.clear()
+            others.clear()
             return out
 
         for batch in batches:
             for t in _texts(batch.column(0)):
                 for part in vocabulary.parts(t)[::2]:
-                    seen.update(vocabulary.pattern.findall(part))
-                if len(seen) > COUNTED_WORDS:
+                    if "  " in part:
+                        others.update(vocabulary.pattern.findall(part))
+                    else:
+                        first, *rest = part.split(" ")
+                        others.update(vocabulary.pattern.findall(first))
+                        segments.update(rest)
+                if len(segments) + len(others) > COUNTED_WORDS:
                     yield hand_on()
         yield hand_on()
 
@@ -211,18 +262,17 @@ def encode(docs: DataFrame, tokenizer_path: str, *, text: str = "text", doc_id:
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo(shared.value, name)
-        vocabulary = memo.vocabulary
-        words, added, ids_of = vocabulary.pattern.findall, vocabulary.added, memo.__getitem__
+        segments = _segments(shared.value, name)
+        vocabulary, encode_part = segments.memo.vocabulary, segments.encode
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
                 rows = []
                 for t in _texts(part.column(1)):
                     pieces = vocabulary.parts(t)
-                    ids = chain.from_iterable(map(ids_of, words(pieces[0])))
+                    ids = encode_part(pieces[0])
                     for k in range(1, len(pieces), 2):
-                        ids = chain(ids, (added[pieces[k]],), chain.from_iterable(map(ids_of, words(pieces[k + 1]))))
+                        ids = chain(ids, (vocabulary.added[pieces[k]],), encode_part(pieces[k + 1]))
                     rows.append(np.fromiter(ids, np.int32))
                 offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
                 flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
@@ -243,12 +293,15 @@ def decode(encoded: DataFrame, tokenizer_path: str, *, keep: tuple[str, ...] = (
                 part = batch.slice(first, 500)
                 lists = part.column(part.num_columns - 1)
                 flat = pieces.take(lists.flatten())
-                sizes = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy(zero_copy_only=False), dtype=np.int64)])
                 counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                sizes = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1, flat.offset * 8)
                 ends = sizes[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
-                whole = b"".join(flat.to_pylist())
-                texts = [whole[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "text"])
+                raw = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), flat.buffers()[2]])
+                try:
+                    texts = raw.cast(pa.large_string()).cast(pa.string())
+                except pa.ArrowInvalid:  # ids that end within a character
+                    texts = pa.array([t.as_py().decode("utf-8", "replace") for t in raw], pa.string())
+                yield pa.record_batch([*part.columns, texts], [*part.schema.names, "text"])
 
     rows = encoded.select(*keep, ids)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)

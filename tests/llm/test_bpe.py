@@ -10,7 +10,7 @@ from rasterloom.llm.queries import tokenizer_path
 
 TEXTS = [
     None, "", " ", "  \n\t ", "hello world", "it's we'll I'VE", "a" * 5000, "<|endoftext|>", "x<|endoftext|>y <|endoftext|> ",
-    "naïve café ßtraße 漢字かな 🙂🙂", "tabs\there nbsp em\x1c\x1d\x85end", "1234567 89.5%", "é‍﻿", "The the  the   the ",
+    "naïve café ßtraße 漢字かな 🙂🙂", "tabs\there nbsp em\x1c\x1d\x85end", "1234567 89.5%", "é‍﻿", "The the  the   the ", "a\n b\n\n c \nd \t e ", " lead", "trail ", "x \u00a0 y",
 ]
 
 
@@ -66,11 +66,9 @@ def test_long_words_merge_like_short_ones(word):
     vocabulary = bpe._vocabulary(bpe.read_tokenizer(tokenizer_path()))
     raw = word.encode()
     ids = [vocabulary.byte_ids[b] for b in raw]
-    while True:
-        best = min(((vocabulary.joins[p][0], k) for k in range(len(ids) - 1) if (p := (ids[k], ids[k + 1])) in vocabulary.joins), default=None)
-        if best is None:
-            break
-        ids[best[1] : best[1] + 2] = [vocabulary.joins[ids[best[1]], ids[best[1] + 1]][1]]
+    while found := [(vocabulary.ranks[p], k) for k in range(len(ids) - 1) if (p := (ids[k], ids[k + 1])) in vocabulary.ranks]:
+        rank, k = min(found)
+        ids[k : k + 2] = [vocabulary.made[rank]]
     assert vocabulary.merge(raw) == tuple(ids)
 
 
