@@ -21,10 +21,10 @@ import json
 import os
 import tempfile
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +138,15 @@ def _transducer(name: str) -> Transducer:
     return Transducer(SparkFiles.get(name))
 
 
+def plain_words(segment: str) -> tuple[str, ...]:
+    """The pre-tokens of a space and ``segment`` if that is letters, with a mark behind them or not; else nothing."""
+    if segment.isalpha():
+        return (" " + segment,)
+    if segment[:-1].isalpha() and segment[-1] in ".,;:!?":
+        return " " + segment[:-1], segment[-1]
+    return ()
+
+
 class _Generations(dict):
     """A memo of bounded size: when it is full it becomes the old generation, from which what is used again returns."""
 
@@ -145,7 +154,7 @@ class _Generations(dict):
         super().__init__()
         self.old: dict = {}
 
-    def __missing__(self, key: str) -> tuple[int, ...]:
+    def __missing__(self, key: str) -> bytes:
         ids = self.old.get(key)
         if ids is None:
             ids = self.make(key)
@@ -158,16 +167,16 @@ class _Generations(dict):
 
 
 class _Memo(_Generations):
-    """Pre-token -> ids, from the transducer, else by merging."""
+    """Pre-token -> its ids as 32-bit numbers, from the transducer, else by merging."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer) -> None:
         super().__init__()
         self.vocabulary, self.lexicon = vocabulary, lexicon
 
-    def make(self, word: str) -> tuple[int, ...]:
+    def make(self, word: str) -> bytes:
         raw = word.encode()
         ids = self.lexicon.lookup(raw)
-        return self.vocabulary.merge(raw) if ids is None else ids
+        return array("i", self.vocabulary.merge(raw) if ids is None else ids).tobytes()
 
 
 class _Segments(_Generations):
@@ -177,18 +186,19 @@ class _Segments(_Generations):
         super().__init__()
         self.memo, self.pattern = memo, memo.vocabulary.pattern
 
-    def whole(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.memo.__getitem__, self.pattern.findall(text))))
+    def whole(self, text: str) -> bytes:
+        return b"".join(map(self.memo.__getitem__, self.pattern.findall(text)))
 
-    def make(self, segment: str) -> tuple[int, ...]:
-        return self.whole(" " + segment)
+    def make(self, segment: str) -> bytes:
+        words = plain_words(segment)
+        return b"".join(map(self.memo.__getitem__, words)) if words else self.whole(" " + segment)
 
-    def encode(self, text: str) -> chain | tuple[int, ...]:
+    def encode(self, text: str) -> bytes:
         """A space between two other characters always begins a pre-token, so text splits there; runs of spaces do not."""
         if "  " in text:
             return self.whole(text)
         first, *rest = text.split(" ")
-        return chain(self.whole(first), chain.from_iterable(map(self.__getitem__, rest)))
+        return self.whole(first) + b"".join(map(self.__getitem__, rest))
 
 
 @lru_cache(maxsize=2)
@@ -216,7 +226,7 @@ def count_words(docs: DataFrame, spec: str, text: str = "text") -> DataFrame:
 
         def hand_on() -> pa.RecordBatch:
             for segment, n in segments.items():
-                for word in vocabulary.pattern.findall(" " + segment):
+                for word in plain_words(segment) or vocabulary.pattern.findall(" " + segment):
                     others[word] += n
             out = pa.record_batch([pa.array(others.keys(), pa.string()), pa.array(others.values(), pa.int64())], ["word", "n"])
             segments.clear()
@@ -272,10 +282,10 @@ def encode(docs: DataFrame, tokenizer_path: str, *, text: str = "text", doc_id:
                     pieces = vocabulary.parts(t)
                     ids = encode_part(pieces[0])
                     for k in range(1, len(pieces), 2):
-                        ids = chain(ids, (vocabulary.added[pieces[k]],), encode_part(pieces[k + 1]))
-                    rows.append(np.fromiter(ids, np.int32))
-                offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-                flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
+                        ids += array("i", [vocabulary.added[pieces[k]]]).tobytes() + encode_part(pieces[k + 1])
+                    rows.append(ids)
+                offsets = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
+                flat = np.frombuffer(b"".join(rows), np.int32)
                 yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["doc_id", "ids"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
