@@ -49,6 +49,13 @@ _PATTERN = (
 )
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the installed public vocabulary of this name lies."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def byte_letters() -> dict[str, int]:
     """The letter by which a vocabulary file of this kind writes each byte: printable ones as themselves, others from U+0100 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}

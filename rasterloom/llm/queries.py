@@ -7,14 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, ngram_join, simhash, topk, toxicity
-from .common import table, write_table
-
-
-def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    import public_tokenizers
+import corpus_pipeline
 
-    return str(public_tokenizers.path(name))
+from . import bpe, line_dedup, mixing, ngram_join, simhash, substring_dedup, topk, toxicity
+from .bpe import tokenizer_path
+from .common import table, write_table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +31,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = write_table(simhash.compare_with_edits(table(spark, sf_dir, "documents")))
     near = simhash.near_classes(rows.select("doc_id", "fingerprint"))
@@ -115,11 +116,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op3_line_dedup": op3_line_dedup,
+        "op4_substring_dedup": op4_substring_dedup,
         "op6_simhash": op6_simhash,
         "op7_exact_topk": op7_exact_topk,
         "op8_source_mixing": op8_source_mixing,
         "op9_bpe_roundtrip": op9_bpe_roundtrip,
         "op10_ngram_join": op10_ngram_join,
+        "pipeline": corpus_pipeline.run,
     }
 
 
