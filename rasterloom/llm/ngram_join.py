@@ -5,10 +5,13 @@ A document's set is its distinct ``n``-word shingles (ASCII letters lowered), as
 least ``threshold`` (a ratio of whole numbers); classes are connected components.
 
 1. Documents with equal sets collapse into one representative.
-2. A set of s shingles with a partner misses at most ``miss = s - ceil(t * s)``
-   of its shingles in that partner.  So of its ``2 * miss + 1`` shingles of
-   smallest hash at least ``miss + 1`` occur in some other set.  Documents
-   without so many shared ones have no partner; mostly this leaves few.
+2. Of s shingles a partner lacks at most ``miss = s - ceil(t * s)``, and it has at
+   most ``miss + 1`` others.  List the hashes in ascending order after a fixed
+   first one, and take pairs of neighbours in that list: what is lacking breaks
+   two pairs, another shingle one, at most ``2 * miss + 1`` in all (lacking and
+   having others trade off).  So of its first ``2 * miss + 1 + k`` pairs a set
+   with a partner shares at least k with some other set; k is half of ``miss``
+   and 1.  Pairs are rarely shared by chance, so few documents are left.
 3. Among those left, shingles are ordered by document frequency, then hash.
    Two linked sets share a shingle within their first ``miss + 1``; those of
    frequency 1 lead nowhere and are dropped after taking their places.
@@ -33,7 +36,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
@@ -59,10 +62,42 @@ def _bitmaps(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(0, len(packed) + 1, BITMAP, dtype=np.int32), pa.array(packed))
 
 
+def _pairs(size, t: Fraction):
+    """How many pairs of step 2 a set of this size looks at, and how many of them a partner may break."""
+    broken = 2 * _miss(size, t) + 1
+    return broken + _miss(size, t) // 2 + 1, broken
+
+
+def _neighbours(values: np.ndarray, ends: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first pairs of neighbours of each row."""
+    sizes = np.diff(ends)
+    unsigned = values.view(np.uint64)
+    left = np.concatenate([np.zeros(1, np.uint64), unsigned[:-1]])[: len(unsigned)]
+    left[ends[:-1][sizes > 0]] = 0
+    pairs = words.mix(words.mix(left) + unsigned * np.uint64(3)).view(np.int64)
+    first = np.minimum(sizes, _pairs(sizes, t)[0])
+    keep = np.arange(len(pairs)) - np.repeat(ends[:-1], sizes) < np.repeat(first, sizes)
+    return pairs[keep], np.concatenate([[0], np.cumsum(first)])
+
+
+def add_bitmaps(sets: DataFrame, hashes: str) -> DataFrame:
+    """``sets`` with ``bits``, the bitmap of the column ``hashes`` (which must be the last one)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            values = lists.flatten().to_numpy(zero_copy_only=False)
+            sizes = np.diff(lists.offsets.to_numpy())
+            yield pa.record_batch([*batch.columns[:-1], _bitmaps(values, sizes)], [*batch.schema.names[:-1], "bits"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sets.schema.fields if f.name != hashes)
+    return sets.mapInArrow(run, f"{fields}, bits array<long>")
+
+
 def shingle_sets(docs: DataFrame, n: int, t: Fraction, *, text: str, doc_id: str, whole: bool) -> DataFrame:
-    """(doc_id, n, s1, s2, hashes, bits): set size, a 128-bit digest of the set, its hashes in ascending order.
+    """(doc_id, n, s1, s2, hashes): set size, a 128-bit digest of the set, and its hashes in ascending order.
 
-    ``whole``: all hashes, and the bitmap; else only the hashes of step 2.
+    Not ``whole``: instead of the hashes those of the pairs of step 2.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,17 +110,13 @@ def shingle_sets(docs: DataFrame, n: int, t: Fraction, *, text: str, doc_id: str
                 for key in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
                     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.mix(values.view(np.uint64) ^ np.uint64(key)))])
                     digests.append((total[ends[1:]] - total[ends[:-1]]).view(np.int64))
-                bits = _bitmaps(values, sizes) if whole else pa.nulls(len(sizes), pa.list_(pa.int64()))
                 if not whole:
-                    first = np.where(sizes > 0, np.minimum(sizes, 2 * _miss(sizes, t) + 1), 0)
-                    keep = np.arange(len(values)) - np.repeat(ends[:-1], sizes) < np.repeat(first, sizes)
-                    values, ends = values[keep], np.concatenate([[0], np.cumsum(first)])
+                    values, ends = _neighbours(values, ends, t)
                 lists = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(values))
-                columns = [rows.column(0), pa.array(sizes, pa.int64()), *map(pa.array, digests), lists, bits]
-                yield pa.record_batch(columns, ["doc_id", "n", "s1", "s2", "hashes", "bits"])
+                yield pa.record_batch([rows.column(0), pa.array(sizes, pa.int64()), *map(pa.array, digests), lists], ["doc_id", "n", "s1", "s2", "hashes"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, hashes array<long>, bits array<long>")
+    return rows.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, hashes array<long>")
 
 
 def ngram_jaccard_classes(
@@ -93,17 +124,26 @@ def ngram_jaccard_classes(
 ) -> DataFrame:
     """One row (doc_id, n_shingles, component_id) per input row."""
     t, spark = threshold, docs.sparkSession
+    if not Fraction(1, 2) < t <= 1:  # step 2 needs more than a half
+        raise ValueError("the threshold must be above 1/2 and at most 1")
     digest = ["n", "s1", "s2"]
-    sets = write_table(shingle_sets(docs, n, t, text=text, doc_id=doc_id, whole=False).drop("bits"))
+    looked = write_table(shingle_sets(docs, n, t, text=text, doc_id=doc_id, whole=False))
+    sets = write_table(looked.drop("hashes"))
     # 1. One representative per set; with the digest it is known even if doc_id repeats.
     reps = write_table(sets.where("n > 0 and doc_id is not null").groupBy(*digest).agg(F.min("doc_id").alias("doc_id")))
-    lows = sets.join(reps, [*digest, "doc_id"], "left_semi").dropDuplicates(["doc_id", *digest])
-    lows = write_table(lows.select("doc_id", *digest, F.explode("hashes").alias("h")))
-    # 2. Sets enough of whose smallest shingles occur elsewhere.
     size, miss = F.col("n"), F.expr(f"n - (n * {t.numerator} + {t.denominator - 1}) div {t.denominator}")
+    # Sets of less than t / (1 - t) shingles link with equal sets only.
+    able = size * (t.denominator - t.numerator) >= t.numerator
+    lows = looked.where(able).join(reps, [*digest, "doc_id"], "left_semi").dropDuplicates(["doc_id", *digest])
+    lows = write_table(lows.select("doc_id", F.explode("hashes").alias("h")))
+    drop_table(looked)
+    release_shuffles(spark)
+    # 2. Sets enough of whose pairs occur elsewhere.  Sets of one repeated doc_id are counted together: some more are left.
     shared = lows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("h")
-    likely = lows.join(shared, "h", "left_semi").groupBy("doc_id", *digest).agg(F.count(F.lit(1)).alias("c"))
-    likely = write_table(likely.where(F.col("c") > miss).select("doc_id", *digest))
+    likely = lows.join(shared, "h", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"))
+    likely = likely.join(reps.where(able), "doc_id").where(F.col("c") >= F.least(size, 2 * miss + 1 + F.floor(miss / 2) + 1) - (2 * miss + 1))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("s1", "s2"))
+    likely = write_table(likely.select(F.struct("doc_id", place.alias("k")).alias("id"), "doc_id", *digest))
     drop_table(lows)
     release_shuffles(spark)
     # 3. Whole sets of those left, in order of document frequency.
@@ -111,18 +151,21 @@ def ngram_jaccard_classes(
     again = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     again = again.join(wanted, F.col("doc_id") == F.col("_wanted"), "left_semi")
     full = shingle_sets(again, n, t, text="text", doc_id="doc_id", whole=True)
-    full = full.join(likely, ["doc_id", *digest], "left_semi").dropDuplicates(["doc_id", *digest])
-    full = write_table(full.select(F.struct("doc_id", "s1", "s2").alias("id"), "n", "hashes", "bits"))
-    spread = full.select("id", "n", F.explode("hashes").alias("h"))
+    full = full.join(likely, ["doc_id", *digest]).dropDuplicates(["id"])
+    full = write_table(full.select("id", "n", "hashes"))
+    release_shuffles(spark)
+    spread = full.select("id", F.explode("hashes").alias("h"))
     counts = spread.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = spread.join(counts, "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("ranked"))
+    ranked = spread.join(counts, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("ranked"))
+    ranked = ranked.join(full.select("id", "n"), "id")
     ranked = ranked.withColumn("own", size - F.size("ranked")).withColumn("slots", (miss + 1 - F.col("own")).cast("int"))
     ranked = ranked.where("slots > 0").withColumn("prefix", F.transform(F.slice("ranked", 1, F.col("slots")), lambda x: x["h"]))
-    # 4. Groups by prefix and size.
-    members = ranked.select("id", "n", "own", "prefix", F.xxhash64("n", "prefix").alias("gid"))
-    members = write_table(members.join(full.select("id", "bits"), "id"))
+    # 4. Groups by prefix and size.  Shingles of frequency 1 are in no other set; bitmaps are of the others.
+    ranked = ranked.select("id", "n", "own", "prefix", F.xxhash64("n", "prefix").alias("gid"), F.transform("ranked", lambda x: x["h"]).alias("hashes"))
+    members = write_table(add_bitmaps(ranked, "hashes"))
+    release_shuffles(spark)
     groups = write_table(members.groupBy("gid").agg(
-        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct("own", "id")).alias("pivot"),
+        F.first("n").alias("n"), F.min("own").alias("own"), F.first("prefix").alias("prefix"), F.min(F.struct("own", "id")).alias("pivot"),
         F.array(*[F.bit_and(F.col("bits")[i]) for i in range(BITMAP)]).alias("every"),
         F.array(*[F.bit_or(F.col("bits")[i]) for i in range(BITMAP)]).alias("some")))
 
@@ -156,28 +199,26 @@ def ngram_jaccard_classes(
     members = members.join(classes, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component", "prefix")
     members = write_table(members)
     span = members.groupBy("gid").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
-    spread = write_table(groups.join(span, "gid").select(F.explode("prefix").alias("key"), "gid", "n", "every", "some", "lo", "hi"))
+    spread = write_table(groups.join(span, "gid").select(F.explode("prefix").alias("key"), "gid", "n", "own", "every", "some", "lo", "hi"))
     # Keys whose groups are all in one class are done.
     open_keys = spread.groupBy("key").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("key")
     spread = spread.join(open_keys, "key", "left_semi")
     x, y = spread.alias("x"), spread.alias("y")
     done = (F.col("x.lo") == F.col("y.hi")) & (F.col("x.hi") == F.col("y.lo"))
-    apart = lacking(F.col("x.every"), F.col("y.some")) + lacking(F.col("y.every"), F.col("x.some"))
+    apart = F.col("x.own") + F.col("y.own") + lacking(F.col("x.every"), F.col("y.some")) + lacking(F.col("y.every"), F.col("x.some"))
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.gid") <= F.col("y.gid")) & ~done
     meet = meet & sizes_fit(F.col("x.n"), F.col("y.n")) & near(apart, F.col("x.n"), F.col("y.n"))
     meetings = write_table(x.join(y, meet).select(F.col("x.gid").alias("gx"), F.col("y.gid").alias("gy")).distinct())
-    p = members.select(F.col("gid").alias("gx"), F.col("id").alias("ix"), F.col("n").alias("nx"), F.col("class").alias("cx"), F.col("bits").alias("bx"))
-    q = members.select(F.col("gid").alias("gy"), F.col("id").alias("iy"), F.col("n").alias("ny"), F.col("class").alias("cy"), F.col("bits").alias("by"))
-    apart = lacking(F.col("bx"), F.col("by")) + lacking(F.col("by"), F.col("bx"))
+    p = members.select(F.col("gid").alias("gx"), F.col("id").alias("ix"), F.col("n").alias("nx"), F.col("class").alias("cx"), F.col("own").alias("ox"), F.col("bits").alias("bx"))
+    q = members.select(F.col("gid").alias("gy"), F.col("id").alias("iy"), F.col("n").alias("ny"), F.col("class").alias("cy"), F.col("own").alias("oy"), F.col("bits").alias("by"))
+    apart = F.col("ox") + F.col("oy") + lacking(F.col("bx"), F.col("by")) + lacking(F.col("by"), F.col("bx"))
     cross = meetings.join(p, "gx").join(q, (meetings["gy"] == q["gy"]) & (F.col("cx") != F.col("cy")) & near(apart, F.col("nx"), F.col("ny")))
     more = write_table(verify(write_table(cross.select(*pair("ix", "iy")).distinct())))
     if not more.isEmpty():
         classes = components(links.union(more))
     # 5. Classes are named by their smallest document.
-    linked = classes.select(
-        F.col("id.doc_id").alias("doc_id"), F.col("id.s1").alias("s1"), F.col("id.s2").alias("s2"), F.col("component.doc_id").alias("component"))
-    named = reps.join(linked, ["doc_id", "s1", "s2"], "left").select(
-        *digest, F.coalesce("component", "doc_id").alias("component"))
-    out = sets.drop("hashes").join(named, digest, "left")
+    linked = likely.join(classes, "id").select("doc_id", *digest, F.col("component.doc_id").alias("component"))
+    named = reps.join(linked, ["doc_id", *digest], "left").select(*digest, F.coalesce("component", "doc_id").alias("component"))
+    out = sets.join(named, digest, "left")
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
