@@ -1,0 +1,93 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+
+from rasterloom.llm import pii
+
+
+def plain(text):
+    """The base patterns as they are written, without any care for speed."""
+    luhn = lambda d: sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(d[::-1])) % 10 == 0
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m.group())
+        if 12 <= len(d) <= 19 and luhn(d):
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+    return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+def test_base_spans_equal_the_patterns():
+    r = random.Random(3)
+    pieces = ["4539578763621486", "4111 1111 1111 1111", "a.b@c.de", "x@y@z.org", "@", "a@@b.c", "1.2.3.4", "300.1.1.1", "1.2.3.4.5.6.7.8.9", "+1 (555) 123-4567", "+", "-", ".", " ", "é", "漢", "007", "+4917012345678", "%"]
+    for _ in range(4000):
+        text = "".join(r.choice(pieces) if r.random() < 0.5 else r.choice("ab1279.@+- ()") for _ in range(r.randrange(0, 14)))
+        assert pii.base_spans(text) == plain(text), text
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 300_000, "1" * 300_000, "a@" * 100_000, "1." * 100_000, "+1" * 100_000, "+1" + "(" * 100_000, "1 " * 100_000):
+        pii.all_spans(text, pii.fitted())
+
+
+def test_message_passing_is_exact_on_trees():
+    g = np.random.default_rng(1)
+    n, k = 5, pii.N_LABELS
+    unary, edges = g.normal(size=(n, k)), np.array([[0, 1], [1, 2], [1, 3], [3, 4]])
+    pair = g.normal(size=(4, k, k))
+    belief = pii.propagate(unary, edges, pair, rounds=40)
+    total = np.zeros((n, k))
+    for labels in np.ndindex(*[k] * n):
+        w = np.exp(sum(unary[i, x] for i, x in enumerate(labels)) + sum(pair[e, labels[i], labels[j]] for e, (i, j) in enumerate(edges)))
+        for i, x in enumerate(labels):
+            total[i, x] += w
+    p = np.exp(belief - belief.max(axis=1, keepdims=True))
+    assert np.allclose(p / p.sum(axis=1, keepdims=True), total / total.sum(axis=1, keepdims=True), atol=1e-3)
+
+
+def test_field_finds_held_out_data_and_spares_numbers():
+    field = pii.fitted()
+    right = wrong = missed = 0
+    for text, marks in pii.training_texts(150, seed=99):
+        found = {text[a:b]: kind for kind, a, b in pii.decode(field, pii.Document(text))}
+        right += sum(found.get(t) == kind for t, kind in marks.items())
+        missed += sum(found.get(t) != kind for t, kind in marks.items())
+        wrong += sum(t not in marks for t in found)
+    assert right > 0.9 * (right + missed) and wrong < 0.1 * right
+
+
+def test_skip_edges_carry_evidence_to_distant_mentions():
+    field = pii.fitted()
+    lone = "ba keka 5551234567 loru"
+    told = "please phone 5551234567 now " + "ba ke " * 300 + "ba keka 5551234567 loru"
+    score = lambda text: pii.propagate(field.scores(d := pii.Document(text)), np.array(d.chain + d.skips).reshape(-1, 2), np.array([field.chain] * len(d.chain) + [field.skip] * len(d.skips)).reshape(-1, 6, 6))[-1]
+    phone = pii.LABELS.index("phone")
+    gain = lambda b: b[phone] - b[0]
+    assert gain(score(told)) > gain(score(lone))
+
+
+def test_query_rows(spark):
+    docs = spark.createDataFrame(
+        [(1, None, 1), (2, "", 1), (3, "mail a@b.cd or 1.2.3.4, card 4111 1111 1111 1111 tel +1 555 123 4567", 1), (3, "é🙂 a@b.cd", 1), (None, "1" * 200_000, 1)],
+        "doc_id long, text string, spans int")
+    rows = pii.find_personal_data(docs).collect()
+    assert len(rows) == 5
+    by = {(r.doc_id, len(r.base)): r for r in rows}
+    assert [(s.kind, s.start, s.end) for s in by[3, 1].base] == [("email", 3, 9)]
+    assert [s.kind for s in by[3, 4].base] == ["email", "ip", "card", "phone"]
+    assert pii.find_personal_data(docs.limit(0)).count() == 0
+    assert pii.mask("x a@b.cd y", [("email", 2, 8)]) == "x [email] y"
+
+
+def test_query_digest(spark):
+    from rasterloom.llm.queries import op2_pii_skip_chain
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in op2_pii_skip_chain(spark, "/root/testdata/sf0.001").collect():
+        base = plain(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+        assert {x for x in r.spans.split(",") if x} >= {f"{k}:{a}:{b}" for k, a, b in base}
+        assert r.n_email == sum(k == "email" for k, *_ in base)
