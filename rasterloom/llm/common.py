@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +67,7 @@ def drop_table(df: DataFrame) -> None:
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished steps now instead of at its next collection."""
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)  # the cleaner works in its own thread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

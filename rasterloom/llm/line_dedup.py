@@ -12,8 +12,9 @@ every class only the first line in order of (doc_id, place) stays.
    share a key if a run of that length among the minima of their union lies in
    both: a chance of about 0.98 at similarity 0.8 and 0.999 at 0.9.  Lines of
    FEW words or more sign the shingles that start at words, a sixth of all
-   (there: of four words' characters); lines of less than MANY words sign all,
-   so that lines of about equal length always meet in one of the two.
+   (there: from a word's first character to the REST-th of the next word);
+   lines of less than MANY words sign all, so that lines of about equal length
+   always meet in one of the two.
 3. Lines that share a key are verified on all their shingles exactly, and
    linked by distributed union-find (``components.py``), without listing all
    pairs of a key.
@@ -31,12 +32,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, release_shuffles, write_table
+from .common import drop_table, fresh_name, release_shuffles, write_table
 from .components import cluster
 
 #: Lines of at least this many words take shingles at words; those below MANY words take all as well.
 FEW, MANY = 10, 14
 FEED = "\n"
+#: A shingle at a word ends with so many characters of the next word.
+REST = 4
 
 
 def _trimmed(line: Column) -> Column:
@@ -65,8 +68,8 @@ def signature_keys(line: Column, k: int, run: int, bands: int) -> Column:
     """Bucket keys of a trimmed line."""
 
     def at_words(w: Column) -> Column:
-        near = lambda i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(4)])
-        return F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.xxhash64(F.substring(near(i), 1, k)))
+        following = F.concat(F.slice(w, 2, F.size(w) - 1), F.array(F.lit("")))
+        return F.zip_with(w, following, lambda a, b: F.xxhash64(a, F.substring(b, 1, REST)))
 
     full = F.transform(shingles(line, k), lambda x: F.xxhash64(x))
     nothing = F.array().cast("array<bigint>")
@@ -87,12 +90,16 @@ def duplicate_lines(
         "doc_id", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"),
         signature_keys(F.col("line"), k, run, bands).alias("keys")))
     # 1. One row for equal lines: their first place.
-    unique = write_table(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place", "keys")).alias("first")))
+    signed = write_table(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place", "keys")).alias("first")))
+    fat, lines = lines, write_table(lines.drop("keys"))
+    drop_table(fat)
     release_shuffles(spark)
     # 2. Keys that more than one line has.
-    keys = unique.select(F.struct("first.doc_id", "first.place").alias("id"), F.explode(F.array_distinct("first.keys")).alias("key"))
+    keys = signed.select("first.doc_id", "first.place", F.explode(F.array_distinct("first.keys")).alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    postings = write_table(keys.join(shared, "key", "left_semi"))
+    postings = write_table(keys.join(shared, "key", "left_semi").select("key", F.struct("doc_id", "place").alias("id")))
+    unique = write_table(signed.select("h1", "h2", F.struct("first.doc_id", "first.place").alias("at")))
+    drop_table(signed)
     release_shuffles(spark)
     # 3. Texts of those lines only, then links and classes.
     some = postings.select(F.col("id.doc_id").alias("_d"), F.col("id.place").alias("_p")).distinct()
@@ -116,9 +123,9 @@ def duplicate_lines(
 
     classes = cluster(sized, verify, order=F.struct("id"), compatible=compatible, extra=("n",))
     # A line goes if it isn't the first of its equal lines, or not the first of its class.
-    kept = unique.select("h1", "h2", F.struct("first.doc_id", "first.place").alias("at")).join(
+    kept = unique.join(
         classes, F.col("at") == F.col("id"), "left").select("h1", "h2", F.coalesce("component", "at").alias("keeper"))
-    gone = lines.drop("keys").join(kept, ["h1", "h2"]).where((F.col("doc_id") != F.col("keeper.doc_id")) | (F.col("place") != F.col("keeper.place")))
+    gone = lines.join(kept, ["h1", "h2"]).where((F.col("doc_id") != F.col("keeper.doc_id")) | (F.col("place") != F.col("keeper.place")))
     return gone.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
 
 
