@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, line_dedup, mixing, ngram_join, pii, simhash, substring_dedup, topk, toxicity
+from . import bpe, html_text, line_dedup, mixing, ngram_join, pii, simhash, substring_dedup, topk, toxicity
 from .bpe import tokenizer_path
 from .common import table, write_table
 
@@ -42,6 +42,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = write_table(simhash.compare_with_edits(table(spark, sf_dir, "documents")))
     near = simhash.near_classes(rows.select("doc_id", "fingerprint"))
@@ -125,6 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii_skip_chain": op2_pii_skip_chain,
         "op3_line_dedup": op3_line_dedup,
         "op4_substring_dedup": op4_substring_dedup,
+        "op5_html_text": op5_html_text,
         "op6_simhash": op6_simhash,
         "op7_exact_topk": op7_exact_topk,
         "op8_source_mixing": op8_source_mixing,
