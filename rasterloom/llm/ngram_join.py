@@ -142,8 +142,10 @@ def ngram_jaccard_classes(
     shared = lows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("h")
     likely = lows.join(shared, "h", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"))
     likely = likely.join(reps.where(able), "doc_id").where(F.col("c") >= F.least(size, 2 * miss + 1 + F.floor(miss / 2) + 1) - (2 * miss + 1))
+    # A set's id is its doc_id; further sets of a repeated doc_id get negative numbers from their digest.
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("s1", "s2"))
-    likely = write_table(likely.select(F.struct("doc_id", place.alias("k")).alias("id"), "doc_id", *digest))
+    other = F.xxhash64("doc_id", "s1", "s2").bitwiseOR(F.lit(-(2**63)))
+    likely = write_table(likely.withColumn("k", place).select(F.when(F.col("k") == 1, F.col("doc_id")).otherwise(other).alias("id"), "doc_id", *digest))
     drop_table(lows)
     release_shuffles(spark)
     # 3. Whole sets of those left, in order of document frequency.
@@ -217,7 +219,9 @@ def ngram_jaccard_classes(
     if not more.isEmpty():
         classes = components(links.union(more))
     # 5. Classes are named by their smallest document.
-    linked = likely.join(classes, "id").select("doc_id", *digest, F.col("component.doc_id").alias("component"))
+    linked = likely.join(classes, "id")
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
+    linked = linked.join(least, "component").select("doc_id", *digest, F.col("least").alias("component"))
     named = reps.join(linked, ["doc_id", *digest], "left").select(*digest, F.coalesce("component", "doc_id").alias("component"))
     out = sets.join(named, digest, "left")
     return out.select(
