@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 SLOTS = 1 << 20
 #: Lengths of the word beginnings that count as features beside the words.
 BEGINNINGS = (3, 4, 5, 6)
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 
 # Identity terms by group; a term is swapped for the next of its group.
 IDENTITY_GROUPS = (
@@ -100,7 +100,9 @@ def _probability(logit: np.ndarray) -> np.ndarray:
 
 def _telling(rows: list[np.ndarray], y: np.ndarray, false_slots: float) -> np.ndarray:
     """Slots whose document frequency depends on the label: a likelihood ratio that about ``false_slots`` of all pass by chance."""
-    counts = [np.bincount(np.concatenate(part), minlength=SLOTS) if (part := [r for r, k in zip(rows, y, strict=True) if k == label]) else np.zeros(SLOTS) for label in (0, 1)]
+    counts = np.zeros((2, SLOTS), np.int32)
+    for r, label in zip(rows, y, strict=True):
+        counts[int(label)][r] += 1  # a row names a slot once
     n = np.array([(y == 0).sum(), (y == 1).sum()], float)
     both = counts[0] + counts[1]
     ratio = np.zeros(SLOTS)
@@ -122,9 +124,13 @@ def fit(
     if not texts:
         return model
     memo, swap = _Slots(), swaps(groups)
-    word_sets = [distinct_words(t) for t in texts]
-    rows = [features(w, memo) for w in word_sets]
-    counterparts = {i: features({swap.get(w, w) for w in ws}, memo) for i, ws in enumerate(word_sets) if not ws.isdisjoint(swap)}
+    rows, counterparts = [], {}
+    for i, text in enumerate(texts):  # the words of one text at a time: they take far more room than its slots
+        words = distinct_words(text)
+        rows.append(features(words, memo))
+        if not words.isdisjoint(swap):
+            counterparts[i] = features({swap.get(w, w) for w in words}, memo)
+    del memo
     y = np.asarray(labels, np.float64)
     usable = _telling(rows, y, false_slots)
     rows = [r[usable[r]] for r in rows]
