@@ -254,7 +254,7 @@ def q21_resize_average(spark, sf_dir):
     return _tiles(spark, sf_dir).select("vec_id", _nine(R.resize_average(F.col("px"), 8, 8, 4, 4)))
 
 
-@query("""SELECT l_orderkey, (list_reduce(list_prepend({'v': 0.0::DOUBLE, 'a': 0.0::DOUBLE}, list({'v': l_quantity, 'a': l_discount * 5} ORDER BY l_linenumber, l_partkey, l_suppkey)),
+@query("""SELECT l_orderkey, (list_reduce(list_prepend({'v': 0.0::DOUBLE, 'a': 0.0::DOUBLE}, list({'v': l_quantity, 'a': l_discount * 5} ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount)),
   lambda acc, x: {'v': x.v * x.a + acc.v * (1 - x.a), 'a': x.a})).v AS value, count(*) AS n_layers FROM lineitem GROUP BY l_orderkey""")
 def q22_composite(spark, sf_dir):
     layer = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("v"), (F.col("l_discount") * 5).alias("a"))
