@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .lexicon import Transducer, compile_transducer
 
 #: Words, and as many segments, in a generation of what one worker keeps at hand.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 400_000
 #: Distinct words counted in one worker before it hands on what it has.
 COUNTED_WORDS = 300_000
 #: The rank of pairs that don't merge.
@@ -197,8 +197,11 @@ class _Segments(_Generations):
         return b"".join(map(self.memo.__getitem__, self.pattern.findall(text)))
 
     def make(self, segment: str) -> bytes:
-        words = plain_words(segment)
-        return b"".join(map(self.memo.__getitem__, words)) if words else self.whole(" " + segment)
+        if segment.isalpha():  # kept here, so not in the memo as well
+            return self.memo.make(" " + segment)
+        if plain_words(segment):
+            return self[segment[:-1]] + self.memo[segment[-1]]
+        return self.whole(" " + segment)
 
     def encode(self, text: str) -> bytes:
         """A space between two other characters always begins a pre-token, so text splits there; runs of spaces do not."""
