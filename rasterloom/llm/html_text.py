@@ -46,6 +46,7 @@ _BLOCK = frozenset(
 _HOLDS = _BLOCK - frozenset("p li dt dd hr tr td th tbody thead tfoot h1 h2 h3 h4 h5 h6 html body caption legend summary".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ASIDE = frozenset("nav footer aside form menu dialog button label".split())
+_ASIDE_STARTS = ("comment", "advert", "sponsor", "cookie", "newsletter", "sidebar", "navbar", "breadcrumb", "footer", "subscri", "recommend")
 _ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 _ASIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert"
@@ -74,8 +75,10 @@ def _is_aside(name: str, attributes: str, inside: bool) -> bool:
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id") and not _ASIDE_NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
+        if key in ("class", "id"):
+            words = [w for w in re.split(r"[^a-z]+", value) if not (inside and w == "header")]
+            if not _ASIDE_NAMES.isdisjoint(words) or any(w.startswith(_ASIDE_STARTS) for w in words):
+                return True
         if (key == "role" and value in _ASIDE_ROLES) or (key == "aria-hidden" and value == "true") or (key == "hidden" and value != "until-found"):
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -90,6 +93,8 @@ def lines_of(page: str) -> list[Line]:
     link_pieces: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # (element, it begins an aside, it is the article)
     asides = articles = links = 0
+    open_names: dict[str, int] = {}
+    unclosed: set[str] = set()
 
     def close_line() -> None:
         text = " ".join(entities.unescape("".join(pieces)).split())
@@ -102,6 +107,7 @@ def lines_of(page: str) -> list[Line]:
     def pop() -> str:
         nonlocal asides, articles
         name, aside, article = stack.pop()
+        open_names[name] -= 1
         asides -= aside
         articles -= article
         return name
@@ -128,14 +134,19 @@ def lines_of(page: str) -> list[Line]:
                 links = max(0, links - 1)
             if name in _BLOCK:
                 close_line()
-            if any(x[0] == name for x in stack):
+            if open_names.get(name):
                 while pop() != name:
                     pass
             continue
         if name in _RAW:
-            if not m[3].endswith("/"):
+            if not m[3].endswith("/") and name not in unclosed:
                 end = re.compile(rf"</{name}[\s>/]|<body[\s>]" if name == "head" else rf"</{name}[\s>/]", re.I).search(page, at)
-                at = n if end is None else end.start()
+                if end is not None:
+                    at = end.start()
+                elif name in ("script", "style", "title", "textarea"):
+                    at = n
+                else:
+                    unclosed.add(name)
             continue
         if name in _BLOCK:
             close_line()
@@ -155,6 +166,7 @@ def lines_of(page: str) -> list[Line]:
         if aside or name in _HOLDS:
             article = name in ("article", "main")
             stack.append((name, aside, article))
+            open_names[name] = open_names.get(name, 0) + 1
             asides += aside
             articles += article
     close_line()

@@ -35,6 +35,12 @@ def test_without_article_the_distribution_decides():
     assert main_text(page) == "Title " + WANT
 
 
+def test_open_heads_and_deep_nesting():
+    assert main_text(f"<html><head><meta charset=x><title>t</title><article>{P}</article>") == WANT
+    assert main_text("<svg>" * 3000 + "<div>" * 20_000 + P + "</section>" * 20_000) == WANT
+    assert main_text(f"<article><div class='article-header'><h1>Title</h1></div>{P}<ol class=commentlist><li>no, said a reader of this page</ol></article>") == "Title " + WANT
+
+
 def test_inline_markup_and_space():
     assert main_text("<article><p>one<b>two</b> \n\t three<br>four&nbsp;five<i> </i>six</p><ul><li>a<li>b</ul></article>") == "onetwo three four five six a b"
 
