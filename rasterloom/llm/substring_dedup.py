@@ -11,13 +11,12 @@ What is repeated is judged on the input.
    minimizer occurs in two documents can be repeated; the others, mostly nearly
    all, never become rows.
 2. Edges.  The windows left become rows (edge, document, place); each edge's
-   first document and place there come from an aggregation and a join.
-3. Compaction.  Along a nonbranching path the places in the document and in the
-   edge's first document advance together, so edges of equal difference that
-   follow each other compact into one path: (document, place, length, source
-   document, source place).
+   first document comes from an aggregation and a join.
+3. Compaction.  Repeated edges that follow each other in a document and have the
+   same first document are a nonbranching stretch of the graph, and compact into
+   one path: (document, place, length, source document, first edge, last edge).
 4. Verification.  A path is applied only if the words at its coordinates still
-   give its first and last edge.  Edges are compared by 96-bit hashes.
+   give its first and last edge.  Edges are compared by 64-bit hashes.
 
 Edge cases: null and empty texts have no words; texts shorter than a window and
 rows with a null doc_id lose nothing and are no source; rows that repeat a
@@ -60,14 +59,6 @@ def _minimizers(hashed: np.ndarray, upto: np.ndarray, span: int, seed: int) -> t
     return least[starts], starts, ends
 
 
-def _checks(hashed: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
-    """A second hash of the windows at ``starts``."""
-    h = np.zeros(len(starts), np.uint64)
-    for j in range(span):
-        h += words.mix(hashed[starts + j] ^ words._STEP[40]) * words._STEP[41 + j % 20]
-    return (words.mix(h) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-
 def sieve(docs: DataFrame, span: int, seed: int) -> DataFrame:
     """(doc_id, seeds): the distinct minimizers of each document that another row has as well."""
 
@@ -88,7 +79,7 @@ def sieve(docs: DataFrame, span: int, seed: int) -> DataFrame:
 
 
 def repeated_paths(docs: DataFrame, *, span: int = 13, seed: int = 5) -> DataFrame:
-    """(doc_id, place, length, source_id, source_place, first, last): compacted paths of repeated edges."""
+    """(doc_id, place, length, source_id, first, last): compacted paths of repeated edges."""
     spark = docs.sparkSession
     seeds = sieve(docs, span, seed)
 
@@ -107,25 +98,26 @@ def repeated_paths(docs: DataFrame, *, span: int = 13, seed: int = 5) -> DataFra
                 at += rows.num_rows
                 kept = np.concatenate([[0], np.cumsum(keep)])[ends].astype(np.int32)
                 place = (starts - np.repeat(upto[:-1], np.diff(ends)))[keep].astype(np.int32)
-                lists = [edges[keep].view(np.int64), _checks(hashed, starts[keep], span), place]
+                lists = [edges[keep].view(np.int64), place]
                 columns = [pa.ListArray.from_arrays(kept, pa.array(x)) for x in lists]
-                yield pa.record_batch([rows.column(0), *columns], ["doc_id", "edge", "check", "place"])
+                yield pa.record_batch([rows.column(0), *columns], ["doc_id", "edge", "place"])
 
     joined = docs.join(seeds.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "seeds")
-    lists = joined.mapInArrow(run, "doc_id long, edge array<long>, check array<int>, place array<int>")
-    edges = lists.select("doc_id", F.explode(F.arrays_zip("edge", "check", "place")).alias("x")).select("doc_id", "x.*")
+    lists = joined.mapInArrow(run, "doc_id long, edge array<long>, place array<int>")
+    edges = lists.select("doc_id", F.explode(F.arrays_zip("edge", "place")).alias("x")).select("doc_id", "x.*")
     edges = write_table(edges)
+    drop_table(seeds)
     release_shuffles(spark)
-    first = edges.groupBy("edge", "check").agg(F.min(F.struct("doc_id", "place")).alias("source"), F.max("doc_id").alias("most"))
-    first = first.where("source.doc_id < most").select("edge", "check", "source")
-    marked = edges.join(first, ["edge", "check"]).where("doc_id > source.doc_id")
-    marked = marked.select("doc_id", "place", "edge", F.col("source.doc_id").alias("source_id"), (F.col("source.place") - F.col("place")).alias("ahead"))
-    path = Window.partitionBy("doc_id", "source_id", "ahead").orderBy("place")
+    first = edges.groupBy("edge").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("most"))
+    first = first.where("source_id < most").select("edge", "source_id")
+    marked = edges.join(first, "edge").where("doc_id > source_id").select("doc_id", "place", "edge", "source_id")
+    path = Window.partitionBy("doc_id", "source_id").orderBy("place")
     islands = marked.withColumn("island", F.col("place") - F.dense_rank().over(path))
-    paths = islands.groupBy("doc_id", "source_id", "ahead", "island").agg(
-        F.min("place").alias("place"), F.max("place").alias("end"), F.min_by("edge", "place").alias("first"), F.max_by("edge", "place").alias("last"))
-    return paths.select(
-        "doc_id", "place", (F.col("end") - F.col("place") + 1).alias("length"), "source_id", (F.col("place") + F.col("ahead")).alias("source_place"), "first", "last")
+    paths = write_table(islands.groupBy("doc_id", "source_id", "island").agg(
+        F.min("place").alias("place"), F.max("place").alias("end"), F.min_by("edge", "place").alias("first"), F.max_by("edge", "place").alias("last")))
+    drop_table(edges)
+    release_shuffles(spark)
+    return paths.select("doc_id", "place", (F.col("end") - F.col("place") + 1).alias("length"), "source_id", "first", "last")
 
 
 def remove_repeats(

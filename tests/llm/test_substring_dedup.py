@@ -65,4 +65,4 @@ def test_paths_compact_runs(spark):
     p = [f"p{i}" for i in range(50)]
     docs = spark.createDataFrame([(1, " ".join(["a", *p])), (2, " ".join(["b", "c", *p, "d"]))], "doc_id long, text string")
     (path,) = repeated_paths(docs).collect()
-    assert (path.doc_id, path.place, path.length, path.source_id, path.source_place) == (2, 2, 38, 1, 1)
+    assert (path.doc_id, path.place, path.length, path.source_id) == (2, 2, 38, 1)
