@@ -38,6 +38,8 @@ from .components import cluster
 #: Lines of at least this many words take shingles at words; those below MANY words take all as well.
 FEW, MANY = 10, 14
 FEED = "\n"
+#: Up to this length shingles are cut out one by one.
+CUT = 1000
 #: A shingle at a word ends with so many characters of the next word.
 REST = 4
 
@@ -47,9 +49,16 @@ def _trimmed(line: Column) -> Column:
 
 
 def shingles(line: Column, k: int) -> Column:
-    """All distinct runs of k characters; the whole line if it is shorter."""
+    """Hashes of all distinct runs of k characters; of the whole line if it is shorter.
+
+    Cutting each run out of the line is fastest for usual lines but quadratic in
+    their length, so longer lines are read once by a pattern; both give the same.
+    """
+    n = F.length(line)
+    cut = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.xxhash64(F.substring(line, i, F.lit(k))))
     runs = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
-    return F.when(F.length(line) <= k, F.array(line)).otherwise(F.array_distinct(runs))
+    read = F.transform(runs, lambda x: F.xxhash64(x))
+    return F.array_distinct(F.when(n <= k, F.array(F.xxhash64(line))).when(n <= CUT, cut).otherwise(read))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -71,7 +80,7 @@ def signature_keys(line: Column, k: int, run: int, bands: int) -> Column:
         following = F.concat(F.slice(w, 2, F.size(w) - 1), F.array(F.lit("")))
         return F.zip_with(w, following, lambda a, b: F.xxhash64(a, F.substring(b, 1, REST)))
 
-    full = F.transform(shingles(line, k), lambda x: F.xxhash64(x))
+    full = shingles(line, k)
     nothing = F.array().cast("array<bigint>")
     return _let(F.split(line, " "), lambda w: F.concat(
         F.when(F.size(w) >= FEW, _keys(at_words(w), run, bands, 1)).otherwise(nothing),

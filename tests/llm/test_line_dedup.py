@@ -54,6 +54,22 @@ def test_equals_all_pairs(spark):
     assert got[7].n_removed == 2 and got[4].n_removed == 0 and got[1].n_removed == 0
 
 
+def test_shingles_of_short_and_long_lines_are_the_same_sets(spark):
+    from pyspark.sql import functions as F
+
+    from rasterloom.llm import line_dedup as m
+
+    lines = ["", "short", "exactly 10", "漢字🙂 é" * 9, "ab cd " * 50]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    by_cut = [set(r.s) for r in df.select(m.shingles(F.col("line"), 10).alias("s")).collect()]
+    held, m.CUT = m.CUT, 0
+    try:
+        by_pattern = [set(r.s) for r in df.select(m.shingles(F.col("line"), 10).alias("s")).collect()]
+    finally:
+        m.CUT = held
+    assert by_cut == by_pattern and list(map(len, by_cut)) == [len(shingles(x)) for x in lines]
+
+
 def test_no_near_lines_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "something else entirely")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in dedup_lines(docs).collect()} == {1: "alpha beta gamma", 2: "something else entirely"}
