@@ -52,11 +52,12 @@ def shingles(line: Column, k: int) -> Column:
     """Hashes of all distinct runs of k characters; of the whole line if it is shorter.
 
     Cutting each run out of the line is fastest for usual lines but quadratic in
-    their length, so longer lines are read once by a pattern; both give the same.
+    their length, so longer lines are read once by a pattern (which must not begin
+    within a surrogate pair); both give the same.
     """
     n = F.length(line)
     cut = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.xxhash64(F.substring(line, i, F.lit(k))))
-    runs = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
+    runs = F.regexp_extract_all(line, F.lit(f"(?s)(?=([^\\p{{Cs}}].{{{k - 1}}}))"), F.lit(1))
     read = F.transform(runs, lambda x: F.xxhash64(x))
     return F.array_distinct(F.when(n <= k, F.array(F.xxhash64(line))).when(n <= CUT, cut).otherwise(read))
 
