@@ -49,7 +49,7 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = write_table(simhash.compare_with_edits(table(spark, sf_dir, "documents")))
-    near = simhash.near_classes(rows.select("doc_id", "fingerprint"))
+    near = simhash.near_copies(rows.select("doc_id", "fingerprint"))
     return rows.join(near, "fingerprint").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_id")
 
