@@ -10,11 +10,8 @@ every class only the first line in order of (doc_id, place) stays.
 2. Signatures.  Shingles are hashed, and the ``run + bands - 1`` smallest hashes
    in order give ``bands`` keys, each of ``run`` consecutive minima.  Two lines
    share a key if a run of that length among the minima of their union lies in
-   both: a chance of about 0.98 at similarity 0.8 and 0.999 at 0.9.  Lines of
-   FEW words or more sign the shingles that start at words, a sixth of all
-   (there: from a word's first character to the REST-th of the next word);
-   lines of less than MANY words sign all, so that lines of about equal length
-   always meet in one of the two.
+   both: a chance of about 0.98 at similarity 0.8 and 0.999 at 0.9.  Every line
+   signs all its shingles, the same that verification compares.
 3. Lines that share a key are verified on all their shingles exactly, and
    linked by distributed union-find (``components.py``), without listing all
    pairs of a key.
@@ -35,13 +32,9 @@ from pyspark.sql import functions as F
 from .common import drop_table, fresh_name, release_shuffles, write_table
 from .components import cluster
 
-#: Lines of at least this many words take shingles at words; those below MANY words take all as well.
-FEW, MANY = 10, 14
 FEED = "\n"
 #: Up to this length shingles are cut out one by one.
 CUT = 1000
-#: A shingle at a word ends with so many characters of the next word.
-REST = 4
 
 
 def _trimmed(line: Column) -> Column:
@@ -67,25 +60,11 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _keys(hashes: Column, run: int, bands: int, family: int) -> Column:
-    """Keys of ``run`` consecutive smallest hashes; a line with fewer hashes has one key of all."""
-    low = F.slice(F.sort_array(F.array_distinct(hashes)), 1, run + bands - 1)
-    places = lambda low: F.sequence(F.lit(1), F.greatest(F.size(low) - run + 1, F.lit(1)))
-    return _let(low, lambda low: F.transform(places(low), lambda i: F.xxhash64(F.slice(low, i, run), F.lit(family))))
-
-
 def signature_keys(line: Column, k: int, run: int, bands: int) -> Column:
-    """Bucket keys of a trimmed line."""
-
-    def at_words(w: Column) -> Column:
-        following = F.concat(F.slice(w, 2, F.size(w) - 1), F.array(F.lit("")))
-        return F.zip_with(w, following, lambda a, b: F.xxhash64(a, F.substring(b, 1, REST)))
-
-    full = shingles(line, k)
-    nothing = F.array().cast("array<bigint>")
-    return _let(F.split(line, " "), lambda w: F.concat(
-        F.when(F.size(w) >= FEW, _keys(at_words(w), run, bands, 1)).otherwise(nothing),
-        F.when(F.size(w) < MANY, _keys(full, run, bands, 2)).otherwise(nothing)))
+    """Bucket keys of a trimmed line: of ``run`` consecutive smallest hashes; a line with fewer hashes has one key of all."""
+    low = F.slice(F.sort_array(shingles(line, k)), 1, run + bands - 1)
+    places = lambda low: F.sequence(F.lit(1), F.greatest(F.size(low) - run + 1, F.lit(1)))
+    return _let(low, lambda low: F.transform(places(low), lambda i: F.xxhash64(F.slice(low, i, run))))
 
 
 def duplicate_lines(

@@ -80,3 +80,24 @@ def test_repeated_rows_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "one and the same line"), (1, "one and the same line"), (None, "one and the same line")], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.text) for r in dedup_lines(docs).collect())
     assert got == [(-1, "one and the same line"), (1, "one and the same line"), (1, "one and the same line")]
+
+
+def test_lines_of_any_kind_that_share_most_characters_meet(spark):
+    r = random.Random(7)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    pairs = []
+    for _ in range(60):  # nine long words, and five short ones more
+        line = [word(50) for _ in range(9)]
+        pairs.append((line, [*line, *(word(2) for _ in range(5))]))
+    for _ in range(60):  # short words around one long token, three of them others
+        line = [word(3) for _ in range(8)] + [word(300)] + [word(3) for _ in range(8)]
+        other = list(line)
+        for at in r.sample([i for i in range(17) if i != 8], 3):
+            other[at] = word(3)
+        pairs.append((line, other))
+    near = [(" ".join(a), " ".join(b)) for a, b in pairs]
+    near = [(a, b) for a, b in near if len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b))]
+    assert len(near) > 80
+    docs = spark.createDataFrame([(i, a + "\n" + b) for i, (a, b) in enumerate(near)], "doc_id long, text string")
+    gone = sum(r.n_removed for r in dedup_lines(docs, dropped="n_removed").collect())
+    assert gone >= 0.96 * len(near)
