@@ -25,6 +25,7 @@ empty table gives an empty result; other columns pass through unread.
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +73,9 @@ def duplicate_lines(
 ) -> DataFrame:
     """(doc_id, places): for each document with lines to drop, their places in it (from 0)."""
     spark = docs.sparkSession
+    # Whole numbers: in doubles, pairs at exactly the threshold would be lost.
+    least = Fraction(str(threshold))
+    part, whole = least.numerator, least.denominator
     pick = F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")
     exploded = docs.select(*pick).where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", FEED)).alias("place", "line"))
     exploded = exploded.withColumn("line", _trimmed(F.col("line"))).where("line <> ''")
@@ -102,13 +106,13 @@ def duplicate_lines(
     def compatible(a: str, b: str) -> Column:
         """Sets whose sizes differ too much cannot reach the threshold."""
         na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-        return (na >= threshold * nb) & (nb >= threshold * na)
+        return (na * whole >= nb * part) & (nb * whole >= na * part)
 
     def verify(pairs: DataFrame) -> DataFrame:
         one = texts.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("n").alias("na"))
         two = texts.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("n").alias("nb"))
         both = F.size(F.array_intersect(shingles(F.col("la"), k), shingles(F.col("lb"), k)))
-        return pairs.join(one, "a").join(two, "b").where(both * (1 + threshold) >= threshold * (F.col("na") + F.col("nb"))).select("a", "b")
+        return pairs.join(one, "a").join(two, "b").where(both * (whole + part) >= part * (F.col("na") + F.col("nb"))).select("a", "b")
 
     classes = cluster(sized, verify, order=F.struct("id"), compatible=compatible, extra=("n",))
     # A line goes if it isn't the first of its equal lines, or not the first of its class.

@@ -101,3 +101,10 @@ def test_lines_of_any_kind_that_share_most_characters_meet(spark):
     docs = spark.createDataFrame([(i, a + "\n" + b) for i, (a, b) in enumerate(near)], "doc_id long, text string")
     gone = sum(r.n_removed for r in dedup_lines(docs, dropped="n_removed").collect())
     assert gone >= 0.96 * len(near)
+
+
+def test_pairs_at_exactly_the_threshold_are_near(spark):
+    line = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQR"
+    assert len(shingles(line)) == 35 and len(shingles(line[:37])) == 28
+    docs = spark.createDataFrame([(1, line), (2, line[:37])], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in dedup_lines(docs).collect()} == {1: line, 2: ""}
