@@ -11,7 +11,9 @@ that are no article weigh nothing, nor do lines outside ``<article>`` or
 surge point, where a weighing line begins a window of enough text, and end at a
 dive point, behind which a whole window weighs nothing.  What stands between
 surge and dive is kept in page order, joined by spaces: short lines too, but no
-line of another part.  Without ``<article>`` the heaviest such region counts.
+line of another part.  Without ``<article>`` all such regions count, each with the
+lines just before its surge.  Inside an article, names end it only where they can mean
+nothing else, and never those of headings and paragraphs.
 
 Edge cases: null and empty html give an empty text; broken or unclosed markup is
 read as far as it goes; a page without text gives an empty text; repeated rows
@@ -54,6 +56,12 @@ _ASIDE_NAMES = frozenset(
     " foot header masthead topbar toolbar comment comments disqus reply replies respond discussion share sharing social related recommended"
     " recommendations pagination pager login search widget widgets hidden skip".split())
 
+#: Names that mean no article text inside an article too (``discussion``, ``related`` and others may be its sections).
+_INSIDE_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored gdpr popup modal newsletter signup sidebar navbar breadcrumb breadcrumbs"
+    " masthead topbar toolbar comments commentlist disqus pagination pager".split())
+_TEXT_OF = frozenset("p h1 h2 h3 h4 h5 h6".split())
+
 
 @dataclass
 class Line:
@@ -76,8 +84,11 @@ def _is_aside(name: str, attributes: str, inside: bool) -> bool:
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
-            words = [w for w in re.split(r"[^a-z]+", value) if not (inside and w == "header")]
-            if not _ASIDE_NAMES.isdisjoint(words) or any(w.startswith(_ASIDE_STARTS) for w in words):
+            words = re.split(r"[^a-z]+", value)
+            if inside:
+                if name not in _TEXT_OF and not _INSIDE_NAMES.isdisjoint(words):
+                    return True
+            elif not _ASIDE_NAMES.isdisjoint(words) or any(w.startswith(_ASIDE_STARTS) for w in words):
                 return True
         if (key == "role" and value in _ASIDE_ROLES) or (key == "aria-hidden" and value == "true") or (key == "hidden" and value != "until-found"):
             return True
@@ -202,13 +213,13 @@ def main_text(page: str | None) -> str:
     found = regions(weights, 1 if inside else SURGE)
     if not found and not inside:
         found = regions(weights, 1)
-    if not inside and found:
-        best = max(found, key=lambda r: (sum(weights[r[0] : r[1]]), -r[0]))
-        first, end = best
-        # A heading just before the surge belongs to it.
-        while first and weights[first - 1]:
-            first -= 1
-        found = [(first, end)]
+    if not inside:
+        # A heading just before a surge belongs to it.
+        for k, (first, end) in enumerate(found):
+            before = found[k - 1][1] if k else 0
+            while first > before and weights[first - 1]:
+                first -= 1
+            found[k] = (first, end)
     keep = [x.text for a, b in found for x in lines[a:b] if not x.aside and (x.inside or not inside)]
     return " ".join(keep)
 

@@ -58,3 +58,14 @@ def test_broken_markup_and_empty_rows(spark):
 def test_surge_and_dive():
     assert regions([0, 5, 0, 0, 5, 0, 0, 0, 9], 1) == [(1, 5), (8, 9)]
     assert regions([], 1) == [] and regions([0, 0], 1) == []
+
+
+def test_text_on_both_sides_of_a_block_of_links_stays():
+    links = "".join(f"<div><a href={i}>Story number {i}</a></div>" for i in range(5))
+    page = f"<body><div><a href=a>Home</a></div><div id=x><h2>Title</h2>{P}{links}<h2>More</h2>{P}{links}{P}</div></body>"
+    assert main_text(page) == f"Title {WANT} More {WANT} {WANT}"
+
+
+def test_sections_of_an_article_are_not_taken_for_asides_by_name():
+    page = f"<article>{P}<h2 id=related-work>Related work</h2><section id=discussion>{P}</section><div class=commentary>{P}</div><p class=notice>Note.</p><div class='ads'>Buy</div></article>"
+    assert main_text(page) == f"{WANT} Related work {WANT} {WANT} Note."
