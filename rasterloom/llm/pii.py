@@ -4,11 +4,10 @@ Base spans are the e-mail addresses, IPv4 addresses, payment cards (Luhn) and
 international phone numbers that fixed patterns find, leftmost and without
 overlap for each kind.  They always stay.
 
-The field adds what patterns miss: spaced-out addresses, numbers with a digit
-too many or few next to a cue, repeated mentions without their cue, secrets.
-Its variables are the tokens that could be personal data (those with a digit, an
-at sign or of mixed case, and spelled-out parts next to such); neighbours share
-a potential, and so do distant tokens that are equal or differ in digits only
+The field adds what patterns miss: numbers with a digit too many or few next to a
+cue, repeated mentions without their cue, secrets.  Its variables are the tokens
+with a digit or an at sign; spelled-out addresses and secrets of letters only are
+not found.  Neighbours share a potential, and so do distant tokens that are equal or differ in digits only
 (the skip edges).  A cue before one mention is also a feature of all others of the same
 token in the document, however many and far (``told``): along skip edges alone it would fade.
 Loopy belief propagation runs over each document as a whole until its messages settle.
