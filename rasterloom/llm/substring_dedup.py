@@ -12,11 +12,13 @@ What is repeated is judged on the input.
    all, never become rows.
 2. Edges.  The windows left become rows (edge, document, place); each edge's
    first document comes from an aggregation and a join.
-3. Compaction.  Repeated edges that follow each other in a document and have the
-   same first document are a nonbranching stretch of the graph, and compact into
-   one path: (document, place, length, source document, first edge, last edge).
-4. Verification.  A path is applied only if the words at its coordinates still
-   give its first and last edge.  Edges are compared by 64-bit hashes.
+3. Islands.  Repeated edges that follow each other in a document and have the
+   same first document become one row: (document, place, length, source document,
+   first edge, last edge).  Degrees of nodes are not looked at.
+4. A row is applied only if the document's own words at its coordinates still
+   give its first and last edge.  Edges are compared by 64-bit hashes; the words
+   of the source are not read, so equal hashes of different words would count as
+   a repeat.
 
 Edge cases: null and empty texts have no words; texts shorter than a window and
 rows with a null doc_id lose nothing and are no source; rows that repeat a
