@@ -6,9 +6,9 @@ join, so a vertex with any number of links is never gathered in one place, and
 nothing but two numbers a step reaches the driver.
 
 ``cluster`` turns (key, id) postings into classes without listing all pairs of
-a key: first every member is verified against the key's pivot, then only pairs
-of members that are still in different classes.  Which pairs share a class is
-exactly what verifying all pairs of each key would give.
+a key: members are verified against pivots first, and then only members outside
+a key's largest class against those of other classes.  Which members share a
+class is exactly what verifying all pairs of each key would give.
 """
 
 from __future__ import annotations
@@ -57,30 +57,65 @@ def components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
 def cluster(
     postings: DataFrame, verify: Callable[[DataFrame], DataFrame], *,
     order: Column, compatible: Callable[[str, str], Column], extra: tuple[str, ...] = (),
-) -> DataFrame | None:
-    """Classes of the ids in ``postings`` (key, id, *extra); None if no two are linked.
+    deep: DataFrame | None = None, deep_compatible: Callable[[str, str], Column] | None = None, few: int = 32, pivots: int = 4,
+) -> DataFrame:
+    """Classes (id, component) of the ids in ``postings`` (key, id, *extra); ids without a link are left out.
 
-    ``order`` ranks members as pivots (smallest first; it must end with the id);
-    ``compatible(a, b)`` is a cheap necessary condition on the struct columns a
-    and b of two members; ``verify`` filters pairs (a, b) down to true links.
+    ``order`` ranks members as first pivots (smallest first; it must end with the
+    id); ``compatible(a, b)`` is a cheap necessary condition on the struct
+    columns a and b of two members; ``verify`` filters pairs (a, b) down to true
+    links.  Every pair that shares a key and is compatible is verified, unless
+    both are in one class already:
+
+    1. Every member meets its key's pivot.
+    2. In keys where more than ``few`` members are outside the largest class,
+       every member meets ``pivots`` more of those.
+    3. Members outside the largest class of their key meet all members of other
+       classes.  In keys with more than ``few`` of them a sharper necessary
+       condition, ``deep_compatible`` on the columns of ``deep`` (id, ...),
+       is part of the join, so that what cannot be a link never becomes a row.
     """
     member = F.struct("id", *extra)
-    pivots = postings.groupBy("key").agg(F.min_by(member, order).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    star = postings.select("key", member.alias("q")).join(pivots.select("key", "p"), "key").where(F.col("p.id") != F.col("q.id"))
-    star = star.where(compatible("p", "q")).select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
-    links = write_table(verify(write_table(star)).select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+    def meet(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
+        pairs = left.join(right, condition).select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
+        return write_table(verify(write_table(pairs)).select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+    def labelled(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members with their classes, of keys with several; and of those keys the largest class and how many are outside."""
+        every = postings.join(classes, "id", "left").select("key", member.alias("m"), F.coalesce("component", "id").alias("c"))
+        every = write_table(every)
+        sizes = every.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
+        keys = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"))
+        keys = write_table(keys.select("key", F.col("top.c").alias("largest"), (F.col("all") - F.col("top.n")).alias("others")).where("others > 0"))
+        return every.join(keys, "key"), keys
+
+    first = postings.groupBy("key").agg(F.min_by(member, order).alias("q"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    star = postings.select("key", member.alias("p"))
+    links = meet(star, first.select(F.col("key").alias("k"), "q"), (F.col("key") == F.col("k")) & (F.col("p.id") != F.col("q.id")) & compatible("p", "q"))
     classes = write_table(components(links))
-    # Keys whose members are all in one class are done; the others need their pairs across classes.
-    labelled = postings.join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    labelled = write_table(labelled.select("key", F.struct("id", *extra).alias("m"), "component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = labelled.join(mixed, "key", "left_semi")
-    left = rest.select("key", F.col("m").alias("p"), F.col("component").alias("cp"))
-    right = rest.select("key", F.col("m").alias("q"), F.col("component").alias("cq"))
-    # Pivots have met every member of their key already; the distinct below drops what repeats.
-    cross = left.join(right, "key").where((F.col("cp") < F.col("cq")) & compatible("p", "q"))
-    cross = cross.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
-    more = write_table(verify(write_table(cross)).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    every, keys = labelled(classes)
+    if not keys.where(F.col("others") > few).isEmpty():
+        many = every.where(F.col("others") > few)
+        outside = many.where("c <> largest").groupBy("key")
+        some = outside.agg(F.array(*[F.min_by(F.struct("m", "c"), F.struct(F.xxhash64(F.lit(j), "m.id"), "m.id")) for j in range(pivots)]).alias("some"))
+        some = some.select(F.col("key").alias("k"), F.explode(F.array_distinct("some")).alias("x")).select("k", F.col("x.m").alias("q"), F.col("x.c").alias("d"))
+        new = meet(many.withColumnRenamed("m", "p"), some, (F.col("key") == F.col("k")) & (F.col("c") != F.col("d")) & compatible("p", "q"))
+        stars = classes.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
+        classes = write_table(components(stars.union(new)))
+        every, keys = labelled(classes)
+    # Both sides outside the largest class meet once.
+    across = (F.col("key") == F.col("k")) & (F.col("c") != F.col("d")) & ((F.col("d") == F.col("largest")) | (F.col("p.id") < F.col("q.id")))
+    left, right = every.where("c <> largest").withColumnRenamed("m", "p"), every.select(F.col("key").alias("k"), F.col("m").alias("q"), F.col("c").alias("d"), F.col("others").alias("o"))
+    if deep is None:
+        more = meet(left, right, across & compatible("p", "q"))
+    else:
+        more = meet(left.where(F.col("others") <= few), right.where(F.col("o") <= few), across & compatible("p", "q"))
+        if not keys.where(F.col("others") > few).isEmpty():
+            own, other = deep.select(F.struct(*deep.columns).alias("x")), deep.select(F.struct(*deep.columns).alias("y"))
+            left = left.where(F.col("others") > few).join(own, F.col("p.id") == F.col("x.id"))
+            right = right.where(F.col("o") > few).join(other, F.col("q.id") == F.col("y.id"))
+            more = more.union(meet(left, right, across & compatible("p", "q") & deep_compatible("x", "y")))
     if more.isEmpty():
         return classes
-    return components(links.union(more))
+    return components(classes.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v")).union(more))

@@ -6,26 +6,31 @@ whole).  Lines are near-duplicates if the Jaccard similarity of their distinct
 shingles is at least ``threshold``; classes are connected components, and of
 every class only the first line in order of (doc_id, place) stays.
 
-1. Equal lines collapse by a 128-bit hash; one row stands for all of them.
-2. Signatures.  Shingles are hashed, and the ``run + bands - 1`` smallest hashes
-   in order give ``bands`` keys, each of ``run`` consecutive minima.  Two lines
-   share a key if a run of that length among the minima of their union lies in
-   both: a chance of about 0.98 at similarity 0.8 and 0.999 at 0.9.  Every line
-   signs all its shingles, the same that verification compares.
+1. Signatures.  Every shingle of every line is hashed to 64 bits, and an
+   aggregation keeps, for ``rows * bands`` fixed masks, the least hash under
+   each mask (hash XOR mask).  Equal lines (128 bits of hash) collapse in the
+   same aggregation, before the shuffle.  A band is ``rows`` of those minima:
+   lines of similarity s share one with a chance of 1 - (1 - s ** rows) ** bands,
+   0.99 at 0.8 with 3 rows and 7 bands, 0.9997 at 0.9.
+2. Band keys that two different lines have are counted out; only their lines,
+   few, are read again, with their number of shingles and a bitmap of those.
 3. Lines that share a key are verified on all their shingles exactly, and
-   linked by distributed union-find (``components.py``), without listing all
-   pairs of a key.
+   linked by distributed union-find (``components.py``): pairs are first
+   bounded by size and bitmap, and a key's pairs within one class never listed.
 
 Edge cases: null and empty texts have no lines to drop and come back as they
-are; blank lines always stay; ties of (doc_id, place), from repeated rows, are
-broken by the row's text and else leave one of the equal rows its line; an
-empty table gives an empty result; other columns pass through unread.
+are; blank lines always stay; rows with a null doc_id come back as they are and
+are no copies of others; of equal first lines, from repeated rows, each row
+keeps its own; rows of one doc_id with different texts lose only the lines that
+are no first ones in each; very long lines are taken whole; an empty table gives
+an empty result; other columns pass through unread, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from fractions import Fraction
+from random import Random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,26 +39,29 @@ from .common import drop_table, fresh_name, release_shuffles, write_table
 from .components import cluster
 
 FEED = "\n"
-#: Up to this length shingles are cut out one by one.
-CUT = 1000
+#: Longs in the bitmap of a line's shingles.
+BITMAP = 16
+#: Bytes of a character as ``encode`` writes it: fixed, so that any shingle is found at once.
+WIDE, CODE = 4, "UTF-32"
 
 
 def _trimmed(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\r\x0b\x0c"))
 
 
-def shingles(line: Column, k: int) -> Column:
-    """Hashes of all distinct runs of k characters; of the whole line if it is shorter.
+def _places(wide: Column, k: int) -> Column:
+    """Where the shingles of an encoded line begin (from 1)."""
+    return F.sequence(F.lit(1), F.greatest(F.length(wide) - WIDE * k + 1, F.lit(1)), F.lit(WIDE))
+
 
-    Cutting each run out of the line is fastest for usual lines but quadratic in
-    their length, so longer lines are read once by a pattern (which must not begin
-    within a surrogate pair); both give the same.
-    """
-    n = F.length(line)
-    cut = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.xxhash64(F.substring(line, i, F.lit(k))))
-    runs = F.regexp_extract_all(line, F.lit(f"(?s)(?=([^\\p{{Cs}}].{{{k - 1}}}))"), F.lit(1))
-    read = F.transform(runs, lambda x: F.xxhash64(x))
-    return F.array_distinct(F.when(n <= k, F.array(F.xxhash64(line))).when(n <= CUT, cut).otherwise(read))
+def _shingle(wide: Column, place: Column, k: int) -> Column:
+    return F.xxhash64(F.substring(wide, place, F.lit(WIDE * k)))
+
+
+def shingles(line: Column, k: int) -> Column:
+    """Hashes of all distinct runs of k characters; of the whole line if it is shorter."""
+    every = _let(F.encode(line, CODE), lambda wide: F.transform(_places(wide, k), lambda at: _shingle(wide, at, k)))
+    return F.array_distinct(every)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -61,17 +69,27 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def signature_keys(line: Column, k: int, run: int, bands: int) -> Column:
-    """Bucket keys of a trimmed line: of ``run`` consecutive smallest hashes; a line with fewer hashes has one key of all."""
-    low = F.slice(F.sort_array(shingles(line, k)), 1, run + bands - 1)
-    places = lambda low: F.sequence(F.lit(1), F.greatest(F.size(low) - run + 1, F.lit(1)))
-    return _let(low, lambda low: F.transform(places(low), lambda i: F.xxhash64(F.slice(low, i, run))))
+def signatures(lines: DataFrame, *, k: int, rows: int, bands: int) -> DataFrame:
+    """(h1, h2, keys): the band keys of each distinct line of ``lines`` (h1, h2, line)."""
+    random = Random(31)
+    masks = [F.lit(random.getrandbits(64) - (1 << 63)) for _ in range(rows * bands)]
+    wide = lines.select("h1", "h2", F.encode("line", CODE).alias("wide"))
+    each = wide.select("h1", "h2", "wide", F.explode(_places(F.col("wide"), k)).alias("at"))
+    each = each.select("h1", "h2", _shingle(F.col("wide"), F.col("at"), k).alias("h"))
+    least = each.groupBy("h1", "h2").agg(*[F.min(F.col("h").bitwiseXOR(mask)).alias(f"m{j}") for j, mask in enumerate(masks)])
+    keys = [F.xxhash64(*[f"m{rows * b + r}" for r in range(rows)]) for b in range(bands)]
+    return least.select("h1", "h2", F.array(*keys).alias("keys"))
+
+
+def _packed(place: Column, h1: Column) -> Column:
+    """A place and half of the line's hash in one number."""
+    return F.shiftleft(place.cast("long"), 32).bitwiseOR(h1.bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def duplicate_lines(
-    docs: DataFrame, *, k: int = 10, run: int = 3, bands: int = 12, threshold: float = 0.8, text: str = "text", doc_id: str = "doc_id",
+def gone_lines(
+    docs: DataFrame, *, k: int = 10, rows: int = 3, bands: int = 7, threshold: float = 0.8, text: str = "text", doc_id: str = "doc_id",
 ) -> DataFrame:
-    """(doc_id, places): for each document with lines to drop, their places in it (from 0)."""
+    """(doc_id, gone): for each document with lines to drop, their places in it (from 0) and halves of their hashes, packed."""
     spark = docs.sparkSession
     # Whole numbers: in doubles, pairs at exactly the threshold would be lost.
     least = Fraction(str(threshold))
@@ -79,62 +97,95 @@ def duplicate_lines(
     pick = F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")
     exploded = docs.select(*pick).where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", FEED)).alias("place", "line"))
     exploded = exploded.withColumn("line", _trimmed(F.col("line"))).where("line <> ''")
-    lines = write_table(exploded.select(
-        "doc_id", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"),
-        signature_keys(F.col("line"), k, run, bands).alias("keys")))
-    # 1. One row for equal lines: their first place.
-    signed = write_table(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place", "keys")).alias("first")))
-    fat, lines = lines, write_table(lines.drop("keys"))
-    drop_table(fat)
+    exploded = exploded.select("doc_id", "place", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
+    # 1. Places of all lines, band keys of distinct ones.
+    lines = write_table(exploded.drop("line"))
+    signed = write_table(signatures(exploded, k=k, rows=rows, bands=bands))
     release_shuffles(spark)
-    # 2. Keys that more than one line has.
-    keys = signed.select("first.doc_id", "first.place", F.explode(F.array_distinct("first.keys")).alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    postings = write_table(keys.join(shared, "key", "left_semi").select("key", F.struct("doc_id", "place").alias("id")))
-    unique = write_table(signed.select("h1", "h2", F.struct("first.doc_id", "first.place").alias("at")))
+    # 2. Keys that more than one line has, and the lines that have them.
+    keys = signed.select("h1", "h2", F.explode(F.array_distinct("keys")).alias("key"))
+    shared = write_table(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    release_shuffles(spark)
+    found = write_table(keys.join(shared.hint("shuffle_hash"), "key", "left_semi"))
     drop_table(signed)
+    drop_table(shared)
+    release_shuffles(spark)
+    some = found.select("h1", "h2").distinct()
+    first = lines.join(some, ["h1", "h2"]).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place")).alias("at"))
+    some = write_table(first.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "at.*"))
+    where = some.select("id", F.col("doc_id").alias("_d"), F.col("place").alias("_p"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
+    same = (F.col("doc_id") == F.col("_d")) & (F.col("place") == F.col("_p")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
+    texts = write_table(exploded.join(where, same).groupBy("id").agg(F.first("line").alias("line")))
     release_shuffles(spark)
-    # 3. Texts of those lines only, then links and classes.
-    some = postings.select(F.col("id.doc_id").alias("_d"), F.col("id.place").alias("_p")).distinct()
-    texts = exploded.join(some, (F.col("doc_id") == F.col("_d")) & (F.col("place") == F.col("_p")), "left_semi")
-    # Repeated doc_ids may bring several lines to one place; its id then stands for the smallest of them.
-    texts = texts.groupBy("doc_id", "place").agg(F.min("line").alias("line"))
-    texts = write_table(texts.select(F.struct("doc_id", "place").alias("id"), "line", F.size(shingles(F.col("line"), k)).alias("n")))
-    sized = write_table(postings.join(texts.select("id", "n"), "id"))
+    each = texts.select("id", F.explode(shingles(F.col("line"), k)).alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("h", 4).bitwiseAND(63).cast("int"))
+    words = [F.coalesce(F.bit_or(F.when(F.col("h").bitwiseAND(BITMAP - 1) == w, bit)), F.lit(0).cast("long")) for w in range(BITMAP)]
+    marks = write_table(each.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.array(*words).alias("bits")))
+    postings = found.join(some.select("id", "h1", "h2"), ["h1", "h2"]).select("key", "id")
+    postings = write_table(postings.join(marks, "id").select("key", "id", "n", "bits"))
+    drop_table(found)
     release_shuffles(spark)
 
+    # 3. Sets of a and b can be near only if 2 * both * (whole + part) >= 2 * part * (a + b), so if what either
+    # lacks is at most (whole - part) / (whole + part) of both sizes.
+    def near(lacking: Column, na: Column, nb: Column) -> Column:
+        return lacking * (whole + part) <= (na + nb) * (whole - part)
+
+    def others(a: str, b: str) -> Column:
+        """Bits of a that b lacks: each stands for another shingle."""
+        return sum((F.bit_count(F.col(f"{a}.bits")[w].bitwiseAND(F.bitwise_not(F.col(f"{b}.bits")[w]))) for w in range(BITMAP)), F.lit(0))
+
     def compatible(a: str, b: str) -> Column:
-        """Sets whose sizes differ too much cannot reach the threshold."""
         na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-        return (na * whole >= nb * part) & (nb * whole >= na * part)
+        return (na * whole >= nb * part) & (nb * whole >= na * part) & near(F.greatest(2 * others(a, b) + nb - na, 2 * others(b, a) + na - nb), na, nb)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        one = texts.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("n").alias("na"))
-        two = texts.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("n").alias("nb"))
-        both = F.size(F.array_intersect(shingles(F.col("la"), k), shingles(F.col("lb"), k)))
-        return pairs.join(one, "a").join(two, "b").where(both * (whole + part) >= part * (F.col("na") + F.col("nb"))).select("a", "b")
+    def deep_compatible(a: str, b: str) -> Column:
+        na, nb, sa, sb = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.low"), F.col(f"{b}.low")
+        both = F.size(F.array_intersect(sa, sb))
+        return near(F.size(sa) + F.size(sb) - 2 * both, na, nb)
 
-    classes = cluster(sized, verify, order=F.struct("id"), compatible=compatible, extra=("n",))
-    # A line goes if it isn't the first of its equal lines, or not the first of its class.
-    kept = unique.join(
-        classes, F.col("at") == F.col("id"), "left").select("h1", "h2", F.coalesce("component", "at").alias("keeper"))
-    gone = lines.join(kept, ["h1", "h2"]).where((F.col("doc_id") != F.col("keeper.doc_id")) | (F.col("place") != F.col("keeper.place")))
-    return gone.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    def verify(pairs: DataFrame) -> DataFrame:
+        one = texts.select(F.col("id").alias("a"), F.col("line").alias("la"))
+        two = texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
+        sets = pairs.join(one, "a").join(two, "b").select("a", "b", shingles(F.col("la"), k).alias("sa"), shingles(F.col("lb"), k).alias("sb"))
+        both = F.size(F.array_intersect("sa", "sb"))
+        return sets.where(both * (whole + part) >= part * (F.size("sa") + F.size("sb"))).select("a", "b")
+
+    # The lowest 16 bits of hashes: two shingles of a line rarely share them, and those that do only weaken the bound.
+    low = F.array_distinct(F.transform(shingles(F.col("line"), k), lambda h: h.bitwiseAND(0xFFFF).cast("int")))
+    deep = texts.select("id", F.size(shingles(F.col("line"), k)).alias("n"), low.alias("low"))
+    classes = cluster(postings, verify, order=F.struct("id"), compatible=compatible, extra=("n", "bits"), deep=deep, deep_compatible=deep_compatible)
+    # A line goes if it isn't the first of its class; equal lines are a class, too.
+    named = classes.join(some.select("id", "h1", "h2"), "id").select("h1", "h2", "component")
+    named = write_table(named)
+    copies = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
+    several = named.select("h1", "h2").union(copies).distinct()
+    touched = lines.join(several, ["h1", "h2"]).join(named, ["h1", "h2"], "left")
+    # A class is named by its number, or (of equal lines alone) by their hash.
+    label = F.when(F.col("component").isNotNull(), F.struct(F.col("component").alias("x"), F.lit(None).cast("long").alias("y"))).otherwise(F.struct(F.col("h1").alias("x"), F.col("h2").alias("y")))
+    touched = write_table(touched.select("doc_id", "place", "h1", label.alias("label")))
+    drop_table(lines)
+    release_shuffles(spark)
+    keepers = touched.groupBy("label").agg(F.min(F.struct("doc_id", "place")).alias("keeper"))
+    gone = touched.join(keepers, touched["label"].eqNullSafe(keepers["label"]))
+    gone = gone.where((F.col("doc_id") != F.col("keeper.doc_id")) | (F.col("place") != F.col("keeper.place")))
+    return gone.groupBy("doc_id").agg(F.collect_set(_packed(F.col("place"), F.col("h1"))).alias("gone"))
 
 
 def dedup_lines(
     docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", dropped: str | None = None, **options,
 ) -> DataFrame:
     """``docs`` with near-duplicate lines taken out of ``text``; ``dropped`` names a column for their number."""
-    places = duplicate_lines(docs, text=text, doc_id=doc_id, **options)
-    key, gone = fresh_name(docs, "dedup_id"), fresh_name(docs, "dedup_places")
-    places = places.select(F.col("doc_id").alias(key), F.col("places").alias(gone))
+    places = write_table(gone_lines(docs, text=text, doc_id=doc_id, **options))
+    key, gone = fresh_name(docs, "dedup_id"), fresh_name(docs, "dedup_gone")
+    places = places.select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
     rows = docs.join(places, F.col(f"`{doc_id}`").cast("long") == F.col(key), "left")
-    all_lines = F.split(F.col(f"`{text}`"), FEED)
-    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
-    kept = _let(all_lines, lambda lines: F.transform(stay(lines), lambda i: lines[i]))
-    changed = F.when(F.col(gone).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, FEED))
+    lines = F.split(F.col(f"`{text}`"), FEED)
+    marked = F.transform(lines, lambda line, at: _packed(at, F.xxhash64(_trimmed(line))))
+    stay = F.array_except(marked, F.col(gone))
+    kept = _let(lines, lambda lines: F.transform(stay, lambda x: lines[F.shiftright(x, 32).cast("int")]))
+    changed = F.when(F.col(gone).isNull() | F.col(f"`{text}`").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, FEED))
     columns = [changed.alias(c) if c.lower() == text.lower() else F.col(f"`{c}`") for c in docs.columns]
     if dropped:
-        columns.append(F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(dropped))
+        columns.append(F.when(F.col(gone).isNull() | F.col(f"`{text}`").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(stay)).cast("long").alias(dropped))
     return rows.select(*columns)
