@@ -3,22 +3,33 @@
 Features of a text are the distinct hashed words and word beginnings it holds
 (ASCII and Unicode letters lowered), so one use of a telling word counts the
 same in ten words or in ten thousand.  Slots whose document frequency
-does not depend on the label are set aside; on the others training minimises
+does not depend on the label are set aside, those of identity terms are not;
+on what is left training minimises
 
-    log loss + l1 * |w| + cf * (score(text) - score(swapped text)) ** 2
+    log loss + l1 * |w| + cf * (score(text) - score(counterpart)) ** 2
 
-where the swapped text has each identity term replaced by another of its group
-(women -> men, muslim -> christian, ...).  The penalty takes weight from the
-terms themselves, and so lowers scores of neutral mentions of a group.
+Every labelled text has a counterpart.  Identity terms that it holds are swapped
+for others of their group (women -> men, muslim -> christian, ...).  A text
+without any gets a term placed in it, and its counterpart holds another term of
+the group or none: mentions of a group that nobody wrote into the training data
+are penalised as well.  So neither the terms themselves, where scraped labels
+speak against them, nor beginnings that they share with insults (``tra`` of
+trash and transgender) raise the score of a neutral mention.
 
 Fitting runs on the driver over a sample of at most ``max_train`` labelled rows,
-half of each label where there are enough, chosen by a hash of doc_id; the
-whole texts of those rows are used.  Scoring runs on the executors over every
-row.  Labels, language, source and doc_id are never inputs of a score.
+half of each label where there are enough, chosen by a hash of doc_id, one row
+for each doc_id.  Texts stay on the executors: their whole words become slot numbers
+there, slots are counted in Spark, and of every row only its numbers among the at most
+``max_slots`` telling slots and those of identity terms reach the driver.  Scoring
+runs on the executors over every row.  Labels, language, source and doc_id are
+never inputs of a score.
 
 Edge cases: null and empty texts get the score of the bias alone; no labelled
-rows give 0.5 everywhere; labels that are null are left out; repeated rows get
-equal scores; an empty table gives an empty result; other columns are not read.
+rows give 0.5 everywhere; labels that are null or other than 0 and 1, and rows
+with a null doc_id, are left out of training but scored; repeated rows get equal
+scores, and of rows of one doc_id with different texts one, by a hash, is
+trained on; very long texts are read whole; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,19 +44,27 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop_table, write_table
+
 #: Weights of the model: words and their beginnings hash into so many slots.
 SLOTS = 1 << 20
 #: Lengths of the word beginnings that count as features beside the words.
 BEGINNINGS = (3, 4, 5, 6)
 MEMO_WORDS = 100_000
 
-# Identity terms by group; a term is swapped for the next of its group.
+# Identity terms by group and language; a term is swapped for the next of its group.
 IDENTITY_GROUPS = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("girl", "boy"), ("female", "male"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
     ("black", "white", "asian", "latino", "african", "european"), ("gay", "straight", "lesbian", "bisexual"),
     ("transgender", "cisgender"), ("disabled", "deaf", "blind"), ("immigrant", "refugee", "citizen"), ("immigrants", "refugees", "citizens"),
     ("old", "young"), ("american", "mexican", "chinese", "indian", "arab"),
+    ("frauen", "männer"), ("muslime", "christen", "juden", "hindus"), ("schwarze", "weiße", "asiaten"), ("schwul", "lesbisch", "hetero"),
+    ("ausländer", "flüchtlinge", "bürger"), ("türken", "polen", "deutsche", "araber"), ("behinderte", "blinde", "gehörlose"),
+    ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs", "hindous"), ("noirs", "blancs", "asiatiques"), ("homosexuels", "lesbiennes", "hétérosexuels"),
+    ("étrangers", "réfugiés", "citoyens"), ("arabes", "africains", "européens"), ("handicapés", "sourds", "aveugles"),
+    ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos", "hindúes"), ("negros", "blancos", "asiáticos"), ("homosexuales", "lesbianas", "heterosexuales"),
+    ("inmigrantes", "refugiados", "ciudadanos"), ("gitanos", "mexicanos", "españoles"), ("discapacitados", "sordos", "ciegos"),
 )
 
 _WORD = re.compile(r"[^\W_]+")
@@ -98,93 +117,188 @@ def _probability(logit: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def _telling(rows: list[np.ndarray], y: np.ndarray, false_slots: float) -> np.ndarray:
-    """Slots whose document frequency depends on the label: a likelihood ratio that about ``false_slots`` of all pass by chance."""
-    counts = np.zeros((2, SLOTS), np.int32)
-    for r, label in zip(rows, y, strict=True):
-        counts[int(label)][r] += 1  # a row names a slot once
-    n = np.array([(y == 0).sum(), (y == 1).sum()], float)
-    both = counts[0] + counts[1]
-    ratio = np.zeros(SLOTS)
+@dataclass
+class Example:
+    """Slots of a text, and of its counterfactual pair: ``own`` and ``placed`` against ``own`` without ``lost`` and with ``swapped``."""
+
+    own: np.ndarray
+    placed: np.ndarray
+    lost: np.ndarray
+    swapped: np.ndarray
+
+
+def example(text: str | None, swap: dict[str, str], memo: _Slots) -> Example:
+    words = distinct_words(text)
+    own = features(words, memo)
+    none = own[:0]
+    if not words.isdisjoint(swap):
+        other = features({swap.get(w, w) for w in words}, memo)
+        return Example(own, none, np.setdiff1d(own, other), np.setdiff1d(other, own))
+    pick = xxhash.xxh64_intdigest(text or "")
+    terms = sorted(swap)
+    term = terms[pick % len(terms)]
+    placed = np.setdiff1d(features({term}, memo), own)
+    swapped = np.setdiff1d(features({swap[term]}, memo), own) if pick >> 40 & 1 else none
+    return Example(own, placed, none, swapped)
+
+
+def identity_slots(groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS) -> np.ndarray:
+    """Slots of the terms as whole words; beginnings, which other words share, must be telling themselves."""
+    return np.unique(np.array([_slot("w" + term) for group in groups for term in group], np.int32))
+
+
+def _ratio(seen: np.ndarray, both: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How much the document frequency of slots depends on the label: twice the log of a likelihood ratio.
+
+    ``seen`` and ``both`` count the rows of label 1 and of either that have the slot; ``n`` the rows of labels 0 and 1.
+    """
+    out = np.zeros(len(both))
     with np.errstate(divide="ignore", invalid="ignore"):
-        for k in (0, 1):
+        for k, with_slot in ((0, both - seen), (1, seen)):
             share = n[k] / n.sum()
-            for seen, total in ((counts[k], both), (n[k] - counts[k], n.sum() - both)):
-                ratio += np.where(seen > 0, 2 * seen * np.log(seen / (total * share)), 0)
-    tried = max(1, int((both >= 2).sum()))
-    return (both >= 2) & (ratio >= max(3.84, 2 * np.log(tried / false_slots)))
+            for count, total in ((with_slot, both), (n[k] - with_slot, n.sum() - both)):
+                out += np.where(count > 0, 2 * count * np.log(count / (total * share)), 0)
+    return out
+
+
+def telling(slots: np.ndarray, seen: np.ndarray, both: np.ndarray, n: np.ndarray, false_slots: float, max_slots: int) -> np.ndarray:
+    """Of ``slots`` (each of two rows at least) those whose frequency depends on the label; about ``false_slots`` of all pass by chance."""
+    if not len(slots):
+        return slots
+    ratio = _ratio(seen, both, n)
+    passed = np.flatnonzero(ratio >= max(3.84, 2 * np.log(max(1, len(slots)) / false_slots)))
+    return np.sort(slots[passed[np.argsort(-ratio[passed], kind="stable")][:max_slots]])
 
 
 def fit(
-    texts: list[str | None], labels: list[int], *, epochs: int = 24, rate: float = 0.4, l1: float = 1e-4, cf: float = 2.0, false_slots: float = 20.0,
-    groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, seed: int = 0,
+    texts: list[str | None], labels: list[int], *, false_slots: float = 20.0, max_slots: int = 1 << 16,
+    groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, **options,
 ) -> Model:
-    """Adagrad with a proximal l1 step over shuffled mini-batches; the same rows give the same model."""
-    model = Model()
+    """A model of texts in memory."""
     if not texts:
-        return model
+        return Model()
     memo, swap = _Slots(), swaps(groups)
-    rows, counterparts = [], {}
-    for i, text in enumerate(texts):  # the words of one text at a time: they take far more room than its slots
-        words = distinct_words(text)
-        rows.append(features(words, memo))
-        if not words.isdisjoint(swap):
-            counterparts[i] = features({swap.get(w, w) for w in words}, memo)
-    del memo
+    examples = [example(t, swap, memo) for t in texts]
+    y = np.asarray(labels, np.int64)
+    slots, both = np.unique(np.concatenate([e.own for e in examples]), return_counts=True)
+    seen = np.zeros(len(slots), np.int64)
+    for e, label in zip(examples, y, strict=True):
+        if label:
+            seen[np.searchsorted(slots, e.own)] += 1
+    keep = both >= 2
+    told = telling(slots[keep], seen[keep], both[keep], np.array([(y == 0).sum(), (y == 1).sum()]), false_slots, max_slots)
+    return fit_examples(examples, y, np.union1d(told, identity_slots(groups)), **options)
+
+
+def fit_examples(
+    examples: list[Example], labels: np.ndarray, usable: np.ndarray, *,
+    epochs: int = 24, rate: float = 0.4, l1: float = 1e-4, cf: float = 2.0, seed: int = 0,
+) -> Model:
+    """Adagrad with a proximal l1 step over shuffled mini-batches; the same rows give the same model."""
+    model = Model()
     y = np.asarray(labels, np.float64)
-    usable = _telling(rows, y, false_slots)
-    rows = [r[usable[r]] for r in rows]
-    counterparts = {i: r[usable[r]] for i, r in counterparts.items()}
+
+    def places(slots: np.ndarray) -> np.ndarray:
+        return np.searchsorted(usable, slots[np.isin(slots, usable)])
+
+    rows = [places(e.own) for e in examples]
+    left = [np.concatenate([r, places(e.placed)]) for r, e in zip(rows, examples, strict=True)]
+    right = [np.concatenate([np.setdiff1d(r, places(e.lost)), places(e.swapped)]) for r, e in zip(rows, examples, strict=True)]
     # Both labels weigh the same in the loss, whatever their share.
     share = np.array([(y == 0).mean(), (y == 1).mean()]).clip(1e-9)
     weight = np.where(y == 1, 0.5 / share[1], 0.5 / share[0])
-    model.bias = 0.0
-    history, bias_history = np.full(SLOTS, 1e-6), 1e-6
+    values, bias = np.zeros(len(usable)), 0.0
+    history, bias_history = np.full(len(usable), 1e-6), 1e-6
     order = np.random.default_rng(seed)
+
+    def logits(part: list[np.ndarray]) -> np.ndarray:
+        ends = np.cumsum([0, *map(len, part)])
+        sums = np.concatenate([[0.0], np.cumsum(values[np.concatenate(part)])])
+        return sums[ends[1:]] - sums[ends[:-1]] + bias
+
     for _ in range(epochs):
         for batch in np.array_split(order.permutation(len(rows)), max(1, len(rows) // 64)):
             if not len(batch):
                 continue
             part = [rows[i] for i in batch]
-            p = _probability(model.logits(part))
-            slope = (p - y[batch]) * weight[batch] / len(batch)
-            grads = [(r, np.full(len(r), g)) for r, g in zip(part, slope, strict=True)]
-            paired = [i for i in batch if i in counterparts]
-            if paired and cf:
-                a, b = [rows[i] for i in paired], [counterparts[i] for i in paired]
-                pa_, pb = _probability(model.logits(a)), _probability(model.logits(b))
-                gap = 2 * cf * (pa_ - pb) / len(batch)
-                grads += [(r, np.full(len(r), g)) for r, g in zip(a, gap * pa_ * (1 - pa_), strict=True)]
-                grads += [(r, np.full(len(r), g)) for r, g in zip(b, -gap * pb * (1 - pb), strict=True)]
-            at = np.concatenate([g[0] for g in grads])
-            slots, back = np.unique(at, return_inverse=True)
-            total = np.bincount(back, np.concatenate([g[1] for g in grads]), len(slots))
-            history[slots] += total**2
-            step = rate / np.sqrt(history[slots])
-            moved = model.weights[slots] - step * total
-            model.weights[slots] = np.sign(moved) * np.maximum(np.abs(moved) - step * l1, 0)
-            g = slope.sum() + 0.005 * model.bias  # a small bias lets a single telling word decide
+            slope = (_probability(logits(part)) - y[batch]) * weight[batch] / len(batch)
+            grads = [(part, slope)]
+            if cf:
+                a, b = [left[i] for i in batch], [right[i] for i in batch]
+                p, q = _probability(logits(a)), _probability(logits(b))
+                gap = 2 * cf * (p - q) / len(batch)
+                grads += [(a, gap * p * (1 - p)), (b, -gap * q * (1 - q))]
+            at = np.concatenate([r for part, _ in grads for r in part])
+            each = np.concatenate([np.repeat(g, [len(r) for r in part]) for part, g in grads])
+            total = np.bincount(at, each, len(values)) if len(at) else np.zeros(len(values))
+            moved = np.flatnonzero(total)
+            history[moved] += total[moved] ** 2
+            step = rate / np.sqrt(history[moved])
+            new = values[moved] - step * total[moved]
+            values[moved] = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
+            g = slope.sum() + 0.005 * bias  # a small bias lets a single telling word decide
             bias_history += g * g
-            model.bias -= rate * g / np.sqrt(bias_history)
+            bias -= rate * g / np.sqrt(bias_history)
+    model.weights[usable] = values
+    model.bias = float(bias)
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, max_train: int) -> list:
-    """At most ``max_train`` (text, toxic) rows, half of each label if there are enough, in order of a hash of doc_id."""
-    marked = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and _id is not null")
-    marked = marked.where(usable).withColumn("_h", F.xxhash64("_id"))
+def training_examples(docs: DataFrame, labels: DataFrame, usable: Column, max_train: int, groups: tuple[tuple[str, ...], ...]) -> DataFrame:
+    """(h, id, toxic, own, placed, lost, swapped): at most ``max_train`` rows, half of each label if there are enough, by a hash of doc_id."""
+    marked = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and _id is not null")
+    marked = marked.where(usable).groupBy("_id").agg(F.max("toxic").alias("toxic")).withColumn("_h", F.xxhash64("_id"))
     half = max_train // 2
     few = [marked.where(f"toxic = {k}").orderBy("_h", "_id").limit(half) for k in (0, 1)]
-    few = few[0].union(few[1])
-    texts = docs.select(F.col("doc_id").alias("_doc"), "text")
-    rows = texts.join(few, F.col("_doc") == F.col("_id")).select("_h", "_id", "text", "toxic").collect()
-    return sorted(rows, key=lambda r: (r._h, r._id, r.text or ""))
+    few = F.broadcast(few[0].union(few[1]))  # at most max_train rows of three numbers
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text")
+    rows = texts.join(few, F.col("_doc") == F.col("_id")).select("_h", "_id", "toxic", "text")
+    swap = swaps(groups)
+    arrays = ("own", "placed", "lost", "swapped")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Slots()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                text = batch.column(3)[k].as_py()
+                e = example(text, swap, memo)
+                chosen = xxhash.xxh64_intdigest(text or "") >> 1
+                lists = [pa.array([getattr(e, name)], pa.list_(pa.int32())) for name in arrays]
+                yield pa.record_batch([*(batch.column(i).slice(k, 1) for i in range(3)), pa.array([chosen], pa.int64()), *lists], ["h", "id", "toxic", "chosen", *arrays])
+
+    found = rows.mapInArrow(run, "h long, id long, toxic int, chosen long, " + ", ".join(f"{a} array<int>" for a in arrays))
+    one = found.groupBy("id").agg(F.min_by(F.struct("h", "toxic", *arrays), "chosen").alias("e"))
+    return one.select("id", "e.*")
 
-def train(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, max_train: int = 8000, **options) -> Model:
+
+def train(
+    docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, max_train: int = 8000, max_slots: int = 1 << 16, false_slots: float = 20.0,
+    groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, **options,
+) -> Model:
     """A model of the labelled rows for which ``usable`` (a condition on ``_id``) holds."""
-    rows = training_rows(docs, labels, F.lit(True) if usable is None else usable, max_train)
-    return fit([r.text for r in rows], [r.toxic for r in rows], **options)
+    rows = write_table(training_examples(docs, labels, F.lit(True) if usable is None else usable, max_train, groups))
+    n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not n:
+        return Model()
+    each = rows.select("toxic", F.explode("own").alias("slot")).groupBy("slot").agg(F.sum("toxic").alias("seen"), F.count(F.lit(1)).alias("both"))
+    counts = each.where("both >= 2").toArrow().sort_by("slot")  # three numbers for each of at most SLOTS slots
+    columns = [counts.column(c).to_numpy() for c in ("slot", "seen", "both")]
+    told = telling(*columns, np.array([n.get(0, 0), n.get(1, 0)]), false_slots, max_slots)
+    keep = np.union1d(told, identity_slots(groups)).astype(np.int32)
+
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [batch.column(0), batch.column(1), batch.column(2)]
+            for i in range(3, 7):
+                lists = [np.asarray(x, np.int32) for x in batch.column(i).to_pylist()]
+                out.append(pa.array([x[np.isin(x, keep)] for x in lists], pa.list_(pa.int32())))
+            yield pa.record_batch(out, batch.schema.names)
+
+    few = rows.select("h", "id", "toxic", "own", "placed", "lost", "swapped").mapInArrow(only, "h long, id long, toxic int, own array<int>, placed array<int>, lost array<int>, swapped array<int>")
+    held = few.toArrow().sort_by([("h", "ascending"), ("id", "ascending")])
+    drop_table(rows)
+    examples = [Example(*(np.asarray(held.column(i)[k].as_py(), np.int32) for i in range(3, 7))) for k in range(held.num_rows)]
+    return fit_examples(examples, held.column("toxic").to_numpy(), keep, **options)
 
 
 def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text", into: str = "score") -> DataFrame:

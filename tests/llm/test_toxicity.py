@@ -73,3 +73,33 @@ def test_held_out_rule(spark):
 
     got = spark.range(50).select("id", t.held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in got)
+
+
+def test_mentions_that_no_training_text_holds_are_spared_too(spark):
+    """Insults that share their beginnings with identity terms; no training text names a group."""
+    r = random.Random(8)
+    filler = [f"word{i}" for i in range(60)]
+    rows = []
+    for i in range(400):
+        toxic = i % 2
+        words = [r.choice(filler) for _ in range(12)] + ([r.choice(["transtrash", "musltrash", "blacktrash"])] if toxic else [])
+        rows.append((i, " ".join(words), toxic))
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    plain, fair = t.train(docs, labels, cf=0.0), t.train(docs, labels, cf=20.0)
+    neutral = [f"my {term} friend likes word{i} and word{i + 1}" for i, term in enumerate(["transgender", "muslim", "black"] * 10)]
+    false_positives = [(scores(m, neutral) >= 0.5).mean() for m in (plain, fair)]
+    assert false_positives[1] < false_positives[0]
+    assert all((scores(m, ["such a musltrash word1"]) >= 0.5).all() for m in (plain, fair))
+
+
+def test_training_in_memory_and_on_executors_is_the_same(spark):
+    rows = [(i, text, y) for i, (text, y) in enumerate(sentences(200))]
+    docs = spark.createDataFrame([(i, text, 0.5, "x") for i, text, _ in rows] + [(0, rows[0][1], 0.5, "x")], "doc_id long, text string, id double, h string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(0, rows[0][2])], "doc_id long, toxic int")
+    far = t.train(docs, labels)
+    order = [r.i for r in spark.range(200).select(F.col("id").alias("i"), F.xxhash64("id").alias("h")).orderBy("h", "i").collect()]
+    near = t.fit([rows[i][1] for i in order], [rows[i][2] for i in order])
+    assert np.array_equal(far.weights, near.weights) and far.bias == near.bias
+    few = t.training_examples(docs, labels, F.lit(True), 50, t.IDENTITY_GROUPS)
+    assert few.count() == 50
