@@ -57,7 +57,7 @@ def components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
 def cluster(
     postings: DataFrame, verify: Callable[[DataFrame], DataFrame], *,
     order: Column, compatible: Callable[[str, str], Column], extra: tuple[str, ...] = (),
-    deep: DataFrame | None = None, deep_compatible: Callable[[str, str], Column] | None = None, few: int = 32, pivots: int = 4,
+    deep: Callable[[DataFrame], DataFrame] | None = None, deep_compatible: Callable[[str, str], Column] | None = None, few: int = 32, pivots: int = 4,
 ) -> DataFrame:
     """Classes (id, component) of the ids in ``postings`` (key, id, *extra); ids without a link are left out.
 
@@ -72,8 +72,8 @@ def cluster(
        every member meets ``pivots`` more of those.
     3. Members outside the largest class of their key meet all members of other
        classes.  In keys with more than ``few`` of them a sharper necessary
-       condition, ``deep_compatible`` on the columns of ``deep`` (id, ...),
-       is part of the join, so that what cannot be a link never becomes a row.
+       condition, ``deep_compatible("x", "y")`` on the columns of ``deep(ids)`` (id, ...) as x_id, ... and y_id, ...,
+       takes the place of ``compatible``, so that what cannot be a link never becomes a row.
     """
     member = F.struct("id", *extra)
 
@@ -112,10 +112,13 @@ def cluster(
     else:
         more = meet(left.where(F.col("others") <= few), right.where(F.col("o") <= few), across & compatible("p", "q"))
         if not keys.where(F.col("others") > few).isEmpty():
-            own, other = deep.select(F.struct(*deep.columns).alias("x")), deep.select(F.struct(*deep.columns).alias("y"))
-            left = left.where(F.col("others") > few).join(own, F.col("p.id") == F.col("x.id"))
-            right = right.where(F.col("o") > few).join(other, F.col("q.id") == F.col("y.id"))
-            more = more.union(meet(left, right, across & compatible("p", "q") & deep_compatible("x", "y")))
+            many = keys.where(F.col("others") > few)
+            known = write_table(deep(postings.join(many.select("key"), "key", "left_semi").select("id")))
+            # Flat columns: a condition reads them at once, those of a struct anew for each mention.
+            own, other = (known.select(*[F.col(c).alias(f"{side}_{c}") for c in known.columns]) for side in "xy")
+            left = left.where(F.col("others") > few).select("key", "c", "largest", F.struct("p.id").alias("p")).join(own, F.col("p.id") == F.col("x_id"))
+            right = right.where(F.col("o") > few).select("k", "d", F.struct("q.id").alias("q")).join(other, F.col("q.id") == F.col("y_id"))
+            more = more.union(meet(left, right, across & deep_compatible("x", "y")))
     if more.isEmpty():
         return classes
     return components(classes.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v")).union(more))

@@ -39,7 +39,7 @@ from .common import drop_table, fresh_name, release_shuffles, write_table
 from .components import cluster
 
 FEED = "\n"
-#: Longs in the bitmap of a line's shingles.
+#: Longs in the bitmap of a line's shingles; with 32 the conditions of a join grow beyond what the JVM compiles.
 BITMAP = 16
 #: Bytes of a character as ``encode`` writes it: fixed, so that any shingle is found at once.
 WIDE, CODE = 4, "UTF-32"
@@ -81,6 +81,12 @@ def signatures(lines: DataFrame, *, k: int, rows: int, bands: int) -> DataFrame:
     return least.select("h1", "h2", F.array(*keys).alias("keys"))
 
 
+def bitmap() -> list[Column]:
+    """Aggregates of the column h: a bit for each hash."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("h", 16).bitwiseAND(63).cast("int"))
+    return [F.coalesce(F.bit_or(F.when(F.col("h").bitwiseAND(BITMAP - 1) == w, bit)), F.lit(0).cast("long")) for w in range(BITMAP)]
+
+
 def _packed(place: Column, h1: Column) -> Column:
     """A place and half of the line's hash in one number."""
     return F.shiftleft(place.cast("long"), 32).bitwiseOR(h1.bitwiseAND(F.lit(0xFFFFFFFF)))
@@ -118,9 +124,7 @@ def gone_lines(
     texts = write_table(exploded.join(where, same).groupBy("id").agg(F.first("line").alias("line")))
     release_shuffles(spark)
     each = texts.select("id", F.explode(shingles(F.col("line"), k)).alias("h"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("h", 4).bitwiseAND(63).cast("int"))
-    words = [F.coalesce(F.bit_or(F.when(F.col("h").bitwiseAND(BITMAP - 1) == w, bit)), F.lit(0).cast("long")) for w in range(BITMAP)]
-    marks = write_table(each.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.array(*words).alias("bits")))
+    marks = write_table(each.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.array(*bitmap()).alias("bits")))
     postings = found.join(some.select("id", "h1", "h2"), ["h1", "h2"]).select("key", "id")
     postings = write_table(postings.join(marks, "id").select("key", "id", "n", "bits"))
     drop_table(found)
@@ -135,14 +139,25 @@ def gone_lines(
         """Bits of a that b lacks: each stands for another shingle."""
         return sum((F.bit_count(F.col(f"{a}.bits")[w].bitwiseAND(F.bitwise_not(F.col(f"{b}.bits")[w]))) for w in range(BITMAP)), F.lit(0))
 
+    def sizes(na: Column, nb: Column) -> Column:
+        return (na * whole >= nb * part) & (nb * whole >= na * part)
+
     def compatible(a: str, b: str) -> Column:
         na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-        return (na * whole >= nb * part) & (nb * whole >= na * part) & near(F.greatest(2 * others(a, b) + nb - na, 2 * others(b, a) + na - nb), na, nb)
+        return sizes(na, nb) & near(2 * others(a, b) + nb - na, na, nb) & near(2 * others(b, a) + na - nb, na, nb)
 
     def deep_compatible(a: str, b: str) -> Column:
-        na, nb, sa, sb = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.low"), F.col(f"{b}.low")
-        both = F.size(F.array_intersect(sa, sb))
-        return near(F.size(sa) + F.size(sb) - 2 * both, na, nb)
+        """Sharper bounds, by other bits and then by the lowest 16 bits of all hashes."""
+        na, nb, sa, sb = F.col(f"{a}_n"), F.col(f"{b}_n"), F.col(f"{a}_low"), F.col(f"{b}_low")
+        alone = lambda a, b: sum((F.bit_count(F.col(f"{a}_b{w}").bitwiseAND(F.bitwise_not(F.col(f"{b}_b{w}")))) for w in range(BITMAP)), F.lit(0))
+        by_bits = near(2 * alone(a, b) + nb - na, na, nb) & near(2 * alone(b, a) + na - nb, na, nb)
+        return sizes(na, nb) & by_bits & near(F.size(sa) + F.size(sb) - 2 * F.size(F.array_intersect(sa, sb)), na, nb)
+
+    def deep(ids: DataFrame) -> DataFrame:
+        some = texts.join(ids.distinct(), "id", "left_semi")
+        each = some.select("id", F.explode(shingles(F.col("line"), k)).alias("h"))
+        low = F.collect_set(F.col("h").bitwiseAND(0xFFFF).cast("int"))
+        return each.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *[b.alias(f"b{w}") for w, b in enumerate(bitmap())], low.alias("low"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         one = texts.select(F.col("id").alias("a"), F.col("line").alias("la"))
@@ -151,9 +166,6 @@ def gone_lines(
         both = F.size(F.array_intersect("sa", "sb"))
         return sets.where(both * (whole + part) >= part * (F.size("sa") + F.size("sb"))).select("a", "b")
 
-    # The lowest 16 bits of hashes: two shingles of a line rarely share them, and those that do only weaken the bound.
-    low = F.array_distinct(F.transform(shingles(F.col("line"), k), lambda h: h.bitwiseAND(0xFFFF).cast("int")))
-    deep = texts.select("id", F.size(shingles(F.col("line"), k)).alias("n"), low.alias("low"))
     classes = cluster(postings, verify, order=F.struct("id"), compatible=compatible, extra=("n", "bits"), deep=deep, deep_compatible=deep_compatible)
     # A line goes if it isn't the first of its class; equal lines are a class, too.
     named = classes.join(some.select("id", "h1", "h2"), "id").select("h1", "h2", "component")
