@@ -1,24 +1,31 @@
 """Removal of repeated passages by De Bruijn compaction.
 
-Words are the edges' letters: every run of ``span`` consecutive words of a
-document (a window) is an edge of the De Bruijn graph, from its first to its
-last ``span - 1`` words.  An edge is repeated in a document if the same words
-also start in a document of smaller doc_id; every word under such an edge goes.
-What is repeated is judged on the input.
+Nodes are runs of ``span - 1`` consecutive words, edges the windows of ``span``
+words between two of them; an edge is the pair of its nodes' hashes.  An edge is
+repeated in a document if the same words also start in a document of smaller
+doc_id; every word under such an edge goes.  What is repeated is judged on the
+input.
 
 1. Sieve.  Each window has a minimizer: the smallest hash among its runs of
    ``seed`` words.  Equal windows have equal minimizers, so only windows whose
    minimizer occurs in two documents can be repeated; the others, mostly nearly
    all, never become rows.
-2. Edges.  The windows left become rows (edge, document, place); each edge's
-   first document comes from an aggregation and a join.
-3. Islands.  Repeated edges that follow each other in a document and have the
-   same first document become one row: (document, place, length, source document,
-   first edge, last edge).  Degrees of nodes are not looked at.
-4. A row is applied only if the document's own words at its coordinates still
-   give its first and last edge.  Edges are compared by 64-bit hashes; the words
-   of the source are not read, so equal hashes of different words would count as
-   a repeat.
+2. Edges.  The windows left are kept as runs of node hashes.  Slice by slice
+   (``slices`` parts of all edges by hash, so that no more than one part is ever
+   shuffled at once) an aggregation finds the distinct edges of two documents,
+   with their source: the first document and a place of the edge in it.
+3. Compaction.  In- and out-degrees of nodes are counted over those distinct
+   edges.  A node with one edge in and one out joins these two; edges that also
+   follow each other in one source become one piece at once, and pieces are
+   linked to paths by pointer doubling: each join doubles the reach of a piece
+   towards the first of its path.
+4. Spans.  Slice by slice, edges of documents are joined with the compacted
+   ones.  Those on one path that follow each other both in the document and in
+   the source are one span (document, place, length, source, place in it).
+5. Verification.  The words of every span are read at its place in the source
+   and hashed by SHA-256; a span is applied only if the document's own words at
+   its place give the same.  If any span fails (two different windows with equal
+   hashes), everything is done again with cryptographic hashes of the words.
 
 Edge cases: null and empty texts have no words; texts shorter than a window and
 rows with a null doc_id lose nothing and are no source; rows that repeat a
@@ -33,20 +40,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
 from .common import drop_table, release_shuffles, write_table
 
+#: Rounds of pointer doubling at most: paths of 2**40 pieces.
+ROUNDS = 40
 
-def _minimizers(hashed: np.ndarray, upto: np.ndarray, span: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each window's minimizer, the word index of its start, and windows before each row's end."""
+
+class Hashes:
+    """Hashes of words and nodes; ``strong`` ones are cryptographic, ``bits`` keeps so many bits of a node's (to try collisions)."""
+
+    def __init__(self, strong: bool = False, bits: int = 64) -> None:
+        self.strong, self.mask = strong, np.uint64((1 << bits) - 1)
+
+    def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not self.strong:
+            return words.hash_words(data, offsets)
+        starts, stops, upto = words.spans(data, offsets)
+        raw, known = data.tobytes(), {}
+        out = np.empty(len(starts), np.uint64)
+        for i, (a, b) in enumerate(zip(starts, stops, strict=True)):
+            word = raw[a:b]
+            if word not in known:
+                known[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+            out[i] = known[word]
+        return out, upto
+
+    def nodes(self, hashed: np.ndarray, upto: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all runs of ``span - 1`` words, and runs before each row's end."""
+        found, starts, ends = words.windows(hashed, upto, span - 1)
+        if self.strong:
+            digest = lambda i: hashlib.blake2b(hashed[i : i + span - 1].tobytes(), digest_size=8).digest()
+            return np.frombuffer(b"".join(map(digest, starts)), np.uint64), ends
+        return found & self.mask, ends
+
+
+def _minimizers(hashed: np.ndarray, upto: np.ndarray, span: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each window's minimizer, and windows before each row's end."""
     n = len(hashed) - seed + 1
     counts = np.maximum(np.diff(upto) - span + 1, 0)
     ends = np.concatenate([[0], np.cumsum(counts)])
     if not ends[-1]:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), ends
+        return np.zeros(0, np.uint64), ends
     h = hashed[:n] * words._STEP[21]
     for j in range(1, seed):
         h = h + hashed[j : j + n] * words._STEP[21 + j]
@@ -58,103 +96,218 @@ def _minimizers(hashed: np.ndarray, upto: np.ndarray, span: int, seed: int) -> t
         shift = min(have, width - have)
         least = np.minimum(least[: len(least) - shift], least[shift:])
         have += shift
-    return least[starts], starts, ends
+    return least[starts], ends
+
 
+def _slice(key: Column, slices: int, which: int) -> Column:
+    return F.pmod(key, F.lit(slices)) == which
 
-def sieve(docs: DataFrame, span: int, seed: int) -> DataFrame:
-    """(doc_id, seeds): the distinct minimizers of each document that another row has as well."""
+
+def sieve(docs: DataFrame, span: int, seed: int, hashes: Hashes, slices: int) -> list[DataFrame]:
+    """Tables (doc_id, seeds): the distinct minimizers of each document that another row has as well, slice by slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in words.slices(batch, 1):
-                least, _, ends = _minimizers(*words.hash_words(data, offsets), span, seed)
+                least, ends = _minimizers(*hashes.words(data, offsets), span, seed)
                 values, ends = words.distinct_sorted(least, ends)
                 yield pa.record_batch([rows.column(0), pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(values))], ["doc_id", "seeds"])
 
     seeds = write_table(docs.mapInArrow(run, "doc_id long, seeds array<long>"))
-    rows = seeds.select("doc_id", F.explode("seeds").alias("seed"))
-    shared = rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
-    out = write_table(rows.join(shared, "seed", "left_semi").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")))
+    parts = []
+    for which in range(slices):
+        rows = seeds.select("doc_id", F.explode("seeds").alias("seed")).where(_slice(F.col("seed"), slices, which))
+        shared = rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
+        both = rows.join(shared.hint("shuffle_hash"), "seed", "left_semi")
+        parts.append(write_table(both.groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))))
+        release_shuffles(docs.sparkSession)
     drop_table(seeds)
-    release_shuffles(docs.sparkSession)
-    return out
+    return parts
 
 
-def repeated_paths(docs: DataFrame, *, span: int = 13, seed: int = 5) -> DataFrame:
-    """(doc_id, place, length, source_id, first, last): compacted paths of repeated edges."""
-    spark = docs.sparkSession
-    seeds = sieve(docs, span, seed)
+def node_runs(docs: DataFrame, seeds: list[DataFrame], span: int, seed: int, hashes: Hashes) -> DataFrame:
+    """(doc_id, place, nodes): runs of windows that the sieve lets pass, as the hashes of their nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seeds_of, at = batch.column(2), 0
             for rows, data, offsets in words.slices(batch, 1):
-                hashed, upto = words.hash_words(data, offsets)
-                least, _, ends = _minimizers(hashed, upto, span, seed)
-                edges, starts, _ = words.windows(hashed, upto, span)
-                keep = np.zeros(len(edges), bool)
+                hashed, upto = hashes.words(data, offsets)
+                least, ends = _minimizers(hashed, upto, span, seed)
+                nodes, node_ends = hashes.nodes(hashed, upto, span)
+                out = []
                 for i in range(rows.num_rows):
-                    wanted = seeds_of[at + i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                    part = slice(ends[i], ends[i + 1])
-                    keep[part] = np.isin(least[part], wanted)
+                    wanted = seeds_of[at + i].values.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                    keep = np.isin(least[ends[i] : ends[i + 1]], wanted)
+                    edges = np.flatnonzero(np.diff(np.concatenate([[0], keep, [0]])))
+                    out += [(i, a, nodes[node_ends[i] + a : node_ends[i] + b + 1]) for a, b in edges.reshape(-1, 2)]
                 at += rows.num_rows
-                kept = np.concatenate([[0], np.cumsum(keep)])[ends].astype(np.int32)
-                place = (starts - np.repeat(upto[:-1], np.diff(ends)))[keep].astype(np.int32)
-                lists = [edges[keep].view(np.int64), place]
-                columns = [pa.ListArray.from_arrays(kept, pa.array(x)) for x in lists]
-                yield pa.record_batch([rows.column(0), *columns], ["doc_id", "edge", "place"])
-
-    joined = docs.join(seeds.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "seeds")
-    lists = joined.mapInArrow(run, "doc_id long, edge array<long>, place array<int>")
-    edges = lists.select("doc_id", F.explode(F.arrays_zip("edge", "place")).alias("x")).select("doc_id", "x.*")
-    edges = write_table(edges)
-    drop_table(seeds)
+                which = pa.array([x[0] for x in out], pa.int64())
+                lists = np.cumsum([0, *(len(x[2]) for x in out)], dtype=np.int32)
+                flat = np.concatenate([x[2] for x in out]).view(np.int64) if out else np.zeros(0, np.int64)
+                yield pa.record_batch(
+                    [rows.column(0).take(which), pa.array([x[1] for x in out], pa.int32()), pa.ListArray.from_arrays(lists, pa.array(flat))],
+                    ["doc_id", "place", "nodes"])
+
+    wanted = seeds[0]
+    for part in seeds[1:]:
+        wanted = wanted.union(part)
+    wanted = wanted.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("seeds").alias("seeds"))
+    joined = docs.join(wanted, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "seeds")
+    return write_table(joined.mapInArrow(run, "doc_id long, place int, nodes array<long>"))
+
+
+def _edges(runs: DataFrame, slices: int, which: int) -> DataFrame:
+    """(x, y, doc_id, place): the edges from node x to node y of one slice."""
+    each = runs.select("doc_id", "place", "nodes", F.explode(F.sequence(F.lit(0), F.size("nodes") - 2)).alias("i"))
+    each = each.select(F.col("nodes")[F.col("i")].alias("x"), F.col("nodes")[F.col("i") + 1].alias("y"), "doc_id", (F.col("place") + F.col("i")).alias("place"))
+    return each.where(_slice(F.xxhash64("x", "y"), slices, which))
+
+
+def compact(edges: DataFrame) -> DataFrame:
+    """(x, y, source_id, at, path) from distinct edges (x, y, source_id, at): maximal paths over nodes of one edge in and one out."""
+    place = [F.col("source_id").alias("s"), F.col("at").alias("p")]
+    none = F.lit(None).cast("long")
+    ends = edges.select(F.col("x").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"), *place, none.alias("q"), none.cast("int").alias("r"))
+    ends = ends.union(edges.select(F.col("y").alias("node"), F.lit(0), F.lit(1), none, none.cast("int"), *place))
+    degrees = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"), F.max("s").alias("s"), F.max("p").alias("p"), F.max("q").alias("q"), F.max("r").alias("r"))
+    # At such a node the one edge in, at place r of source q, goes on with the one edge out, at place p of source s.
+    plain = degrees.where("out = 1 and into = 1 and not (s = q and p = r)").select(F.col("node").alias("x"), F.col("q").alias("before_id"), F.col("r").alias("before_at"))
+    linked = edges.join(plain, "x", "left")
+    # Pieces: edges that follow each other in one source, named by their first edge.
+    begins = F.col("before_id").isNull() | (F.col("before_id") != F.col("source_id")) | (F.col("before_at") != F.col("at") - 1)
+    along = Window.partitionBy("source_id").orderBy("at", "x", "y")
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pieces = linked.withColumn("piece", F.last(F.when(begins, F.monotonically_increasing_id()), ignorenulls=True).over(upto))
+    pieces = write_table(pieces.withColumn("first", begins))
+    # A piece whose first edge follows an edge of another piece hangs on that one.
+    links = pieces.where("first and before_id is not null").select("piece", "before_id", "before_at")
+    holders = pieces.select(F.col("source_id").alias("before_id"), F.col("at").alias("before_at"), F.col("piece").alias("to"))
+    state = write_table(links.join(holders, ["before_id", "before_at"]).groupBy("piece").agg(F.min("to").alias("to")).where("piece <> to"))
+    going, before = state.count(), None
+    for _ in range(ROUNDS):
+        if not going or going == before:  # what never ends is a cycle
+            break
+        further = state.select(F.col("piece").alias("to"), F.col("to").alias("next"))
+        jumped = write_table(state.join(further, "to", "left").select("piece", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
+        before, going = going, jumped.where("moved").count()
+        drop_table(state)
+        state = jumped
+    paths = pieces.join(state.select("piece", "to"), "piece", "left")
+    return paths.select("x", "y", "source_id", "at", F.coalesce("to", "piece").alias("path"))
+
+
+def repeated_spans(docs: DataFrame, *, span: int = 13, seed: int = 5, slices: int = 4, hashes: Hashes | None = None) -> DataFrame:
+    """(doc_id, place, length, source_id, at): runs of ``length`` repeated edges on one path, unverified."""
+    spark, hashes = docs.sparkSession, hashes or Hashes()
+    seeds = sieve(docs, span, seed, hashes, slices)
+    runs = node_runs(docs, seeds, span, seed, hashes)
+    for part in seeds:
+        drop_table(part)
     release_shuffles(spark)
-    first = edges.groupBy("edge").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("most"))
-    first = first.where("source_id < most").select("edge", "source_id")
-    marked = edges.join(first, "edge").where("doc_id > source_id").select("doc_id", "place", "edge", "source_id")
-    path = Window.partitionBy("doc_id", "source_id").orderBy("place")
-    islands = marked.withColumn("island", F.col("place") - F.dense_rank().over(path))
-    paths = write_table(islands.groupBy("doc_id", "source_id", "island").agg(
-        F.min("place").alias("place"), F.max("place").alias("end"), F.min_by("edge", "place").alias("first"), F.max_by("edge", "place").alias("last")))
-    drop_table(edges)
+    parts = []
+    for which in range(slices):
+        first = _edges(runs, slices, which).groupBy("x", "y").agg(
+            F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last_id"), F.min_by("place", "doc_id").alias("at"))
+        parts.append(write_table(first.where("source_id < last_id").drop("last_id")))
+        release_shuffles(spark)
+    distinct = parts[0]
+    for part in parts[1:]:
+        distinct = distinct.union(part)
+    paths = write_table(compact(distinct))
+    for part in parts:
+        drop_table(part)
     release_shuffles(spark)
-    return paths.select("doc_id", "place", (F.col("end") - F.col("place") + 1).alias("length"), "source_id", "first", "last")
+    marked = []
+    for which in range(slices):
+        known = paths.where(_slice(F.xxhash64("x", "y"), slices, which))
+        found = _edges(runs, slices, which).join(known, ["x", "y"]).where("doc_id > source_id")
+        marked.append(write_table(found.select("doc_id", "place", "source_id", "at", "path")))
+        release_shuffles(spark)
+    drop_table(runs)
+    drop_table(paths)
+    marks = marked[0]
+    for part in marked[1:]:
+        marks = marks.union(part)
+    # Rows that repeat a doc_id may have an edge at the same place; it counts once.
+    line = Window.partitionBy("doc_id", "path", "source_id", "shift").orderBy("place")
+    marks = marks.withColumn("shift", F.col("at") - F.col("place"))
+    marks = marks.withColumn("island", F.col("place") - F.dense_rank().over(line))
+    spans = marks.groupBy("doc_id", "path", "source_id", "shift", "island").agg(F.min("place").alias("place"), F.max("place").alias("end"))
+    spans = write_table(spans.select("doc_id", "place", (F.col("end") - F.col("place") + 1).alias("length"), "source_id", (F.col("place") + F.col("shift")).alias("at")))
+    for part in marked:
+        drop_table(part)
+    release_shuffles(spark)
+    return spans
 
 
-def remove_repeats(
-    docs: DataFrame, *, span: int = 13, seed: int = 5, text: str = "text", doc_id: str = "doc_id", digest: bool = False,
-) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): the words left, joined by one space; or the SHA-256 of that as ``kept_sha256``."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    paths = repeated_paths(rows.where("doc_id is not null"), span=span, seed=seed)
-    paths = write_table(paths.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("place", "length", "first", "last")).alias("paths")))
-    release_shuffles(docs.sparkSession)
+def _digest(parts: list[bytes]) -> bytes:
+    return hashlib.sha256(b" ".join(parts)).digest()
+
+
+def with_sources(docs: DataFrame, spans: DataFrame, span: int) -> DataFrame:
+    """``spans`` with ``words``: the SHA-256 of their words as they stand in the source."""
+    wanted = spans.select("source_id", "at", "length").distinct().groupBy(F.col("source_id").alias("_id")).agg(F.collect_list(F.struct("at", "length")).alias("spans"))
+    joined = docs.join(wanted, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, t, found in zip(*(batch.column(i) for i in range(3)), strict=True):
+                parts = (t.as_py() or "").encode().split()
+                got = [(x["at"], x["length"], _digest(parts[x["at"] : x["at"] + x["length"] + span - 1])) for x in found.as_py()]
+                at, length, digest = zip(*got, strict=True)
+                columns = [pa.array([d.as_py()] * len(got), pa.int64()), pa.array(at, pa.int32()), pa.array(length, pa.int32()), pa.array(digest, pa.binary())]
+                yield pa.record_batch(columns, ["source_id", "at", "length", "words"])
+
+    digests = joined.mapInArrow(run, "source_id long, at int, length int, words binary")
+    return spans.join(digests, ["source_id", "at", "length"])
+
+
+def _apply(docs: DataFrame, spans: DataFrame, span: int, digest: bool) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept, failed) for every row; ``spans`` have their sources' ``words``."""
+    paths = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("place", "length", "words")).alias("spans"))
+    name = "kept_sha256" if digest else "kept"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for d, t, found in zip(*(batch.column(i) for i in range(3)), strict=True):
-                raw = (t.as_py() or "").encode()
-                parts = raw.split()  # of bytes: at the six ASCII spaces only
-                n, kept = len(parts), parts
+                parts = (t.as_py() or "").encode().split()  # of bytes: at the six ASCII spaces only
+                n, kept, failed = len(parts), parts, 0
                 if found.is_valid:
-                    hashed, upto = words.hash_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                    edges = words.windows(hashed, upto, span)[0].view(np.int64)
                     gone = np.zeros(n + 1, np.int64)
-                    for p in found.as_py():
-                        end = p["place"] + p["length"] - 1
-                        if end < len(edges) and edges[p["place"]] == p["first"] and edges[end] == p["last"]:
-                            gone[p["place"]] += 1
-                            gone[end + span] -= 1
-                    stays = np.flatnonzero(np.cumsum(gone[:-1]) == 0)
-                    kept = [parts[i] for i in stays]
+                    for x in found.as_py():
+                        end = x["place"] + x["length"] + span - 1
+                        if end <= n and _digest(parts[x["place"] : end]) == x["words"]:
+                            gone[x["place"]] += 1
+                            gone[end] -= 1
+                        else:
+                            failed += 1
+                    kept = [parts[i] for i in np.flatnonzero(np.cumsum(gone[:-1]) == 0)]
                 left = b" ".join(kept)
-                out.append((d.as_py(), n, n - len(kept), hashlib.sha256(left).hexdigest() if digest else left.decode()))
-            columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_words", "n_removed", name])
+                out.append((d.as_py(), n, n - len(kept), hashlib.sha256(left).hexdigest() if digest else left.decode(), failed))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_words", "n_removed", name, "failed"])
 
-    name = "kept_sha256" if digest else "kept"
-    joined = rows.join(paths, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "paths")
-    return joined.mapInArrow(run, f"doc_id long, n_words long, n_removed long, {name} string")
+    joined = docs.join(paths, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "spans")
+    return joined.mapInArrow(run, f"doc_id long, n_words long, n_removed long, {name} string, failed long")
+
+
+def remove_repeats(
+    docs: DataFrame, *, span: int = 13, seed: int = 5, slices: int = 4, text: str = "text", doc_id: str = "doc_id", digest: bool = False, bits: int = 64,
+) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept): the words left, joined by one space; or the SHA-256 of that as ``kept_sha256``."""
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    able = rows.where("doc_id is not null")
+    # Rows of one doc_id with different texts fail each other's spans; that is no collision.
+    repeats = able.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    for hashes in (Hashes(bits=bits), Hashes(strong=True)):
+        spans = with_sources(able, repeated_spans(able, span=span, seed=seed, slices=slices, hashes=hashes), span)
+        spans = write_table(spans.select("doc_id", "place", "length", "words"))
+        release_shuffles(docs.sparkSession)
+        out = write_table(_apply(rows, spans, span, digest))
+        failed = out.where("failed > 0").select("doc_id")
+        if hashes.strong or failed.isEmpty() or failed.join(repeats, "doc_id", "left_anti").isEmpty():
+            break
+    return out.drop("failed")

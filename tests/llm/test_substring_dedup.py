@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from rasterloom.llm.substring_dedup import remove_repeats, repeated_paths
+from rasterloom.llm.substring_dedup import compact, remove_repeats, repeated_spans
 
 
 def brute(rows, span=13):
@@ -61,8 +61,52 @@ def test_edges(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_paths_compact_runs(spark):
+def test_spans_name_their_sources(spark):
     p = [f"p{i}" for i in range(50)]
     docs = spark.createDataFrame([(1, " ".join(["a", *p])), (2, " ".join(["b", "c", *p, "d"]))], "doc_id long, text string")
-    (path,) = repeated_paths(docs).collect()
-    assert (path.doc_id, path.place, path.length, path.source_id) == (2, 2, 38, 1)
+    (x,) = repeated_spans(docs).collect()
+    assert (x.doc_id, x.place, x.length, x.source_id, x.at) == (2, 2, 38, 1, 1)
+
+
+def test_collisions_of_hashes_change_nothing(spark):
+    rows = corpus(2)[:25]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(x) for x in remove_repeats(docs, bits=8).collect()), key=repr)
+    assert got == brute(rows)
+
+
+def brute_paths(edges):
+    """Groups of edges that nodes of one edge in and one out join; a cycle's pieces stay apart."""
+    out, into = {}, {}
+    for e in edges:
+        out.setdefault(e[0], []).append(e)
+        into.setdefault(e[1], []).append(e)
+    before = {out[n][0]: into[n][0] for n in out if len(out[n]) == 1 and len(into.get(n, [])) == 1 and out[n] != into[n]}
+    groups = {}
+    for e in edges:
+        seen = {e}
+        while e in before and before[e] not in seen:
+            e = before[e]
+            seen.add(e)
+        groups.setdefault(e, set()).update(seen)
+    return groups
+
+
+def test_compaction_against_walks(spark):
+    r = random.Random(4)
+    nodes, edges = iter(range(10**6)), []
+    heads = [next(nodes) for _ in range(20)]
+    for _ in range(60):  # chains between branching nodes, each in one or two sources
+        at, cut = r.choice(heads), r.randrange(1, 30)
+        for k in range(r.randrange(1, 40)):
+            to = next(nodes)
+            edges.append((at, to, 1 + (k >= cut) * r.randrange(1, 9), len(edges)))
+            at = to
+        edges.append((at, r.choice(heads), 30, len(edges)))
+    edges = list({e[:2]: e for e in edges}.values())
+    got = {}
+    for x in compact(spark.createDataFrame(edges, "x long, y long, source_id long, at int")).collect():
+        got.setdefault(x.path, set()).add((x.x, x.y))
+    want = brute_paths([e[:2] for e in edges])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert max(map(len, want.values())) > 30
