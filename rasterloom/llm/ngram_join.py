@@ -16,8 +16,8 @@ least ``threshold`` (a ratio of whole numbers); classes are connected components
    Two linked sets share a shingle within their first ``miss + 1``; those of
    frequency 1 lead nowhere and are dropped after taking their places.
 4. Documents with the same prefix and size form one group.  Members are
-   verified against their group's pivot, and pivots of groups that share a
-   prefix shingle against that shingle's pivot.  Then all pairs of groups that
+   verified against their group's pivot, and pivots of groups against the pivots
+   of their prefix shingles, first that of most of them.  Then all pairs of groups that
    share a prefix shingle meet, unless all their members are in one class by
    now; pairs of groups are filtered by size and by a bitmap bound on the
    overlap of any of their members, and what is left expands into pairs of
@@ -163,7 +163,7 @@ def ngram_jaccard_classes(
     ranked = ranked.withColumn("own", size - F.size("ranked")).withColumn("slots", (miss + 1 - F.col("own")).cast("int"))
     ranked = ranked.where("slots > 0").withColumn("prefix", F.transform(F.slice("ranked", 1, F.col("slots")), lambda x: x["h"]))
     # 4. Groups by prefix and size.  Shingles of frequency 1 are in no other set; bitmaps are of the others.
-    ranked = ranked.select("id", "n", "own", "prefix", F.xxhash64("n", "prefix").alias("gid"), F.transform("ranked", lambda x: x["h"]).alias("hashes"))
+    ranked = ranked.select("id", "n", F.col("own").cast("int").alias("own"), "prefix", F.xxhash64("n", "prefix").alias("gid"), F.transform("ranked", lambda x: x["h"]).alias("hashes"))
     members = write_table(add_bitmaps(ranked, "hashes"))
     release_shuffles(spark)
     groups = write_table(members.groupBy("gid").agg(
@@ -192,16 +192,40 @@ def ngram_jaccard_classes(
     def pair(a: str, b: str) -> list[Column]:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-    postings = groups.select(F.explode("prefix").alias("key"), "gid", "n", "pivot")
+    kept = members.select("id", "n", "own", "bits")
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that sizes and bitmaps let pass."""
+        one, two = (kept.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "own", "bits")]) for side in "ab")
+        apart = F.col("own_a") + F.col("own_b") + lacking(F.col("bits_a"), F.col("bits_b")) + lacking(F.col("bits_b"), F.col("bits_a"))
+        both = pairs.join(one, "a").join(two, "b")
+        return both.where(sizes_fit(F.col("n_a"), F.col("n_b")) & near(apart, F.col("n_a"), F.col("n_b"))).select("a", "b")
+
+    # Each group meets the pivot with which it shares most keys, each member its group's pivot; other pivots follow
+    # only where that leaves them in different classes, so most sets are read once.
+    postings = groups.select(F.explode("prefix").alias("key"), "pivot")
     pivots = postings.groupBy("key").agg(F.min("pivot").alias("first"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    star = postings.join(pivots, "key").where(F.col("pivot.id") != F.col("first.id")).select(*pair("pivot.id", "first.id"))
+    star = postings.join(pivots, "key").where(F.col("pivot.id") != F.col("first.id")).groupBy(F.col("pivot.id").alias("p"), F.col("first.id").alias("f")).agg(F.count(F.lit(1)).alias("c"))
+    star = write_table(star)
+    release_shuffles(spark)
+    best = star.groupBy("p").agg(F.max(F.struct("c", (-F.col("f")).alias("f"))).alias("m")).select("p", (-F.col("m.f")).alias("f"))
     own = members.join(groups.select("gid", "pivot"), "gid").where(F.col("id") != F.col("pivot.id")).select(*pair("id", "pivot.id"))
-    links = write_table(verify(write_table(star.union(own).distinct())))
+    links = write_table(verify(write_table(bounded(best.select(*pair("p", "f")).union(own).distinct()))))
+    release_shuffles(spark)
     classes = write_table(components(links))
-    members = members.join(classes, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component", "prefix")
-    members = write_table(members)
+    named = lambda side: classes.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}"))
+    other = star.select(*pair("p", "f")).distinct().join(named("a"), "a", "left").join(named("b"), "b", "left")
+    other = other.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    found = write_table(verify(write_table(bounded(other))))
+    drop_table(star)
+    release_shuffles(spark)
+    if not found.isEmpty():
+        links = write_table(classes.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v")).union(found))
+        classes = write_table(components(links))
+    plain, members = members, write_table(members.join(classes, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component", "prefix"))
+    drop_table(plain)
     span = members.groupBy("gid").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
-    spread = write_table(groups.join(span, "gid").select(F.explode("prefix").alias("key"), "gid", "n", "own", "every", "some", "lo", "hi"))
+    spread = spread_table = write_table(groups.join(span, "gid").select(F.explode("prefix").alias("key"), "gid", "n", "own", "every", "some", "lo", "hi"))
     # Keys whose groups are all in one class are done.
     open_keys = spread.groupBy("key").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("key")
     spread = spread.join(open_keys, "key", "left_semi")
@@ -210,7 +234,11 @@ def ngram_jaccard_classes(
     apart = F.col("x.own") + F.col("y.own") + lacking(F.col("x.every"), F.col("y.some")) + lacking(F.col("y.every"), F.col("x.some"))
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.gid") <= F.col("y.gid")) & ~done
     meet = meet & sizes_fit(F.col("x.n"), F.col("y.n")) & near(apart, F.col("x.n"), F.col("y.n"))
+    release_shuffles(spark)
     meetings = write_table(x.join(y, meet).select(F.col("x.gid").alias("gx"), F.col("y.gid").alias("gy")).distinct())
+    drop_table(groups)
+    drop_table(spread_table)
+    release_shuffles(spark)
     p = members.select(F.col("gid").alias("gx"), F.col("id").alias("ix"), F.col("n").alias("nx"), F.col("class").alias("cx"), F.col("own").alias("ox"), F.col("bits").alias("bx"))
     q = members.select(F.col("gid").alias("gy"), F.col("id").alias("iy"), F.col("n").alias("ny"), F.col("class").alias("cy"), F.col("own").alias("oy"), F.col("bits").alias("by"))
     apart = F.col("ox") + F.col("oy") + lacking(F.col("bx"), F.col("by")) + lacking(F.col("by"), F.col("bx"))
