@@ -1,4 +1,4 @@
-"""Codecs on numpy: PNG both ways, baseline JPG writing, and sizes from PNG, JPG and WebP headers.
+"""Codecs on numpy: PNG and JPG both ways (JPG is written as baseline), and sizes from PNG, JPG and WebP headers.
 
 Arrays are rows x columns x channels of bytes, RGB or RGBA.
 """
@@ -11,6 +11,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .jpg_reader import JpgError, decode_jpg
+
 PNG_SIGNATURE = bytes((137, 80, 78, 71, 13, 10, 26, 10))
 
 
@@ -340,9 +342,15 @@ def header_size(data: bytes) -> tuple[int, int]:
 
 
 def decode(data: bytes) -> np.ndarray:
-    """Pixels of bytes in a column.  PNG only; JPG files are decoded by Spark's ``image`` source."""
-    if sniff(data) == "png":
+    """Pixels of bytes in a column: PNG and JPG."""
+    kind = sniff(data)
+    if kind == "png":
         return decode_png(data)
+    if kind == "jpg":
+        try:
+            return decode_jpg(data, _cosines(), _zigzag())
+        except JpgError as e:
+            raise CodecError(str(e)) from None
     raise CodecError("decode_failed")
 
 

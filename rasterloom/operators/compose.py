@@ -200,9 +200,9 @@ def _header_batch(data: pd.Series) -> pd.DataFrame:
 
 
 def _decoded_size(data: bytes) -> tuple[int, int]:
-    if codec.sniff(data) != "png":  # no pixel decoder for these in columns: the header is all there is
+    if codec.sniff(data) == "webp":  # no pixel decoder for it: the header is all there is
         return codec.header_size(data)
-    pixels = codec.decode_png(data)
+    pixels = codec.decode(data)
     return pixels.shape[1], pixels.shape[0]
 
 
