@@ -18,8 +18,6 @@ are neither read nor returned.
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import uuid
 from array import array
 from collections import Counter
@@ -33,10 +31,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import claim_worker, keep_memo, scratch_root, write_bytes
 from .lexicon import Transducer, compile_transducer
 
-#: Words, and as many segments, in a generation of what one worker keeps at hand.
-MEMO_WORDS = 400_000
+#: Segments, and pre-tokens of those that are no plain words, in a generation of what one worker keeps at hand (about 200 bytes each).
+MEMO_SEGMENTS, MEMO_WORDS = 250_000, 60_000
 #: Distinct words counted in one worker before it hands on what it has.
 COUNTED_WORDS = 300_000
 #: The rank of pairs that don't merge.
@@ -157,15 +156,15 @@ def plain_words(segment: str) -> tuple[str, ...]:
 class _Generations(dict):
     """A memo of bounded size: when it is full it becomes the old generation, from which what is used again returns."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int) -> None:
         super().__init__()
-        self.old: dict = {}
+        self.most, self.old = most, {}
 
     def __missing__(self, key: str) -> bytes:
         ids = self.old.get(key)
         if ids is None:
             ids = self.make(key)
-        if len(self) >= MEMO_WORDS:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         if len(key) <= 64:
@@ -177,7 +176,7 @@ class _Memo(_Generations):
     """Pre-token -> its ids as 32-bit numbers, from the transducer, else by merging."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer) -> None:
-        super().__init__()
+        super().__init__(MEMO_WORDS)
         self.vocabulary, self.lexicon = vocabulary, lexicon
 
     def make(self, word: str) -> bytes:
@@ -190,7 +189,7 @@ class _Segments(_Generations):
     """What stands after a single space, up to the next -> ids of the space and it."""
 
     def __init__(self, memo: _Memo) -> None:
-        super().__init__()
+        super().__init__(MEMO_SEGMENTS)
         self.memo, self.pattern = memo, memo.vocabulary.pattern
 
     def whole(self, text: str) -> bytes:
@@ -216,6 +215,9 @@ def _segments(spec: str, name: str) -> _Segments:
     return _Segments(_Memo(_vocabulary(spec), _transducer(name)))
 
 
+keep_memo("bpe", lambda: (_segments.cache_clear(), _transducer.cache_clear(), _vocabulary.cache_clear()))
+
+
 def _texts(column: pa.Array) -> Iterator[str]:
     return (t.as_py() or "" for t in column)
 
@@ -232,6 +234,7 @@ def count_words(docs: DataFrame, spec: str, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("bpe")
         vocabulary, segments, others = _vocabulary(shared.value), Counter(), Counter()
 
         def hand_on() -> pa.RecordBatch:
@@ -268,9 +271,8 @@ def build_lexicon(docs: DataFrame, spec: str, *, text: str = "text", lexicon_siz
     top = count_words(docs, spec, text).where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(lexicon_size)
     words = sorted(row.word.encode() for row in top.select("word").toLocalIterator())
     name = f"rasterloom-{uuid.uuid4().hex}.mast"
-    path = os.path.join(tempfile.mkdtemp(prefix="rasterloom-"), name)
-    with open(path, "wb") as f:
-        f.write(compile_transducer((w, vocabulary.merge(w)) for w in words))
+    path = f"{scratch_root(spark)}/rasterloom/{name}"
+    write_bytes(spark, path, compile_transducer((w, vocabulary.merge(w)) for w in words))
     spark.sparkContext.addFile(path)
     return name
 
@@ -282,6 +284,7 @@ def encode(docs: DataFrame, tokenizer_path: str, *, text: str = "text", doc_id:
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("bpe")
         segments = _segments(shared.value, name)
         vocabulary, encode_part = segments.memo.vocabulary, segments.encode
         for batch in batches:
@@ -307,6 +310,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, *, keep: tuple[str, ...] = (
     shared = encoded.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("bpe")
         pieces = _vocabulary(shared.value).pieces
         for batch in batches:
             for first in range(0, batch.num_rows, 500):

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,22 @@ WORD_CLASS = r"[^ \x09-\x0D]"
 
 _own_dirs: dict[str, str] = {}
 
+#: What empties the memos that operators keep in a Python worker, by operator.
+_memos: dict[str, list[Callable[[], None]]] = {}
+
+
+def keep_memo(owner: str, empty: Callable[[], None]) -> None:
+    """Tell that ``owner`` keeps a memo in this process, and how it is emptied."""
+    _memos.setdefault(owner, []).append(empty)
+
+
+def claim_worker(owner: str) -> None:
+    """Empty the memos of all other operators: Spark hands a worker of one stage to the next."""
+    for other, empties in _memos.items():
+        if other != owner:
+            for empty in empties:
+                empty()
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the cluster; a folder of our own only where none is set (tests)."""
@@ -34,6 +51,17 @@ def _remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A file of the shared folder, deleted at the end of the session."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    for at in range(0, len(data), 1 << 20):
+        out.write(bytearray(data[at : at + (1 << 20)]))
+    out.close()
+    atexit.register(_remove_at_exit, spark, path)
+
+
 def _remove_at_exit(spark: SparkSession, path: str) -> None:
     try:
         if spark.sparkContext._jsc is not None:

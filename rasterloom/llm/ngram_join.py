@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import drop_table, release_shuffles, write_table
+from .common import claim_worker, drop_table, release_shuffles, write_table
 from .components import components
 
 #: 64-bit words in the bitmap of a set.
@@ -84,6 +84,7 @@ def add_bitmaps(sets: DataFrame, hashes: str) -> DataFrame:
     """``sets`` with ``bits``, the bitmap of the column ``hashes`` (which must be the last one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("ngram_join")
         for batch in batches:
             lists = batch.column(batch.num_columns - 1)
             values = lists.flatten().to_numpy(zero_copy_only=False)
@@ -101,6 +102,7 @@ def shingle_sets(docs: DataFrame, n: int, t: Fraction, *, text: str, doc_id: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("ngram_join")
         for batch in batches:
             for rows, data, offsets in words.slices(batch, 1):
                 hashed, upto = words.hash_words(data, offsets, lower=True)

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import drop_table, release_shuffles, write_table
+from .common import claim_worker, drop_table, release_shuffles, write_table
 
 #: Rounds of pointer doubling at most: paths of 2**40 pieces.
 ROUNDS = 40
@@ -107,6 +107,7 @@ def sieve(docs: DataFrame, span: int, seed: int, hashes: Hashes, slices: int) ->
     """Tables (doc_id, seeds): the distinct minimizers of each document that another row has as well, slice by slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("substring_dedup")
         for batch in batches:
             for rows, data, offsets in words.slices(batch, 1):
                 least, ends = _minimizers(*hashes.words(data, offsets), span, seed)
@@ -129,6 +130,7 @@ def node_runs(docs: DataFrame, seeds: list[DataFrame], span: int, seed: int, has
     """(doc_id, place, nodes): runs of windows that the sieve lets pass, as the hashes of their nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("substring_dedup")
         for batch in batches:
             seeds_of, at = batch.column(2), 0
             for rows, data, offsets in words.slices(batch, 1):
@@ -251,6 +253,7 @@ def with_sources(docs: DataFrame, spans: DataFrame, span: int) -> DataFrame:
     joined = docs.join(wanted, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("substring_dedup")
         for batch in batches:
             for d, t, found in zip(*(batch.column(i) for i in range(3)), strict=True):
                 parts = (t.as_py() or "").encode().split()
@@ -269,6 +272,7 @@ def _apply(docs: DataFrame, spans: DataFrame, span: int, digest: bool) -> DataFr
     name = "kept_sha256" if digest else "kept"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("substring_dedup")
         for batch in batches:
             out: list[tuple] = []
             for d, t, found in zip(*(batch.column(i) for i in range(3)), strict=True):

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, write_table
+from .common import claim_worker, drop_table, write_table
 
 #: Weights of the model: words and their beginnings hash into so many slots.
 SLOTS = 1 << 20
@@ -257,6 +257,7 @@ def training_examples(docs: DataFrame, labels: DataFrame, usable: Column, max_tr
     arrays = ("own", "placed", "lost", "swapped")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("toxicity")
         memo = _Slots()
         for batch in batches:
             for k in range(batch.num_rows):
@@ -307,6 +308,7 @@ def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",),
     shared = docs.sparkSession.sparkContext.broadcast((used.astype(np.int32), model.weights[used], model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("toxicity")
         slots, values, bias = shared.value
         own = Model(bias=bias)
         own.weights[slots] = values
