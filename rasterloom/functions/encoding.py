@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -25,9 +26,18 @@ KINDS: dict[str, Kind] = {
 }
 
 
-def register(kind: str, mime: str, extension: str, label: str | None = None) -> None:
-    """Make a further kind known to the naming functions."""
+#: Encoders of further kinds: pixels and quality to bytes.
+ENCODERS: dict[str, Callable] = {}
+
+
+def register(kind: str, mime: str, extension: str, label: str | None = None, encoder: Callable | None = None) -> None:
+    """Make a further kind known to the naming functions and, with an ``encoder(pixels, quality) -> bytes``, a target of its own.
+
+    Plans carry the encoders that are registered when they are built.
+    """
     KINDS[kind] = Kind(mime, extension, label or kind.capitalize())
+    if encoder is not None:
+        ENCODERS[kind] = encoder
 
 
 def starts_with(data: Column, prefix: str) -> Column:
@@ -104,15 +114,16 @@ def encode_target(kind: Column, quality: Column, mode: Column) -> Column:
     Modes differ where the request is null or neither JPG nor PNG: ``placeholder``
     encodes and labels it as JPG of default quality; ``compose`` and ``legacy``
     encode PNG under the label asked for; ``compose_web`` refuses; ``correct``
-    encodes PNG and says so.
+    encodes PNG and says so.  A kind with a registered encoder is a target in all of them.
     """
+    own = kind.isin(*ENCODERS) if ENCODERS else F.lit(False)
     quality = F.when(quality == UNKNOWN_QUALITY, DEFAULT_QUALITY).otherwise(quality)
     jpg, png = kind == "jpg", kind == "png"
-    other = kind.isNull() | ~(jpg | png)
+    other = kind.isNull() | ~(jpg | png | own)
     bad = (mode == "compose_web") & other
     as_jpg = jpg | ((mode == "placeholder") & other)
-    bytes_kind = F.when(bad, None).when(as_jpg, "jpg").otherwise("png")
-    label_kind = F.when(bad, None).when(as_jpg, "jpg").when(png | (mode == "correct") | kind.isNull(), "png").otherwise(kind)
+    bytes_kind = F.when(bad, None).when(as_jpg, "jpg").when(own, kind).otherwise("png")
+    label_kind = F.when(bad, None).when(as_jpg, "jpg").when(own, kind).when(png | (mode == "correct") | kind.isNull(), "png").otherwise(kind)
     label_quality = F.when(bad, None).when(jpg, F.coalesce(quality, F.lit(DEFAULT_QUALITY))).when(as_jpg, DEFAULT_QUALITY)
     return F.struct(
         bytes_kind.alias("bytes_kind"), label_kind.alias("label_kind"), label_quality.cast("int").alias("label_quality"),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 #: Encoder presets: quality, alpha quality, lossless.
 PRESETS = {"default": (50, 100, False), "q50": (50, 100, False), "q75": (75, 100, False), "lossless": (50, 100, True)}
-PNG_LEVEL = 6
 CAMERAS = ("rear", "front")
 
 
@@ -47,24 +46,36 @@ def encoder_arguments(lossless: Column, quality: Column, alpha_quality: Column,
     return F.concat(F.when(lossless, "-lossless").otherwise(lossy), F.lit(" "), src, F.lit(" -o "), dst)
 
 
+def preset_arguments(preset: Column, src: Column, dst: Column) -> Column:
+    """Arguments of an external encoder by the name of a preset; null for an unknown one."""
+    known = [(preset == name, encoder_arguments(F.lit(lossless), F.lit(q), F.lit(a), src, dst)) for name, (q, a, lossless) in PRESETS.items()]
+    out = F.when(*known[0])
+    for condition, value in known[1:]:
+        out = out.when(condition, value)
+    return out
+
+
 def source_text(kind: Column, camera: Column, path: Column) -> Column:
     part = lambda name, inner: F.concat(F.lit(f"ImageSource{name}("), inner, F.lit(")"))
     none = F.lit("")
     return (
-        F.when(kind == "gallery", part("Gallery", none)).when(kind == "camera", part("Camera", F.coalesce(camera, F.lit("rear"))))
+        F.when(kind == "gallery", part("Gallery", none))
+        .when((kind == "camera") & (camera.isNull() | camera.isin(*CAMERAS)), part("Camera", F.coalesce(camera, F.lit(CAMERAS[0]))))
         .when(kind == "memory", part("Memory", none)).when(kind == "asset", part("Asset", F.coalesce(path, none))))
 
 
-def pick_route(kind: Column, platform: Column) -> Column:
+def pick_route(kind: Column, platform: Column, *, strict: bool = False) -> Column:
     """How a source is read: by a picker for gallery and camera, directly for memory and asset.
 
-    Desktops open a file dialog whatever the source; a platform without pickers is an error.
+    Desktops open a file dialog whatever the source; a platform without pickers is an error,
+    as a text or, if ``strict``, raised.
     """
     picks = kind.isin("gallery", "camera")
+    fail = lambda text: F.raise_error(F.lit(text)).cast("string") if strict else F.lit(text)
     return (
-        F.when(kind.isNull() | ~kind.isin("gallery", "camera", "memory", "asset"), "unsupported_source").when(~picks, "direct")
+        F.when(kind.isNull() | ~kind.isin("gallery", "camera", "memory", "asset"), fail("unsupported_source")).when(~picks, "direct")
         .when(platform.isin("linux", "windows", "macos"), "file_dialog").when(platform.isin("android", "ios", "web"), F.concat(F.lit("picker_"), kind))
-        .otherwise("unsupported_platform"))
+        .otherwise(fail("unsupported_platform")))
 
 
 def parsed_side(text: Column) -> Column:

@@ -1,7 +1,9 @@
 """Compositing, resizing and placeholders: requests in, encoded images out, one row each, in Arrow batches.
 
 A row that fails gives null bytes and an ``error``; the job goes on.  Python
-sees pixels only; sizes, labels and targets come from native expressions.
+sees pixels only; sizes, labels and targets come from native expressions.  Spark
+bounds the batches that reach Python by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``),
+and each row's pixels are dropped before the next row is read.
 """
 
 from __future__ import annotations
@@ -17,18 +19,12 @@ from pyspark.sql import types as T
 from ..functions import encoding as E
 from ..functions import geometry as G
 from ..schema import DEFAULT_QUALITY, PLACEHOLDER_SIDE
+from ..sources.sinks import skip_existing
 from . import codec
 
 _SIZE = [T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("error", T.StringType())]
 RESULT = T.StructType([T.StructField("bytes", T.BinaryType()), *_SIZE])
 SIZE = T.StructType(_SIZE)
-#: Rows that meet in one Python batch; pixels are large.
-BATCH_ROWS = 64
-
-
-def pixel_batches(spark, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches of pixel stages small in this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 # ---- pixels ----
@@ -91,8 +87,8 @@ def _rect(r) -> tuple | None:
     return None if r is None else (r["left"], r["top"], r["width"], r["height"])
 
 
-def compose_one(layers: list, width: int | None, height: int | None, kind: str, quality: int | None, truncate: bool) -> tuple[bytes, int, int]:
-    """Layers in list order; only the first decides the size."""
+def compose_one(layers: list, width: int | None, height: int | None, kind: str, quality: int | None, truncate: bool, encoders: dict | None = None) -> tuple[bytes, int, int]:
+    """Layers in list order; only the first decides the size.  ``encoders`` are those of further kinds."""
     canvas = None
     if width is not None and height is not None:
         canvas = np.zeros((height, width, 4), np.uint8)
@@ -106,25 +102,31 @@ def compose_one(layers: list, width: int | None, height: int | None, kind: str,
         draw(canvas, pixels, src or (0, 0, *size), dst or (0, 0, canvas.shape[1], canvas.shape[0]), truncate)
     if canvas is None:
         raise codec.CodecError("no_size")
-    return codec.encode(canvas, kind, quality), canvas.shape[1], canvas.shape[0]
+    encode = (encoders or {}).get(kind)
+    return encode(canvas, quality) if encode else codec.encode(canvas, kind, quality), canvas.shape[1], canvas.shape[0]
 
 
 def _int(x) -> int | None:
     return None if x is None or (isinstance(x, float) and math.isnan(x)) else int(x)
 
 
-def _compose_batch(requests: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for r in requests.to_dict("records"):
-        try:
-            if r["problem"]:
-                raise codec.CodecError(r["problem"])
-            done = compose_one(list(r["layers"]) if r["layers"] is not None else [], _int(r["width"]), _int(r["height"]), r["kind"], _int(r["quality"]), bool(r["truncate"]))
-            out.append((*done, None))
-        except (codec.CodecError, ValueError, MemoryError) as e:
-            out.append((None, None, None, str(e) or "decode_failed"))
-    frame = pd.DataFrame(out, columns=["bytes", "width", "height", "error"])
-    return frame.astype({"width": "Int32", "height": "Int32"})
+def _composer(encoders: dict):
+    """The batch function, with the encoders that are registered on the driver."""
+
+    def compose(requests: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in requests.to_dict("records"):
+            try:
+                if r["problem"]:
+                    raise codec.CodecError(r["problem"])
+                done = compose_one(list(r["layers"]) if r["layers"] is not None else [], _int(r["width"]), _int(r["height"]), r["kind"], _int(r["quality"]), bool(r["truncate"]), encoders)
+                out.append((*done, None))
+            except codec.CodecError as e:
+                out.append((None, None, None, str(e) or "decode_failed"))
+        frame = pd.DataFrame(out, columns=["bytes", "width", "height", "error"])
+        return frame.astype({"width": "Int32", "height": "Int32"})
+
+    return compose
 
 
 def compose_images(requests: DataFrame, *, mode: str = "correct", strict: bool = False) -> DataFrame:
@@ -139,7 +141,7 @@ def compose_images(requests: DataFrame, *, mode: str = "correct", strict: bool =
         F.col("layers"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"),
         target["bytes_kind"].alias("kind"), target["label_quality"].alias("quality"),
         F.coalesce(target["error"], bad_quality).alias("problem"), F.lit(mode != "compose_web").alias("truncate"))
-    made = requests.withColumn("_made", F.pandas_udf(_compose_batch, RESULT)(ask))
+    made = requests.withColumn("_made", F.pandas_udf(_composer(dict(E.ENCODERS)), RESULT)(ask))
     image = F.struct(
         F.col("_made.bytes").alias("bytes"), E.encoding(target["label_kind"], target["label_quality"]).alias("encoding"),
         F.col("_made.width").alias("width"), F.col("_made.height").alias("height"), F.col("_made.error").alias("error"))
@@ -215,7 +217,7 @@ def _sizes(data: pd.Series, of) -> pd.DataFrame:
     for d in data:
         try:
             out.append((*of(bytes(d or b"")), None))
-        except (codec.CodecError, ValueError) as e:
+        except codec.CodecError as e:
             out.append((None, None, str(e) or "decode_failed"))
     return pd.DataFrame(out, columns=["width", "height", "error"]).astype({"width": "Int32", "height": "Int32"})
 
@@ -241,25 +243,40 @@ def image_meta(images: DataFrame, *, data: str = "bytes", mode: str = "fast") ->
     return out.withColumn("meta", meta).drop("_size")
 
 
-def convert_files(images: DataFrame, *, kind: str = "png", crop: Column | None = None, resize_width: Column | None = None) -> DataFrame:
+def convert_files(
+    images: DataFrame, *, kind: str = "png", crop: Column | None = None, resize_width: Column | None = None,
+    existing: DataFrame | None = None, dst: str = "dst", force: bool = False,
+) -> DataFrame:
     """The file conversion path: crop in whole pixels, pad where the crop leaves the image, average down to a width, encode.
 
-    WebP needs an encoder that is not installed here: its rows carry ``unsupported_target``.
+    With ``existing`` (a column ``dst`` of names), rows whose ``dst`` is among them are left out before
+    anything is decoded, unless ``force``.  WebP needs an encoder that is not installed here: its rows carry
+    ``unsupported_target`` unless one is registered.
     """
+    if existing is not None:
+        images = skip_existing(images, existing, dst=dst, force=force)
     none_rect = F.lit(None).cast("struct<left: int, top: int, width: int, height: int>")
     ask = F.struct(F.col("bytes"), (none_rect if crop is None else crop).alias("crop"), (F.lit(None).cast("int") if resize_width is None else resize_width.cast("int")).alias("to"), F.lit(kind).alias("kind"))
-    return images.withColumn("image", F.pandas_udf(_convert_batch, RESULT)(ask))
+    encoders = dict(E.ENCODERS)
+
+    def convert(requests: pd.DataFrame) -> pd.DataFrame:
+        return _convert_batch(requests, encoders)
 
+    return images.withColumn("image", F.pandas_udf(convert, RESULT)(ask))
 
-def _convert_batch(requests: pd.DataFrame) -> pd.DataFrame:
+
+def _convert_batch(requests: pd.DataFrame, encoders: dict) -> pd.DataFrame:
     out = []
     for r in requests.to_dict("records"):
         try:
-            if r["kind"] not in ("png", "jpg"):
+            encode = encoders.get(r["kind"])
+            if encode is None and r["kind"] not in ("png", "jpg"):
                 raise codec.CodecError("unsupported_target")
             pixels = with_alpha(codec.decode(bytes(r["bytes"] or b"")))
             if r["crop"] is not None:
                 x, y, w, h = (int(r["crop"][k]) for k in ("left", "top", "width", "height"))
+                if w <= 0 or h <= 0:
+                    raise codec.CodecError("no_size")
                 part = pixels[max(0, y) : max(0, y + h), max(0, x) : max(0, x + w)]
                 if part.shape[:2] != (h, w):
                     whole = np.zeros((h, w, 4), np.uint8)
@@ -271,8 +288,8 @@ def _convert_batch(requests: pd.DataFrame) -> pd.DataFrame:
             if to is not None:
                 ratio = pixels.shape[1] / pixels.shape[0]
                 pixels = average(pixels, max(1, to), max(1, _half_up(to / ratio)))
-            out.append((codec.encode(pixels, r["kind"]), pixels.shape[1], pixels.shape[0], None))
-        except (codec.CodecError, ValueError, ZeroDivisionError) as e:
+            out.append((encode(pixels, None) if encode else codec.encode(pixels, r["kind"]), pixels.shape[1], pixels.shape[0], None))
+        except codec.CodecError as e:
             out.append((None, None, None, str(e) or "decode_failed"))
     return pd.DataFrame(out, columns=["bytes", "width", "height", "error"]).astype({"width": "Int32", "height": "Int32"})
 
@@ -298,7 +315,7 @@ def _gray_png_batch(px: pd.Series) -> pd.Series:
 
 
 def _first_channel_batch(data: pd.Series) -> pd.Series:
-    return data.map(lambda v: codec.decode_png(bytes(v))[:, :, 0].ravel().tolist())
+    return data.map(lambda v: codec.decode(bytes(v))[:, :, 0].ravel().tolist())
 
 
 def gray_png(px: Column) -> Column:
@@ -306,6 +323,15 @@ def gray_png(px: Column) -> Column:
     return F.pandas_udf(_gray_png_batch, T.BinaryType())(px)
 
 
+def _gray_jpg_batch(value: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+    return pd.Series([codec.encode_jpg(np.full((h, w, 3), v, np.uint8), 95) for v, w, h in zip(value, width, height, strict=True)])
+
+
+def flat_jpg(value: Column, width: Column, height: Column) -> Column:
+    """A JPG of one gray value."""
+    return F.pandas_udf(_gray_jpg_batch, T.BinaryType())(value.cast("int"), width.cast("int"), height.cast("int"))
+
+
 def first_channel(data: Column) -> Column:
-    """The values of a PNG's first channel, row by row."""
+    """The values of an image's first channel, row by row."""
     return F.pandas_udf(_first_channel_batch, T.ArrayType(T.IntegerType()))(data)

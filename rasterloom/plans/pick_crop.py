@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.encoding import encoding
 from ..functions.geometry import aspect_ratio, auto_crop
 from ..operators.compose import compose_images, image_meta
+from ..sources.files import narrow_join
 
 
 def pick_crop(
@@ -36,7 +37,7 @@ def pick_crop(
         rows = sized.withColumn("rect", F.when(F.col("meta.error").isNull(), auto_crop(F.col("meta.width"), F.col("meta.height"), ratio))).drop("meta")
     else:
         mine = crops.select(F.col("image_id").alias("_crop_id"), F.col("rect"))
-        rows = images.join(mine, F.col("image_id") == F.col("_crop_id"), "left").drop("_crop_id")
+        rows = narrow_join(images, mine, "image_id", F.col("_crop_id"), "left").drop("_crop_id")
     goes = F.col("rect").isNotNull() & F.col("bytes").isNotNull()
     asked = encoding(F.lit(kind), F.lit(quality))
     if convert is not None:

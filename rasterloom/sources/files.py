@@ -39,12 +39,43 @@ def landing_stream(spark: SparkSession, path: str, *, glob: str = "*") -> DataFr
 def read_sources(sources: DataFrame, files: DataFrame) -> DataFrame:
     """Bytes of sources (``source`` struct): memory as it is, the others from ``files`` by path.
 
-    A source that was not picked, or whose file is missing, has null bytes.
-    Only paths are compared; each file's bytes move once, for the sources that name it.
+    A source that was not picked, or whose file is missing, has null bytes.  Sources are dealt to the files
+    (:func:`narrow_join`), so bytes of files stay in the tasks that read them, and rows of sources without a file,
+    which carry none, are added.
     """
     if [f.name for f in sources.schema["source"].dataType.fields] != [f.name for f in SOURCE.fields]:
         raise ValueError("source must be " + SOURCE.simpleString())
-    found = files.select(F.col("path").alias("_path"), F.col("bytes").alias("_bytes"))
-    joined = sources.join(found, F.col("source.path") == F.col("_path"), "left")
-    picked = F.when(F.col("source.kind") == "memory", F.col("source.bytes")).otherwise(F.col("_bytes"))
-    return joined.withColumn("bytes", picked).drop("_path", "_bytes")
+    from_file = F.coalesce(F.col("source.kind") != "memory", F.lit(True)) & F.col("source.path").isNotNull()
+    wanted = sources.where(from_file)
+    found = narrow_join(files.select(F.col("path").alias("_path"), F.col("bytes").alias("_bytes")), wanted, "_path", F.col("source.path"), "inner")
+    read = found.select(*[F.col(f"`{c}`") for c in sources.columns], F.col("_bytes").alias("bytes"))
+    have = files.select(F.col("path").alias("_path")).distinct()
+    missing = wanted.join(have, F.col("source.path") == F.col("_path"), "left_anti").withColumn("bytes", F.lit(None).cast("binary"))
+    others = sources.where(~from_file).withColumn("bytes", F.when(F.col("source.kind") == "memory", F.col("source.bytes")))
+    return read.unionByName(missing).unionByName(others)
+
+
+#: Rows of one broadcast, and broadcasts of one join, at most.
+BROADCAST_ROWS, BROADCASTS = 1_000_000, 16
+
+
+def narrow_join(heavy: DataFrame, light: DataFrame, key: str, light_key: Column, how: str) -> DataFrame:
+    """``heavy`` joined ("inner" or "left") with ``light`` without moving a row of ``heavy``.
+
+    ``light`` is counted and dealt by its key's hash into broadcasts of about BROADCAST_ROWS rows.  Each heavy row
+    meets one of them only.  Beyond BROADCASTS of them both sides are shuffled, for want of a bound.  Columns must differ.
+    """
+    n = light.count()
+    parts = -(-n // BROADCAST_ROWS) or 1
+    on = F.col(key) == light_key
+    if parts == 1:
+        return heavy.join(F.broadcast(light), on, how)
+    if parts > BROADCASTS:
+        return heavy.join(light, on, how)
+    of = lambda c, k: F.pmod(F.xxhash64(c), F.lit(parts)) == k
+    out = None
+    for k in range(parts):
+        mine = F.coalesce(of(F.col(key), k), F.lit(k == 0))  # null keys go with the first
+        part = heavy.where(mine).join(F.broadcast(light.where(of(light_key, k))), on, how)
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import posixpath
 import uuid
 from dataclasses import dataclass
 
+import pyarrow.fs as pa_files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -35,19 +37,25 @@ class _ImageFileWriter(DataSourceWriter):
         self.at = [names.index("name"), names.index("bytes")]
 
     def write(self, rows) -> _Written:
+        files, base = pa_files.FileSystem.from_uri(self.folder if "://" in self.folder or self.folder.startswith("file:") else os.path.abspath(self.folder))
         n = 0
         for row in rows:
             name, data = row[self.at[0]], row[self.at[1]]
             if name is None or data is None:
                 continue
-            target = os.path.normpath(os.path.join(self.folder, name))
-            if not target.startswith(os.path.normpath(self.folder) + os.sep):
+            target = posixpath.normpath(posixpath.join(base, name))
+            if not target.startswith(posixpath.normpath(base).rstrip("/") + "/"):
                 raise ValueError(f"{name} lies outside the folder")
-            os.makedirs(os.path.dirname(target), exist_ok=True)
+            files.create_dir(posixpath.dirname(target), recursive=True)
             part = f"{target}.{uuid.uuid4().hex}.part"
-            with open(part, "wb") as f:
-                f.write(bytes(data))
-            os.replace(part, target)
+            try:
+                with files.open_output_stream(part) as f:
+                    f.write(bytes(data))
+                files.move(part, target)
+            except BaseException:
+                if files.get_file_info(part).type != pa_files.FileType.NotFound:
+                    files.delete_file(part)
+                raise
             n += 1
         return _Written(n)
 
@@ -59,7 +67,7 @@ class _ImageFileWriter(DataSourceWriter):
 
 
 class ImageFiles(DataSource):
-    """``format("image_files")``: rows with ``name`` and ``bytes`` become files of a mounted folder."""
+    """``format("image_files")``: rows with ``name`` and ``bytes`` become files of a mounted folder or of a store that Arrow can write (s3, gs, hdfs)."""
 
     @classmethod
     def name(cls) -> str:
@@ -73,7 +81,7 @@ class ImageFiles(DataSource):
 
 
 def save_images(rows: DataFrame, folder: str) -> None:
-    """Write (name, bytes) rows as files into a folder that all executors mount."""
+    """Write (name, bytes) rows as files into a folder that all executors reach, by its path or address."""
     spark: SparkSession = rows.sparkSession
     spark.dataSource.register(ImageFiles)
     rows.select("name", "bytes").write.format("image_files").mode("append").save(folder)
