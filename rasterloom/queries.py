@@ -16,6 +16,8 @@ from .functions import geometry as G
 from .functions import naming as N
 from .operators import compose as P
 from .operators import raster as R
+from .plans.pick_crop import pick_crop
+from .sources.files import read_sources
 from .sources.sinks import skip_existing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -271,12 +273,12 @@ def q23_pad_fill(spark, sf_dir):
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'png' ELSE 'jpg' END AS kind, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 3 = 1 THEN 75 ELSE 50 END::INTEGER AS quality,
-  CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE 256 END::INTEGER AS width, (p_partkey % 17 + 1)::INTEGER AS height FROM part WHERE p_partkey <= 300""")
+  CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE 256 END::INTEGER AS width, (p_partkey % 17 + 1)::INTEGER AS height FROM part""")
 def q24_placeholder(spark, sf_dir):
-    """Sizes as read back from the encoded images; the first 300 parts are the query's input by definition."""
+    """Sizes as read back from the encoded images of all parts."""
     k = F.col("p_partkey")
     kind = F.when(k % 3 == 0, "png").when(k % 3 == 1, "jpg")
-    rows = _table(spark, sf_dir, "part").where("p_partkey <= 300").select(
+    rows = _table(spark, sf_dir, "part").select(
         "p_partkey", F.when(k % 2 == 0, F.col("p_size")).alias("width"), (k % 17 + 1).cast("int").alias("height"),
         F.when(k % 5 > 0, k * 2654435).alias("color"), E.encoding(kind, F.when(k % 3 == 1, 75)).alias("encoding"))
     made = P.placeholders(rows).select("p_partkey", F.col("image.bytes").alias("bytes"), F.col("image.encoding.quality").alias("quality"))
@@ -297,9 +299,9 @@ def q25_png_pixels(spark, sf_dir):
     return _png_tiles(spark, sf_dir).select("vec_id", P.first_channel(F.col("bytes")).alias("px"))
 
 
-@query("SELECT doc_id, 'data:image/png;base64,' || base64(encode(text)) AS url FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, 'data:image/png;base64,' || base64(encode(text)) AS url FROM documents")
 def q26_data_url(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", N.data_url(F.col("text").cast("binary")).alias("url"))
+    return _table(spark, sf_dir, "documents").select("doc_id", N.data_url(F.col("text").cast("binary")).alias("url"))
 
 
 @query("""SELECT c_custkey, array_to_string(list_transform(range(0, strlen(c_name)), lambda i: '0x' || regexp_replace(lower(substr(hex(encode(c_name)), 2 * i + 1, 2)), '^0', '')), ',') AS literal,
@@ -344,17 +346,20 @@ def q30_resize_e2e(spark, sf_dir):
     return out.select("vec_id", F.col("image.width").alias("width"), F.col("image.height").alias("height"), P.first_channel(F.col("image.bytes")).alias("px"))
 
 
-@query(f"""SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 4 ELSE 6 END::INTEGER AS width, CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 6 END::INTEGER AS height FROM embeddings WHERE len(embedding) = 64 AND vec_id % 3 < 2""")
+@query("""SELECT vec_id, vec_id % 3 = 2 AS cancelled, CASE vec_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 6 END::INTEGER AS width, CASE vec_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 6 END::INTEGER AS height
+  FROM embeddings WHERE len(embedding) = 64""")
 def q31_pick_crop(spark, sf_dir):
-    """Annotated pictures only give images; pictures of remainder 2 have no annotation."""
-    from .plans.pick_crop import pick_crop
+    """Every picture; those of remainder 2 have no annotation, as if their crop was cancelled, and so no image."""
+    out = pick_crop(*_annotated(spark, sf_dir))
+    return out.select(F.col("image_id").alias("vec_id"), F.col("image").isNull().alias("cancelled"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
 
+
+def _annotated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pictures, and rectangles of two thirds of them."""
     images = _png_tiles(spark, sf_dir).withColumnRenamed("vec_id", "image_id")
     side = F.when(F.col("image_id") % 3 == 0, 4.0).otherwise(6.0)
     high = F.when(F.col("image_id") % 3 == 0, 2.0).otherwise(6.0)
-    crops = images.where("image_id % 3 < 2").select("image_id", G.rect(F.lit(1.0), F.lit(1.0), side, high).alias("rect"))
-    out = pick_crop(images, crops).where("image is not null")
-    return out.select(F.col("image_id").alias("vec_id"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
+    return images, images.where("image_id % 3 < 2").select("image_id", G.rect(F.lit(1.0), F.lit(1.0), side, high).alias("rect"))
 
 
 @query(f"""SELECT vec_id, list_transform(range(0, 16), lambda i: CASE WHEN i // 4 BETWEEN 1 AND 2 AND i % 4 BETWEEN 1 AND 2 THEN px[(i // 4 - 1) * 8 + i % 4 - 1 + 1 ] ELSE px[(i // 4) * 16 + (i % 4) * 2 + 1] END) AS px FROM {_BYTES}""")
@@ -383,3 +388,99 @@ def q33_texts(spark, sf_dir):
 def q34_turn_clip(spark, sf_dir):
     clip = G.clipped(G.translated(G.rect(*map(F.lit, (1.0, 1.0, 6.0, 6.0))), F.lit(1.0), F.lit(0.0)), G.rect(F.lit(0.0), F.lit(0.0), (2 + F.col("vec_id") % 9).cast("double"), F.lit(8.0)))
     return _tiles(spark, sf_dir).select("vec_id", R.rotate_quarters(F.col("px"), 8, 8, 1).alias("turned"), clip["width"].alias("clip_width"))
+
+
+@query("""SELECT event_id, (event_id % 101) / 100.0::DOUBLE AS quality, CASE event_id % 5 WHEN 0 THEN '-q 50 -alpha_q 100 a -o b' WHEN 1 THEN '-q 50 -alpha_q 100 a -o b'
+  WHEN 2 THEN '-q 75 -alpha_q 100 a -o b' WHEN 3 THEN '-lossless a -o b' END AS args,
+  CASE WHEN event_id % 4 = 0 THEN 'ImageSourceCamera(rear)' WHEN event_id % 4 < 3 THEN 'ImageSourceCamera(' || CASE event_id % 4 WHEN 1 THEN 'rear' ELSE 'front' END || ')' END AS camera FROM events""")
+def q35_encoder_settings(spark, sf_dir):
+    """Canvas quality, presets of an external encoder (an unknown one gives null) and cameras (an unknown one gives null)."""
+    e = F.col("event_id")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (e % n + 1).cast("int"))
+    return _table(spark, sf_dir, "events").select(
+        "event_id", E.blob_quality(e % 101).alias("quality"), N.preset_arguments(pick(("default", "q50", "q75", "lossless", "best"), 5), F.lit("a"), F.lit("b")).alias("args"),
+        N.source_text(F.lit("camera"), pick((None, "rear", "front", "side"), 4), F.lit(None).cast("string")).alias("camera"))
+
+
+@query("""SELECT event_id, CASE WHEN w = 0 AND h = 0 THEN 300 ELSE w END::INTEGER AS width, CASE WHEN w = 0 AND h = 0 THEN 300 ELSE h END::INTEGER AS height
+  FROM (SELECT event_id, event_id % 3 AS w, event_id % 4 AS h FROM events)""")
+def q36_loaded_size(spark, sf_dir):
+    w, h = (F.col("event_id") % 3).cast("int"), (F.col("event_id") % 4).cast("int")
+    return _table(spark, sf_dir, "events").select("event_id", G.loaded_side(w, h).alias("width"), G.loaded_side(h, w).alias("height"))
+
+
+@query(f"""SELECT vec_id, 6::INTEGER AS width, 4::INTEGER AS height, list_transform(range(0, 24), lambda i: CASE WHEN vec_id % 2 = 0 THEN px[(i // 6 + 2) * 8 + i % 6 + 1 + 1]
+  WHEN i // 6 BETWEEN 1 AND 2 AND i % 6 BETWEEN 2 AND 3 THEN px[(i // 6 - 1 + 6) * 8 + i % 6 - 2 + 6 + 1] ELSE 0 END) AS px FROM {_BYTES} WHERE vec_id % 7 <> 0""")
+def q37_convert_files(spark, sf_dir):
+    """Crops within the picture, or leaving it and padded; pictures whose result exists (remainder 0 of 7) are skipped."""
+    tiles = _png_tiles(spark, sf_dir).withColumn("dst", F.concat(F.lit("out/"), F.col("vec_id").cast("string"), F.lit(".png")))
+    existing = tiles.where("vec_id % 7 = 0").select("dst")
+    even = F.col("vec_id") % 2 == 0
+    side = lambda a, b: F.when(even, a).otherwise(b).cast("int")
+    crop = F.struct(side(1, 6).alias("left"), side(2, 6).alias("top"), F.lit(6).alias("width"), F.lit(4).alias("height"))
+    out = P.convert_files(tiles, crop=crop, existing=existing)
+    return out.select("vec_id", F.col("image.width").alias("width"), F.col("image.height").alias("height"), P.first_channel(F.col("image.bytes")).alias("px"))
+
+
+@query(f"""SELECT vec_id, 4::INTEGER AS width, 4::INTEGER AS height, list_transform(range(0, 16), lambda i: (px[(i // 4) * 16 + (i % 4) * 2 + 1] + px[(i // 4) * 16 + (i % 4) * 2 + 2]
+  + px[(i // 4) * 16 + (i % 4) * 2 + 9] + px[(i // 4) * 16 + (i % 4) * 2 + 10] + 2) // 4)::INTEGER[] AS px FROM {_BYTES}""")
+def q38_convert_average(spark, sf_dir):
+    out = P.convert_files(_png_tiles(spark, sf_dir), resize_width=F.lit(4))
+    return out.select("vec_id", F.col("image.width").alias("width"), F.col("image.height").alias("height"), P.first_channel(F.col("image.bytes")).alias("px"))
+
+
+@query("""SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'png' END AS kind, CASE WHEN vec_id % 2 = 0 THEN 8 END::INTEGER AS width, CASE WHEN vec_id % 2 = 1 THEN 'unsupported_target' END AS error
+  FROM embeddings WHERE len(embedding) = 64""")
+def q39_compose_web(spark, sf_dir):
+    """The canvas mode refuses targets that it cannot write."""
+    tiles = _png_tiles(spark, sf_dir)
+    none = F.lit(None).cast("struct<left: double, top: double, width: double, height: double>")
+    layer = F.struct("bytes", none.alias("src"), none.alias("dst"))
+    asked = tiles.select("vec_id", F.array(layer).alias("layers"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), E.encoding(F.when(F.col("vec_id") % 2 == 0, "png").otherwise("webp"), F.lit(None)).alias("encoding"))
+    out = P.compose_images(asked, mode="compose_web")
+    ok = F.col("image.error").isNull()
+    return out.select("vec_id", F.when(ok, F.col("image.encoding.kind")).alias("kind"), F.col("image.width").alias("width"), F.col("image.error").alias("error"))
+
+
+@query("""SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 8 WHEN 1 THEN 36 END::INTEGER AS area, CASE WHEN vec_id % 3 < 2 THEN 'image/x-own' END AS mime FROM embeddings WHERE len(embedding) = 64""")
+def q40_own_conversion(spark, sf_dir):
+    """A conversion of the user's in place of the default one."""
+    images, crops = _annotated(spark, sf_dir)
+    own = lambda request: F.struct((request["rect"]["width"] * request["rect"]["height"]).cast("int").alias("area"), F.lit("image/x-own").alias("mime"))
+    return pick_crop(images, crops, convert=own).select(F.col("image_id").alias("vec_id"), F.col("image.area").alias("area"), F.col("image.mime").alias("mime"))
+
+
+@query("""SELECT p_partkey, w AS width, h AS height, list_transform(range(0, 6), lambda i: v) AS px, 'jpg' AS kind
+  FROM (SELECT p_partkey, (p_partkey % 23 + 1)::INTEGER AS w, (p_partkey % 11 + 1)::INTEGER AS h, (p_partkey % 256)::INTEGER AS v FROM part)""")
+def q41_jpg_pixels(spark, sf_dir):
+    """Flat JPG pictures, decoded, resized to 3 x 2, and their sizes by full decoding."""
+    k = F.col("p_partkey")
+    flat = _table(spark, sf_dir, "part").select("p_partkey", P.flat_jpg(k % 256, k % 23 + 1, k % 11 + 1).alias("bytes"))
+    sized = P.image_meta(flat, mode="strict")
+    out = P.resize_images(sized, width=F.lit(3), height=F.lit(2))
+    return out.select("p_partkey", F.col("meta.width").alias("width"), F.col("meta.height").alias("height"), P.first_channel(F.col("image.bytes")).alias("px"), F.col("meta.encoding.kind").alias("kind"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN c_mktsegment END AS text FROM customer""")
+def q42_read_sources(spark, sf_dir):
+    """Sources in memory, files by path, a missing file, and nothing picked."""
+    k = F.col("c_custkey")
+    rows = _table(spark, sf_dir, "customer")
+    files = rows.where("c_custkey % 4 = 1").select(F.concat(F.lit("f/"), k.cast("string")).alias("path"), F.col("c_mktsegment").cast("binary").alias("bytes"))
+    kind = F.when(k % 4 == 0, "memory").when(k % 4 < 3, "asset").otherwise("gallery")
+    source = F.struct(kind.alias("kind"), F.lit(None).cast("string").alias("camera"), F.when((k % 4).isin(1, 2), F.concat(F.lit("f/"), k.cast("string"))).alias("path"), F.when(k % 4 == 0, F.col("c_name").cast("binary")).alias("bytes"))
+    return read_sources(rows.select("c_custkey", source.alias("source")), files).select("c_custkey", F.col("bytes").cast("string").alias("text"))
+
+
+@query("""SELECT vec_id, 'raw' AS kind, (8 * 8 * 4)::INTEGER AS size FROM embeddings WHERE len(embedding) = 64""")
+def q43_own_encoder(spark, sf_dir):
+    """A registered kind with an encoder of its own: the pixels as they are."""
+    held = dict(E.KINDS), dict(E.ENCODERS)
+    E.register("raw", "image/x-raw", ".raw", encoder=lambda pixels, quality: pixels.tobytes())
+    try:
+        out = P.resize_images(_png_tiles(spark, sf_dir), width=F.lit(None), height=F.lit(None), kind="raw")
+    finally:
+        for now, before in zip((E.KINDS, E.ENCODERS), held, strict=True):
+            now.clear()
+            now.update(before)
+    return out.select("vec_id", F.col("image.encoding.kind").alias("kind"), F.length("image.bytes").cast("int").alias("size"))
