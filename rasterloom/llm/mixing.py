@@ -11,15 +11,16 @@ Copies.  A document of x words has the inclusion measure ``g(x) = floor(sqrt(x))
 expects ``min(cap, c * g(x))`` copies, with c of its source such that the
 expected words meet the target.  The whole part is taken for certain.  The
 fraction p is an inclusion probability: the documents of a source are ranked by
-Pareto's ``(u / (1 - u)) / (p / (1 - p))`` with u a keyed hash of the document,
+Pareto's ``(u / (1 - u)) / (p / (1 - p))`` with u a keyed hash of doc_id and text,
 and taken in that order while the words taken come nearer to the target.  Two
 rounds of histograms over all documents find where each source's order ends, so
 no source is ever sorted as a whole.
 
-Edge cases: null or empty texts have size 0 and take nothing; ties of the rank
-(repeated rows) go by doc_id; rows equal in doc_id and text share one fate; an
-empty table gives an empty result; other columns pass through, and none of
-theirs is read by name except the three given.
+Edge cases: null or empty texts have size 0 and take nothing; null and repeated
+doc_ids are documents of their own by their texts; ties of the rank go by
+doc_id, and of rows equal in doc_id and text as many are taken as the target
+asks for, whichever; very long texts count whole; an empty table gives an empty
+result; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_name, word_count, write_table
+from .common import word_count, write_table
 
 BINS = 1024
 UNIT = float(1 << 52)
@@ -100,7 +101,7 @@ def _same(a: str, b: str) -> Column:
 
 def _cut(rows: DataFrame, bounds: DataFrame, level: str) -> DataFrame:
     """Per source, the bin of ``level`` in which the words taken in order reach what is left to take."""
-    joined = rows.join(bounds.select(F.col("source").alias("_s"), "_rest"), _same("source", "_s")).drop("_s")
+    joined = _with(rows, bounds.select(F.col("source").alias("_s"), "_rest"), _same("source", "_s"), "_s").drop("_s")
     bins = joined.groupBy("source", level, "_rest").agg(F.sum("size").alias("_bin_words"))
     upto = Window.partitionBy("source").orderBy(level).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bins = bins.withColumn("_before", F.sum("_bin_words").over(upto) - F.col("_bin_words"))
@@ -109,68 +110,109 @@ def _cut(rows: DataFrame, bounds: DataFrame, level: str) -> DataFrame:
     ).select("source", F.col(f"_m.{level}").alias(f"_cut_{level}"), F.col("_m._rest").alias("_rest"))
 
 
-def mix_sources(
-    docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id",
-    cap: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix",
-) -> DataFrame:
-    """One row (doc_id, source, size, source_size, target, copies) per input row; see the module."""
-    sizes = write_table(docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
-    ))
-    targets = source_targets(sizes, cap, weights)
-    rates = expected_copies(sizes, targets, cap).select(F.col("source").alias("_rs"), F.col("size").alias("_rz"), "copies")
-    expected = sizes.join(rates, _same("source", "_rs") & (F.col("size") == F.col("_rz")), "left").drop("_rs", "_rz")
-    u = unit_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), seed)
-    p = F.col("_copies") - F.floor("_copies")
-    ranked = expected.select("doc_id", "source", "size", F.coalesce("copies", F.lit(0.0)).alias("_copies")).select(
-        "doc_id", "source", "size", F.floor("_copies").cast("long").alias("certain"),
-        F.when(p > 0, (u / (1 - u)) / (p / (1 - p))).alias("q"),
-    )
+#: A table of few rows is broadcast up to so many rows and bytes of its source names.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 1 << 24
+#: Parts into which a source's rows are dealt where its one row is too much to broadcast.
+SALTS = 32
+
+
+def _with(rows: DataFrame, few: DataFrame, on: Column, source: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table of one row a source, or a source and size, without a shuffle of ``rows`` if it is small."""
+    n, size = few.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(source).cast("string"))), F.lit(0))).first()
+    if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(few), on, how)
+    few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_deal", F.pmod(F.xxhash64("_u"), F.lit(SALTS)).cast("int"))
+    return rows.join(few, on & (F.col("_deal") == F.col("_salt")), how).drop("_salt", "_deal")
+
+
+def _sized(docs: DataFrame, text: str, source: str, doc_id: str, seed: str) -> DataFrame:
+    """``docs`` with _id, _source, _size and _u, a hash of doc_id and text in (0, 1)."""
+    key = F.concat(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.md5(F.col(f"`{text}`").cast("binary")), F.lit("null")))
+    return docs.select(
+        "*", F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{source}`").alias("_source"), word_count(F.col(f"`{text}`")).alias("_size"), unit_hash(key, seed).alias("_u"))
+
+
+def _ranked(sized: DataFrame, rates: DataFrame) -> DataFrame:
+    """With certain copies, the Pareto rank q of the rest, and the two bins of q."""
+    few = rates.select(F.col("source").alias("_rs"), F.col("size").alias("_rz"), F.col("copies").alias("_copies"))
+    rows = _with(sized, few, _same("_source", "_rs") & (F.col("_size") == F.col("_rz")), "_rs", "left").drop("_rs", "_rz")
+    copies = F.coalesce("_copies", F.lit(0.0))
+    p, u = copies - F.floor(copies), F.col("_u")
+    rows = rows.withColumn("_certain", F.floor(copies).cast("long")).withColumn("_q", F.when(p > 0, (u / (1 - u)) / (p / (1 - p)))).drop("_copies")
     # q / (1 + q) lies in (0, 1) and keeps the order; its binary digits are the bins of the two rounds.
-    place = F.least(F.floor(F.col("q") / (1 + F.col("q")) * float(BINS * BINS)), F.lit(BINS * BINS - 1)).cast("long")
-    ranked = write_table(
-        ranked.withColumn("_place", place).select(
-            "*", F.floor(F.col("_place") / BINS).cast("long").alias("_bin"), (F.col("_place") % BINS).alias("_sub")
-        ).drop("_place")
-    )
-    taken = ranked.groupBy("source").agg(F.sum(F.col("certain") * F.col("size")).alias("_certain"))
-    rest = targets.join(taken.select(F.col("source").alias("_s"), "_certain"), _same("source", "_s")).select(
-        "source", "source_size", "target", (F.col("target") - F.col("_certain")).alias("_rest"))
-    open_rows = ranked.where("q is not null")
-    first = _cut(open_rows, rest, "_bin")
-    inside = open_rows.join(first.select(F.col("source").alias("_s"), "_cut__bin"), _same("source", "_s") & (F.col("_bin") == F.col("_cut__bin"))).drop("_s", "_cut__bin")
-    second = _cut(inside, first, "_sub")
-    last = inside.join(second.withColumnRenamed("source", "_s"), _same("source", "_s") & (F.col("_sub") == F.col("_cut__sub"))).drop("_s")
-    order = Window.partitionBy("source").orderBy("q", F.col("doc_id").asc_nulls_first(), "size")
-    run = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    last = last.withColumn("_run", run)
+    place = F.least(F.floor(F.col("_q") / (1 + F.col("_q")) * float(BINS * BINS)), F.lit(BINS * BINS - 1)).cast("long")
+    return rows.withColumn("_bin", F.floor(place / BINS).cast("long")).withColumn("_sub", place % BINS)
+
+
+def _limits(sized: DataFrame, cap: int, weights: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """Expected copies by source and size, and where each source's order ends: one row a source.
+
+    ``_end`` is the last (q, id) taken; of the ``_tied`` rows that have it (rows
+    equal in id and text) ``_take`` are taken.
+    """
+    sizes = sized.select(F.col("_source").alias("source"), F.col("_size").alias("size"))
+    targets = write_table(source_targets(sizes, cap, weights))
+    rates = write_table(expected_copies(sizes, targets, cap))
+    ranked = write_table(_ranked(sized, rates).select(
+        "_id", F.col("_source").alias("source"), F.col("_size").alias("size"), "_u", "_certain", "_q", "_bin", "_sub"))
+    taken = ranked.groupBy("source").agg(F.sum(F.col("_certain") * F.col("size")).alias("_taken"))
+    rest = write_table(targets.join(taken.select(F.col("source").alias("_s"), "_taken"), _same("source", "_s")).select(
+        "source", "source_size", "target", (F.col("target") - F.col("_taken")).alias("_rest")))
+    open_rows = ranked.where("_q is not null")
+    first = write_table(_cut(open_rows, rest, "_bin"))
+    inside = _with(open_rows, first.select(F.col("source").alias("_s"), "_cut__bin"), _same("source", "_s") & (F.col("_bin") == F.col("_cut__bin")), "_s").drop("_s", "_cut__bin")
+    second = write_table(_cut(inside, first, "_sub"))
+    last = _with(inside, second.withColumnRenamed("source", "_s"), _same("source", "_s") & (F.col("_sub") == F.col("_cut__sub")), "_s").drop("_s")
+    order = Window.partitionBy("source").orderBy("_q", F.col("_id").asc_nulls_first(), "size")
+    last = last.withColumn("_run", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     # The document that crosses the target is taken if that ends nearer to it than without.
-    ends = last.where(F.col("_run") - F.col("size") / 2.0 <= F.col("_rest")).groupBy("source").agg(
-        F.max(F.struct("q", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))).alias("_end"))
+    goes = F.col("_run") - F.col("size") / 2.0 <= F.col("_rest")
+    tied = last.groupBy("source", _rank().alias("_end")).agg(F.count(F.when(goes, 1)).alias("_take"), F.count(F.lit(1)).alias("_tied"))
+    ends = tied.where("_take > 0").groupBy("source").agg(F.max(F.struct("_end", "_take", "_tied")).alias("_m")).select("source", "_m.*")
     limits = (
         rest.join(first.select(F.col("source").alias("_s1"), "_cut__bin"), _same("source", "_s1"), "left")
         .join(second.select(F.col("source").alias("_s2"), "_cut__sub"), _same("source", "_s2"), "left")
-        .join(ends.select(F.col("source").alias("_s3"), "_end"), _same("source", "_s3"), "left")
-        .select(F.col("source").alias("_s"), "source_size", "target", "_cut__bin", "_cut__sub", "_end")
-    )
-    key = F.struct(F.col("q").alias("q"), F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))
-    chosen = F.coalesce(
-        (F.col("_bin") < F.col("_cut__bin"))
-        | ((F.col("_bin") == F.col("_cut__bin")) & ((F.col("_sub") < F.col("_cut__sub")) | ((F.col("_sub") == F.col("_cut__sub")) & (key <= F.col("_end"))))),
-        F.lit(False),
-    )
-    return ranked.join(limits, _same("source", "_s")).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("certain") + F.when(chosen, 1).otherwise(0)).alias("copies"))
+        .join(ends.withColumnRenamed("source", "_s3"), _same("source", "_s3"), "left")
+        .select(F.col("source").alias("_s"), F.col("source_size").alias("_words"), F.col("target").alias("_target"), "_cut__bin", "_cut__sub", "_end", "_take", "_tied"))
+    return rates, write_table(limits)
+
+
+def _rank() -> Column:
+    return F.struct(F.col("_q").alias("q"), F.coalesce(F.col("_id").cast("long"), F.lit(-(2**63))).alias("id"))
+
+
+def _mixed(docs: DataFrame, text: str, source: str, doc_id: str, cap: int, weights: tuple[int, ...], seed: str) -> DataFrame:
+    """``docs`` with _id, _source, _size, _words and _target of the source, and _copies."""
+    rates, limits = _limits(_sized(docs, text, source, doc_id, seed), cap, weights)
+    rows = _with(_ranked(_sized(docs, text, source, doc_id, seed), rates), limits, _same("_source", "_s"), "_s")
+    at_end = F.coalesce(_rank() == F.col("_end"), F.lit(False))
+    before = (F.col("_bin") < F.col("_cut__bin")) | ((F.col("_bin") == F.col("_cut__bin")) & (
+        (F.col("_sub") < F.col("_cut__sub")) | ((F.col("_sub") == F.col("_cut__sub")) & (_rank() <= F.col("_end")))))
+    before = F.coalesce(before, F.lit(False))
+    split = at_end & (F.col("_take") < F.col("_tied"))
+    whole = rows.where(~split).withColumn("_copies", F.col("_certain") + before.cast("long"))
+    # Equal rows at the very end: it is all the same which of them are taken, so they are numbered in any order.
+    number = F.row_number().over(Window.partitionBy("_source").orderBy("_u"))
+    tied = rows.where(split).withColumn("_copies", F.col("_certain") + (number <= F.col("_take")).cast("long"))
+    return whole.unionByName(tied)
+
+
+def mix_sources(
+    docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id",
+    cap: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix",
+) -> DataFrame:
+    """One row (doc_id, source, size, source_size, target, copies) per input row; see the module."""
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"))
+    mixed = _mixed(rows, "text", "source", "doc_id", cap, weights, seed)
+    return mixed.select("doc_id", "source", F.col("_size").alias("size"), F.col("_words").alias("source_size"), F.col("_target").alias("target"), F.col("_copies").alias("copies"))
 
 
-def mix_documents(docs: DataFrame, *, cap: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix") -> DataFrame:
+def mix_documents(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", cap: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix") -> DataFrame:
     """The mixed corpus itself: every row of ``docs`` as often as the mix takes it."""
-    plan = mix_sources(docs, cap=cap, weights=weights, seed=seed)
-    copies, key = fresh_name(docs, "copies"), fresh_name(docs, "mix_key")
-    # Rows that share doc_id, source and size share q and so their copies.
-    plan = plan.groupBy("doc_id", "source", "size").agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
-    plan = plan.select(F.struct("doc_id", "source", "size").alias(key), copies)
-    rows = docs.withColumn(fresh_name(docs, "mix_size"), word_count(F.col("text")))
-    size = rows.columns[-1]
-    rows = rows.join(plan, _same("doc_id", f"{key}.doc_id") & _same("source", f"{key}.source") & (F.col(size) == F.col(f"{key}.size")))
-    return rows.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Under names of our own, so that no other column of docs can clash.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    of = {c.lower(): n for c, n in zip(docs.columns, names, strict=True)}
+    mixed = _mixed(docs.toDF(*names), of[text.lower()], of[source.lower()], of[doc_id.lower()], cap, weights, seed)
+    taken = mixed.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return taken.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

@@ -77,7 +77,7 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 WITH d AS (
-  SELECT doc_id, source,
+  SELECT doc_id, source, md5(text) AS hash,
          CASE WHEN text IS NULL THEN 0 ELSE len(list_filter(regexp_split_to_array(text, '[ \\t-\\r]+'), lambda w: w <> '')) END::BIGINT AS size
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -94,11 +94,11 @@ m AS (SELECT z.source, z.size, z.g, t.target, sum(n * size) OVER (PARTITION BY z
       WINDOW u AS (PARTITION BY z.source ORDER BY z.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 c AS (SELECT *, (target - 3 * (words - words_up)::DOUBLE) / mass_up::DOUBLE AS c FROM m),
 f AS (SELECT source, arg_max(c, size) AS c FROM c WHERE c > 0 AND c * g <= 3 GROUP BY source),
-e AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
+e AS (SELECT d.doc_id, d.source, d.hash, d.size, t.source_size, t.target,
              CASE WHEN d.size = 0 THEN 0.0 ELSE least(3.0, coalesce(f.c * floor(sqrt(d.size::DOUBLE)), 3.0)) END::DOUBLE AS copies
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN f ON d.source IS NOT DISTINCT FROM f.source),
 q AS (SELECT *, floor(copies)::BIGINT AS certain, copies - floor(copies) AS p,
-             (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM e),
+             (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(hash, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM e),
 k AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank_,
              target - sum(certain * size) OVER (PARTITION BY source) AS rest FROM q),
 x AS (SELECT *, sum(CASE WHEN rank_ IS NULL THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY rank_ NULLS LAST, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM k)

@@ -83,7 +83,32 @@ def test_edges(spark):
     nothing = spark.createDataFrame([(1, None, None), (2, "", "a"), (2, "", "a")], schema)
     assert [(r["size"], r.copies, r.target) for r in mixing.mix_sources(nothing).collect()] == [(0, 0, 0.0)] * 3
     one = spark.createDataFrame([(None, "a b c", "s"), (None, "a b c", "s")], schema)
-    assert len({r.copies for r in mixing.mix_sources(one).collect()}) == 1
+    assert sum(r.copies for r in mixing.mix_sources(one).collect()) == 2
+
+
+def test_null_and_repeated_ids_keep_to_the_targets_and_to_the_sql(spark, tmp_path, monkeypatch):
+    r = random.Random(6)
+    rows = [(None, " ".join(f"w{r.randrange(99)}" for _ in range(r.randrange(1, 40))), "ab"[k % 2]) for k in range(500)]
+    rows += [(7, "the same row again", "a")] * 60 + [(8, f"other texts of one id {k}", "b") for k in range(60)] + [(k + 100, "w " * 30, "c") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(OP8_SQL).fetchall(), key=repr)
+    for most in (mixing.BROADCAST_ROWS, 0):  # the second time without broadcasts
+        monkeypatch.setattr(mixing, "BROADCAST_ROWS", most)
+        got = op8_source_mixing(spark, str(tmp_path)).collect()
+        assert sorted(((x.doc_id, x["size"], x.source_size, x.target, x.taken, x.copies) for x in got), key=repr) == want
+    taken, target = defaultdict(int), {}
+    for x in mixing.mix_sources(docs).collect():
+        taken[x.source] += x.copies * x["size"]
+        target[x.source] = x.target
+    assert all(abs(taken[k] - target[k]) <= 20 for k in target)
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 5, 6, 7)], "doc_id long, text string, source string, _u int, _copies int, c0 int")
+    assert [tuple(x) for x in mixing.mix_documents(docs).collect()] == [(1, "a b", "s", 5, 6, 7)]
 
 
 def test_word_count_is_that_of_the_six_spaces(spark):
