@@ -120,7 +120,7 @@ def sieve(docs: DataFrame, span: int, seed: int, hashes: Hashes, slices: int) ->
         rows = seeds.select("doc_id", F.explode("seeds").alias("seed")).where(_slice(F.col("seed"), slices, which))
         shared = rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
         both = rows.join(shared.hint("shuffle_hash"), "seed", "left_semi")
-        parts.append(write_table(both.groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))))
+        parts.append(write_table(both.groupBy("doc_id").agg(F.collect_list("seed").alias("seeds"))))
         release_shuffles(docs.sparkSession)
     drop_table(seeds)
     return parts
@@ -167,14 +167,19 @@ def _edges(runs: DataFrame, slices: int, which: int) -> DataFrame:
 
 
 def compact(edges: DataFrame) -> DataFrame:
-    """(x, y, source_id, at, path) from distinct edges (x, y, source_id, at): maximal paths over nodes of one edge in and one out."""
+    """(x, y, source_id, at, path, first) from distinct edges (x, y, source_id, at): maximal paths over nodes of one edge in and one out.
+
+    ``first`` marks edges that do not go on from the edge before them in their source.
+    """
     place = [F.col("source_id").alias("s"), F.col("at").alias("p")]
     none = F.lit(None).cast("long")
     ends = edges.select(F.col("x").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"), *place, none.alias("q"), none.cast("int").alias("r"))
     ends = ends.union(edges.select(F.col("y").alias("node"), F.lit(0), F.lit(1), none, none.cast("int"), *place))
     degrees = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"), F.max("s").alias("s"), F.max("p").alias("p"), F.max("q").alias("q"), F.max("r").alias("r"))
     # At such a node the one edge in, at place r of source q, goes on with the one edge out, at place p of source s.
-    plain = degrees.where("out = 1 and into = 1 and not (s = q and p = r)").select(F.col("node").alias("x"), F.col("q").alias("before_id"), F.col("r").alias("before_at"))
+    plain = degrees.where("out = 1 and into = 1 and not (s = q and p = r)")
+    plain = write_table(plain.select(F.col("node").alias("x"), F.col("q").alias("before_id"), F.col("r").alias("before_at")))
+    release_shuffles(edges.sparkSession)
     linked = edges.join(plain, "x", "left")
     # Pieces: edges that follow each other in one source, named by their first edge.
     begins = F.col("before_id").isNull() | (F.col("before_id") != F.col("source_id")) | (F.col("before_at") != F.col("at") - 1)
@@ -182,6 +187,8 @@ def compact(edges: DataFrame) -> DataFrame:
     upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pieces = linked.withColumn("piece", F.last(F.when(begins, F.monotonically_increasing_id()), ignorenulls=True).over(upto))
     pieces = write_table(pieces.withColumn("first", begins))
+    drop_table(plain)
+    release_shuffles(edges.sparkSession)
     # A piece whose first edge follows an edge of another piece hangs on that one.
     links = pieces.where("first and before_id is not null").select("piece", "before_id", "before_at")
     holders = pieces.select(F.col("source_id").alias("before_id"), F.col("at").alias("before_at"), F.col("piece").alias("to"))
@@ -196,7 +203,7 @@ def compact(edges: DataFrame) -> DataFrame:
         drop_table(state)
         state = jumped
     paths = pieces.join(state.select("piece", "to"), "piece", "left")
-    return paths.select("x", "y", "source_id", "at", F.coalesce("to", "piece").alias("path"))
+    return paths.select("x", "y", "source_id", "at", F.coalesce("to", "piece").alias("path"), "first")
 
 
 def repeated_spans(docs: DataFrame, *, span: int = 13, seed: int = 5, slices: int = 4, hashes: Hashes | None = None) -> DataFrame:
@@ -224,18 +231,20 @@ def repeated_spans(docs: DataFrame, *, span: int = 13, seed: int = 5, slices: in
     for which in range(slices):
         known = paths.where(_slice(F.xxhash64("x", "y"), slices, which))
         found = _edges(runs, slices, which).join(known, ["x", "y"]).where("doc_id > source_id")
-        marked.append(write_table(found.select("doc_id", "place", "source_id", "at", "path")))
+        marked.append(write_table(found.select("doc_id", "place", "source_id", "at", "first")))
         release_shuffles(spark)
     drop_table(runs)
     drop_table(paths)
     marks = marked[0]
     for part in marked[1:]:
         marks = marks.union(part)
+    # Edges that follow each other in the document and in the source are on one path until a first one comes.
     # Rows that repeat a doc_id may have an edge at the same place; it counts once.
-    line = Window.partitionBy("doc_id", "path", "source_id", "shift").orderBy("place")
-    marks = marks.withColumn("shift", F.col("at") - F.col("place"))
-    marks = marks.withColumn("island", F.col("place") - F.dense_rank().over(line))
-    spans = marks.groupBy("doc_id", "path", "source_id", "shift", "island").agg(F.min("place").alias("place"), F.max("place").alias("end"))
+    line = Window.partitionBy("doc_id", "source_id", "shift").orderBy("place")
+    marks = marks.select("doc_id", "place", "source_id", (F.col("at") - F.col("place")).alias("shift"), "first")
+    upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marks = marks.select("doc_id", "source_id", "shift", "place", (F.col("place") - F.dense_rank().over(line)).alias("island"), F.sum(F.col("first").cast("int")).over(upto).alias("path"))
+    spans = marks.groupBy("doc_id", "source_id", "shift", "island", "path").agg(F.min("place").alias("place"), F.max("place").alias("end"))
     spans = write_table(spans.select("doc_id", "place", (F.col("end") - F.col("place") + 1).alias("length"), "source_id", (F.col("place") + F.col("shift")).alias("at")))
     for part in marked:
         drop_table(part)
