@@ -85,6 +85,18 @@ def write_table(df: DataFrame) -> DataFrame:
     return out
 
 
+def append_table(table: DataFrame, rows: DataFrame) -> None:
+    """Add rows to a table of :func:`write_table`; :func:`read_again` shows them."""
+    rows.write.mode("append").parquet(table._rasterloom_path)
+
+
+def read_again(table: DataFrame) -> DataFrame:
+    path = table._rasterloom_path
+    out = table.sparkSession.read.schema(table.schema).parquet(path)
+    out._rasterloom_path = path
+    return out
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table of :func:`write_table` that nothing reads any more."""
     path = getattr(df, "_rasterloom_path", None)

@@ -21,6 +21,10 @@ no part, neither do null ids; a vector of another length than the query's
 first ones scores over the common components with zeros for the rest; repeated
 ids are separate candidates, except that a query never meets rows of its own
 id; fewer than k candidates give all; an empty table gives an empty result.
+Sums are exact: in doubles where no sum can pass 2**53 (by the norms), in whole
+numbers of 64 bits elsewhere; components count up to 2**63, and scores beyond
+2**62 either way as 2**62.  Very long vectors are read whole; other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,12 +36,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import append_table, read_again, write_table
 
 BINS = 256
 #: Rows that are scored at once against a block of queries.
 ROWS_AT_ONCE = 2048
 NEVER = -(2**62)
+#: Doubles hold all whole numbers below; scores count up to the second.
+EXACT, MOST = 2.0**53, 2**62 - 1
 
 
 def quantized(vector: Column) -> Column:
@@ -47,14 +53,14 @@ def quantized(vector: Column) -> Column:
     return F.when(vector.isNotNull() & ~F.coalesce(bad, F.lit(False)), F.transform(d, lambda x: F.floor(x * 256.0).cast("long")))
 
 
-def _matrix(lists: pa.Array, width: int) -> np.ndarray:
-    """Rows of ``width`` doubles, exact for the whole numbers here; short rows end in zeros."""
+def _matrix(lists: pa.Array, width: int, kind: type) -> np.ndarray:
+    """Rows of ``width`` numbers; short rows end in zeros."""
     offsets = lists.offsets.to_numpy()
     values = lists.values.to_numpy(zero_copy_only=False)
-    out = np.zeros((len(lists), width))
+    out = np.zeros((len(lists), width), kind)
     lengths = np.diff(offsets)
     if len(lists) and (lengths == width).all():
-        return values[offsets[0] : offsets[-1]].reshape(-1, width).astype(np.float64)
+        return values[offsets[0] : offsets[-1]].reshape(-1, width).astype(kind)
     for i in range(len(lists)):
         row = values[offsets[i] : offsets[i + 1]][:width]
         out[i, : len(row)] = row
@@ -67,8 +73,14 @@ def _scores(batches: Iterator[pa.RecordBatch], queries: np.ndarray, query_ids: n
         for first in range(0, batch.num_rows, ROWS_AT_ONCE):
             part = batch.slice(first, ROWS_AT_ONCE)
             ids = part.column(0).to_numpy()
-            # Sums of products of whole numbers below 2**53 are exact in doubles.
-            scores = np.rint(queries @ _matrix(part.column(1), queries.shape[1]).T).astype(np.int64)
+            rows = _matrix(part.column(1), queries.shape[1], queries.dtype.type)
+            if queries.dtype == np.float64:  # all sums are below 2**53
+                scores = np.rint(queries @ rows.T).astype(np.int64)
+            else:  # 64-bit sums are right wherever the true ones are in reach, which doubles tell
+                about = queries.astype(np.float64) @ rows.astype(np.float64).T
+                with np.errstate(over="ignore"):
+                    scores = queries @ rows.T
+                scores = np.where(np.abs(about) >= MOST, np.where(about > 0, MOST, -MOST), scores)
             scores[query_ids[:, None] == ids[None, :]] = NEVER
             yield ids, scores
 
@@ -95,7 +107,7 @@ def _select(vectors: DataFrame, query_ids: np.ndarray, queries: np.ndarray, low:
     """(query_id, vec_id, score) of the candidates that may be among the k best of a block of queries."""
     context = vectors.sparkSession.sparkContext
     need = np.full(len(query_ids), k)
-    width = high - low + 1
+    width = high - low + 1  # at most 2**63 - 1
     step = np.maximum(1, -(-width // BINS))
     while True:
         shared = context.broadcast((queries, query_ids, low, step, width))
@@ -148,30 +160,31 @@ def exact_top_k(
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
     longest = rows.agg(F.max(norm)).first()[0]
     candidates = rows.select("vec_id", "v")
-    empty = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
-    parts = []
+    found = write_table(vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long"))
 
     def one(held: list) -> DataFrame:
         ids = np.array([r.vec_id for r in held], np.int64)
         width = max(1, max(len(r.v) for r in held))
-        queries = np.zeros((len(held), width))
+        queries = np.zeros((len(held), width), np.int64)
         for i, r in enumerate(held):
             queries[i, : len(r.v)] = r.v
-        reach = np.ceil(np.linalg.norm(queries, axis=1) * longest).astype(np.int64) + 1
-        found = _select(candidates, ids, queries, -reach, reach, k)
-        return write_table(found)
-
+        norms = np.linalg.norm(queries.astype(np.float64), axis=1) * longest
+        if norms.max() < EXACT / 2:
+            queries = queries.astype(np.float64)
+        reach = np.minimum(np.ceil(norms), float(MOST // 2)).astype(np.int64) + 1
+        reach = np.where(norms >= MOST // 2, MOST, reach)
+        return _select(candidates, ids, queries, -reach, reach, k)
+
+    # One table for the results of all blocks, so that the plan does not grow with them.
     held: list = []
     for r in rows.where("query").select("vec_id", "v").orderBy("vec_id").toLocalIterator():
         held.append(r)
         if len(held) == block:
-            parts.append(one(held))
+            append_table(found, one(held))
             held = []
     if held:
-        parts.append(one(held))
-    found = empty
-    for part in parts:
-        found = found.unionByName(part)
+        append_table(found, one(held))
+    found = read_again(found)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

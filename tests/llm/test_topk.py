@@ -37,6 +37,21 @@ def test_odd_vectors(spark):
     check(spark, [])
 
 
+def test_large_components_are_exact(spark):
+    r = random.Random(3)
+    for size in (1e5, 1e6, 3e6):
+        check(spark, [(i, [r.uniform(-size, size) for _ in range(5)]) for i in range(120)], block=2)
+    near = [(0, [5e6, 1.0]), *((i, [5e6 - i / 256, i / 256]) for i in range(1, 60))]
+    check(spark, near)
+
+
+def test_scores_beyond_a_long_count_as_its_end(spark):
+    rows = [(0, [1e9, 1e9]), (1, [1e9, 1e9]), (2, [-1e9, -1e9]), (3, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(x.rank, x.vec_id, x.score) for x in exact_top_k(df, F.col("vec_id") == 0).collect()]
+    assert sorted(got) == [(1, 1, 2**62 - 1), (2, 3, 256 * 256 * 10**9), (3, 2, -(2**62 - 1))]
+
+
 def test_query_equals_sql_like_brute_force(spark):
     from rasterloom.llm.queries import op7_exact_topk
 
