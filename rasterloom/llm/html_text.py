@@ -5,15 +5,20 @@ references decoded, white space made one space), how much of it is link text,
 and whether it lies in a part that is never article text (menus, headers,
 footers, sidebars, notices, adverts, forms, comments, by element, role or name).
 
-The weight of a line is the length of its own text without links; lines of parts
-that are no article weigh nothing, nor do lines outside ``<article>`` or
-``<main>`` if the page has one.  Sums over windows of ``WINDOW`` lines rise at a
-surge point, where a weighing line begins a window of enough text, and end at a
-dive point, behind which a whole window weighs nothing.  What stands between
-surge and dive is kept in page order, joined by spaces: short lines too, but no
-line of another part.  Without ``<article>`` all such regions count, each with the
-lines just before its surge.  Inside an article, names end it only where they can mean
-nothing else, and never those of headings and paragraphs.
+The weight of a line is the length of its own text without links.  Sums over
+windows of ``WINDOW`` lines rise at a surge point, where a weighing line begins a
+window of at least SURGE characters, and end at a dive point, behind which a whole
+window weighs nothing.  What stands between surge and dive is kept in page order,
+joined by spaces, with the short lines in it and those just before its surge.
+
+Markup only shifts weights.  Lines of ``<article>`` or ``<main>`` weigh SURGE more, so
+each of them is a surge, and other lines then weigh nothing, unless they hold more
+than twice as much text (the article is a teaser).  Lines of parts that are no
+article are taken out before windows are laid, so they end no region.  Such
+parts are known by their element, role or hiding, or by class and id names; a
+name that may mean something else (``social-policy``) counts only where the parts so
+named hold less text than the rest of the page, any name only where other
+text is left.  Inside an article fewer names count, and never those of headings and paragraphs.
 
 Edge cases: null and empty html give an empty text; broken or unclosed markup is
 read as far as it goes; a page without text gives an empty text; repeated rows
@@ -33,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-#: Characters in a window at which a region without ``<article>`` begins.
+#: Characters in a window at which a region begins.
 SURGE = 80
 
 _MARKUP = re.compile(
@@ -63,38 +68,47 @@ _INSIDE_NAMES = frozenset(
 _TEXT_OF = frozenset("p h1 h2 h3 h4 h5 h6".split())
 
 
+#: How sure it is that a part is no article: not, by a name of other meanings, by a name, by its element, role or hiding.
+PLAIN, NAMED, SURELY_NAMED, ASIDE = range(4)
+
+
 @dataclass
 class Line:
     text: str
     links: int
-    aside: bool
+    aside: int
     inside: bool
 
     @property
     def weight(self) -> int:
-        return 0 if self.aside else max(0, len(self.text) - self.links)
+        return max(0, len(self.text) - self.links)
 
 
-def _is_aside(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element begins a part that is no article text."""
+def _aside(name: str, attributes: str, inside: bool) -> int:
+    """How sure it is that an element begins a part that is no article text."""
     if name in _ASIDE or (name == "header" and not inside):
-        return True
+        return ASIDE
     if not attributes.strip(" /") or name in ("article", "main", "body", "html"):
-        return False
+        return PLAIN
+    found = PLAIN
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
-            words = re.split(r"[^a-z]+", value)
-            if inside:
-                if name not in _TEXT_OF and not _INSIDE_NAMES.isdisjoint(words):
-                    return True
-            elif not _ASIDE_NAMES.isdisjoint(words) or any(w.startswith(_ASIDE_STARTS) for w in words):
-                return True
+            for one in value.split():
+                words = [w for w in re.split(r"[^a-z]+", one) if w]
+                if inside:
+                    known = () if name in _TEXT_OF else _INSIDE_NAMES
+                    sure = True
+                else:
+                    known = _ASIDE_NAMES
+                    sure = all(w in known for w in words) or any(w.startswith(_ASIDE_STARTS) for w in words)
+                if any(w in known for w in words) or (not inside and any(w.startswith(_ASIDE_STARTS) for w in words)):
+                    found = max(found, SURELY_NAMED if sure else NAMED)
         if (key == "role" and value in _ASIDE_ROLES) or (key == "aria-hidden" and value == "true") or (key == "hidden" and value != "until-found"):
-            return True
+            return ASIDE
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return ASIDE
+    return found
 
 
 def lines_of(page: str) -> list[Line]:
@@ -102,8 +116,9 @@ def lines_of(page: str) -> list[Line]:
     lines: list[Line] = []
     pieces: list[str] = []
     link_pieces: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # (element, it begins an aside, it is the article)
-    asides = articles = links = 0
+    stack: list[tuple[str, int, bool]] = []  # (element, how surely it begins an aside, it is the article)
+    asides = [0, 0, 0, 0]  # open elements of each sureness
+    articles = links = 0
     open_names: dict[str, int] = {}
     unclosed: set[str] = set()
 
@@ -111,15 +126,15 @@ def lines_of(page: str) -> list[Line]:
         text = " ".join(entities.unescape("".join(pieces)).split())
         if text:
             link_text = " ".join(entities.unescape("".join(link_pieces)).split())
-            lines.append(Line(text, len(link_text), asides > 0, articles > 0))
+            lines.append(Line(text, len(link_text), max((k for k in (NAMED, SURELY_NAMED, ASIDE) if asides[k]), default=PLAIN), articles > 0))
         pieces.clear()
         link_pieces.clear()
 
     def pop() -> str:
-        nonlocal asides, articles
+        nonlocal articles
         name, aside, article = stack.pop()
         open_names[name] -= 1
-        asides -= aside
+        asides[aside] -= 1
         articles -= article
         return name
 
@@ -171,14 +186,14 @@ def lines_of(page: str) -> list[Line]:
             links += 1
         if name in _VOID or m[3].endswith("/"):
             continue
-        aside = _is_aside(name, m[3], articles > 0)
+        aside = _aside(name, m[3], articles > 0)
         if aside and name not in _BLOCK:
             close_line()
         if aside or name in _HOLDS:
             article = name in ("article", "main")
             stack.append((name, aside, article))
             open_names[name] = open_names.get(name, 0) + 1
-            asides += aside
+            asides[aside] += 1
             articles += article
     close_line()
     return lines
@@ -204,23 +219,36 @@ def regions(weights: list[int], surge: int) -> list[tuple[int, int]]:
     return out
 
 
+def article_lines(lines: list[Line]) -> list[Line]:
+    """Lines without those of parts that are no article."""
+    held = [sum(x.weight for x in lines if x.aside == level) for level in (PLAIN, NAMED, SURELY_NAMED)]
+    most = PLAIN
+    if held[NAMED] > held[PLAIN]:
+        most = NAMED
+    if not sum(held[: most + 1]):
+        most = SURELY_NAMED
+    return [x for x in lines if x.aside <= most]
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    lines = lines_of(page)
-    inside = any(x.inside and not x.aside for x in lines)
-    weights = [x.weight + (not x.aside) if x.inside else 0 for x in lines] if inside else [x.weight for x in lines]
-    found = regions(weights, 1 if inside else SURGE)
-    if not found and not inside:
-        found = regions(weights, 1)
-    if not inside:
+    lines = article_lines(lines_of(page))
+    within, beyond = (sum(x.weight + 1 for x in lines if x.inside == side) for side in (True, False))
+    trusted = within > 0 and 2 * within >= beyond - sum(1 for x in lines if not x.inside)
+    if trusted:
+        weights = [SURGE + x.weight if x.inside else 0 for x in lines]
+    else:
+        weights = [x.weight for x in lines]
+    found = regions(weights, SURGE) or regions(weights, 1)
+    keep: list[str] = []
+    done = 0
+    for first, end in found:
         # A heading just before a surge belongs to it.
-        for k, (first, end) in enumerate(found):
-            before = found[k - 1][1] if k else 0
-            while first > before and weights[first - 1]:
-                first -= 1
-            found[k] = (first, end)
-    keep = [x.text for a, b in found for x in lines[a:b] if not x.aside and (x.inside or not inside)]
+        while first > done and weights[first - 1]:
+            first -= 1
+        keep += [x.text for x in lines[first:end] if x.inside or not trusted]
+        done = end
     return " ".join(keep)
 
 

@@ -69,3 +69,36 @@ def test_text_on_both_sides_of_a_block_of_links_stays():
 def test_sections_of_an_article_are_not_taken_for_asides_by_name():
     page = f"<article>{P}<h2 id=related-work>Related work</h2><section id=discussion>{P}</section><div class=commentary>{P}</div><p class=notice>Note.</p><div class='ads'>Buy</div></article>"
     assert main_text(page) == f"{WANT} Related work {WANT} {WANT} Note."
+
+
+def test_articles_without_markup_of_their_own():
+    assert main_text(f"<body><div class='social-policy'>{P}</div><div class=ad>Buy</div></body>") == WANT
+    assert main_text(f"<body><div class='notices-about-tax'>{P}</div></body>") == WANT
+    assert main_text(f"<body><div class=cookies>{P}</div></body>") == WANT  # nothing else is left
+    assert main_text(f"<body><div class=ad>Buy this now</div><div id=x>{P}</div><div class='user-comments'><p>{'no ' * 300}</p></div></body>") == WANT
+    adverts = "".join(f"<div class=ad>Advert number {i}, with some words</div>" for i in range(4))
+    assert main_text(f"<body><div>{P}{adverts}{P}<p>End.</p></div></body>") == f"{WANT} {WANT} End."
+    teaser = "<article><p>Read this next.</p></article>"
+    assert WANT in main_text(f"<body>{teaser}<div id=content>{P}{P}</div></body>")
+
+
+def test_windows_decide_where_no_markup_does(monkeypatch):
+    """Labelled pages without ``<article>``: text between surge and dive against all lines that are no aside."""
+    import random
+
+    from rasterloom.llm import html_text as m
+
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9)))
+    right = {True: 0, False: 0}
+    for _ in range(60):
+        body = [" ".join(word() for _ in range(r.randrange(12, 60))) for _ in range(r.randrange(3, 9))]
+        links = lambda: "".join(f"<div><a href=x>{word()} {word()}</a></div>" for _ in range(3))
+        junk = lambda: "".join(f"{links()}<div>{word()}</div>" for _ in range(3)) + links()
+        page = f"<body>{junk()}<div>{''.join(f'<p>{x}</p>' for x in body)}</div>{junk()}</body>"
+        want = " ".join(body)
+        right[True] += m.main_text(page) == want
+        with monkeypatch.context() as off:
+            off.setattr(m, "regions", lambda weights, surge: [(0, len(weights))] if weights else [])
+            right[False] += m.main_text(page) == want
+    assert right[True] >= 55 and right[False] == 0
