@@ -6,11 +6,14 @@ overlap for each kind.  They always stay.
 
 The field adds what patterns miss: numbers with a digit too many or few next to a
 cue, repeated mentions without their cue, secrets.  Its variables are the tokens
-with a digit or an at sign; spelled-out addresses and secrets of letters only are
-not found.  Neighbours share a potential, and so do distant tokens that are equal or differ in digits only
-(the skip edges).  A cue before one mention is also a feature of all others of the same
-token in the document, however many and far (``told``): along skip edges alone it would fade.
-Loopy belief propagation runs over each document as a whole until its messages settle.
+with a digit, an at sign or a capital within a word (``hunterSecretKey``);
+spelled-out and spaced-out addresses and secrets in small letters only are not
+found.  Neighbours share a potential.  Distant tokens that are equal, or differ in
+case and digits only, share the skip potential through one hub for each such
+group: any two mentions are two edges apart, at a cost linear in their number.
+Skip potentials see what stands at their ends: a cue before any mention of a group
+speaks for its kind on every edge of it, so it decides for all, however many.  Loopy belief propagation runs over
+each document as a whole until its messages settle.
 
 Weights are fitted here by pseudo-likelihood on sentences that a seeded
 generator writes around invented names and numbers; nothing is downloaded.
@@ -91,7 +94,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 #: A token: what stands between spaces, without marks around it.
 _TOKEN = re.compile(r"[^\s\"'<>\[\]{},;:=()]+")
 #: What makes a token a variable of the field.
-_MAYBE = re.compile(r"[0-9@]")
+_MAYBE = re.compile(r"[0-9@]|(?<=[a-z])[A-Z]")
+_SOLID = re.compile(r"[^\W_]")
 # Cue words before personal data, by kind.
 CUES = {
     "email": "email e-mail mail contact address write courriel correo".split(),
@@ -117,7 +121,7 @@ def shape(token: str) -> str:
 
 
 def skip_key(token: str) -> str:
-    """Tokens with the same key share a skip edge: equal ones, whatever the case of letters and the digits."""
+    """Tokens with the same key share a hub: equal ones, whatever the case of letters and the digits."""
     return re.sub(r"[0-9]", "0", token.lower()) if len(token) > 3 else ""
 
 
@@ -126,7 +130,7 @@ def token_features(token: str, before: tuple[str, str]) -> list[str]:
     out = [
         "shape=" + shape(token), f"digits={min(digits, 20)}", f"length={min(len(token) // 4, 12)}", f"dots={min(token.count('.'), 4)}",
         f"at={'@' in token}", f"plus={token[:1] == '+'}", f"mixed={digits > 2 and any(c.isalpha() for c in token) and len(token) > 11}",
-        "bias",
+        f"camel={not digits and len(token) > 7}", "bias",
     ]
     if digits == len(token) and 12 <= digits <= 19:
         out.append(f"luhn={luhn(token)}")
@@ -140,18 +144,15 @@ def token_features(token: str, before: tuple[str, str]) -> list[str]:
 
 
 class Document:
-    """The variables of one text: tokens that may be personal data, their chain and skip edges."""
+    """The variables of one text: tokens that may be personal data, then a hub for each group of mentions; chain and skip edges."""
 
     def __init__(self, text: str) -> None:
         self.spans: list[tuple[int, int]] = []
         self.features: list[list[str]] = []
-        chain: list[tuple[int, int]] = []
-        last_end = -10
-        where: dict[str, int] = {}
-        skips: list[tuple[int, int]] = []
-        cues: list[tuple[str, set[str]]] = []
-        told: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
-        done = 0
+        self.chain: list[tuple[int, int]] = []
+        last_end, done = -10, 0
+        where: dict[str, list[int]] = defaultdict(list)
+        cued: dict[str, set[int]] = defaultdict(set)
         for hit in _MAYBE.finditer(text):
             if hit.start() < done:
                 continue
@@ -160,27 +161,29 @@ class Document:
                 a -= 1
             end = _TOKEN.match(text, a).end()
             done = a + len(text[a:end].rstrip(".!?"))
+            token = text[a:done]
+            if not _SOLID.search(token):
+                continue
             before = re.findall(r"[^\s:=\"']+", text[max(0, a - 40) : a])[-2:]
             before = ("", "", *before)[-2:]
             i = len(self.spans)
             self.spans.append((a, done))
-            token = text[a:done].lower()
-            own = {_CUE_OF[w.lower()] for w in before if w.lower() in _CUE_OF} if len(token) > 3 else set()
-            cues.append((token, own))
-            for kind in own:
-                told[token][kind] += 1
-            self.features.append(token_features(text[a:done], (before[1], before[0])))
+            self.features.append(token_features(token, (before[1], before[0])))
             if i and a - last_end <= 2:
-                chain.append((i - 1, i))
+                self.chain.append((i - 1, i))
             last_end = done
-            key = skip_key(text[a:done])
+            key = skip_key(token)
             if key:
-                if key in where:
-                    skips.append((where[key], i))
-                where[key] = i
-        for features, (token, own) in zip(self.features, cues, strict=True):
-            features += [f"told={kind}" for kind, n in told[token].items() if n > (kind in own)] if token in told else []
-        self.chain, self.skips = chain, skips
+                where[key].append(i)
+                for word in before:
+                    if word.lower() in _CUE_OF:
+                        cued[key].add(LABELS.index(_CUE_OF[word.lower()]))
+        #: Mentions by group; those of one alone have no hub.
+        self.groups = [g for g in where.values() if len(g) > 1]
+        n = len(self.spans)
+        self.skips = [(i, n + k) for k, group in enumerate(self.groups) for i in group]
+        #: For each group, the labels for which there is a cue before a mention.
+        self.cues = [np.isin(np.arange(N_LABELS), list(cued[key])) for key, g in where.items() if len(g) > 1]
 
 
 class Field:
@@ -190,10 +193,21 @@ class Field:
         self.unary: dict[str, np.ndarray] = {}
         self.chain = np.zeros((N_LABELS, N_LABELS))
         self.skip = np.zeros((N_LABELS, N_LABELS))
+        #: What a cue of a label in the group adds to a skip edge between two ends of that label.
+        self.told = np.zeros(N_LABELS)
 
     def scores(self, document: Document) -> np.ndarray:
         none = np.zeros(N_LABELS)
-        return np.array([sum((self.unary.get(f, none) for f in fs), none) for fs in document.features]).reshape(-1, N_LABELS)
+        own = np.array([sum((self.unary.get(f, none) for f in fs), none) for fs in document.features]).reshape(-1, N_LABELS)
+        return np.concatenate([own, np.zeros((len(document.groups), N_LABELS))])
+
+
+    def pairs(self, document: Document) -> tuple[np.ndarray, np.ndarray]:
+        """Edges, and the potentials of each."""
+        edges = np.array(document.chain + document.skips, np.int64).reshape(-1, 2)
+        chain = np.repeat(self.chain[None], len(document.chain), 0)
+        skip = [self.skip + np.diag(self.told * cues) for cues, group in zip(document.cues, document.groups, strict=False) for _ in group]
+        return edges, np.concatenate([chain, np.array(skip).reshape(-1, N_LABELS, N_LABELS)])
 
 
 def propagate(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int = BP_ROUNDS) -> np.ndarray:
@@ -224,13 +238,12 @@ def propagate(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: in
 def decode(field: Field, document: Document) -> list[tuple[str, int, int]]:
     if not document.spans:
         return []
-    edges = np.array(document.chain + document.skips, np.int64).reshape(-1, 2)
-    pair = np.concatenate([np.repeat(field.chain[None], len(document.chain), 0), np.repeat(field.skip[None], len(document.skips), 0)])
-    best = propagate(field.scores(document), edges, pair).argmax(axis=1)
+    edges, pair = field.pairs(document)
+    best = propagate(field.scores(document), edges, pair)[: len(document.spans)].argmax(axis=1)
     return [(LABELS[k], a, b) for k, (a, b) in zip(best, document.spans, strict=True) if k]
 
 
-def training_texts(n: int = 700, seed: int = 11) -> list[tuple[str, dict[str, str]]]:
+def training_texts(n: int = 1000, seed: int = 11) -> list[tuple[str, dict[str, str]]]:
     """Sentences with personal data and look-alikes; each with the label of its special tokens."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice(("ba", "ke", "lo", "mi", "ru", "st", "en", "ti")) for _ in range(r.randrange(1, 4)))
@@ -249,32 +262,36 @@ def training_texts(n: int = 700, seed: int = 11) -> list[tuple[str, dict[str, st
         if kind == "card":
             return card()
         if kind == "phone":
-            return r.choice([f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"+{digits(11)}", "0" + digits(9)])
-        return r.choice([code(20, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), code(18, "0123456789abcdef"), code(40, "0123456789abcdef")])
+            return r.choice([f"{digits(3)}-{digits(3)}-{digits(4)}", digits(7), f"{digits(3)}.{digits(3)}.{digits(4)}", f"+{digits(11)}", "0" + digits(9)])
+        return r.choice([code(16, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), word() + word().capitalize() + word().capitalize(), code(20, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), code(18, "0123456789abcdef"), code(40, "0123456789abcdef")])
 
     out = []
     for _ in range(n):
         words, marks, held = [word() for _ in range(r.randrange(6, 30))], {}, []
         for _ in range(r.randrange(0, 4)):
             kind = r.choice(LABELS[1:])
-            token = r.choice(held)[1] if held and r.random() < 0.3 else special(kind)
+            token = r.choice(held)[1] if held and r.random() < 0.4 else special(kind)
             kind = marks.get(token, kind)
-            cue = [r.choice(CUES[kind])] if r.random() < (0.9 if kind in ("phone", "secret") else 0.3) and token not in marks else []
+            cued = 1.0 if token.isdigit() or token.isalpha() else 0.9 if kind in ("phone", "secret") else 0.3
+            cue = [r.choice(CUES[kind])] if r.random() < cued and token not in marks else []
             marks[token] = kind
             held.append((kind, token))
             at = r.randrange(len(words) + 1)
             words[at:at] = [*cue, token]
+            for _ in range(r.choice((0, 1, 3, 8)) if cue and (token.isdigit() or token.isalpha()) else 0):  # again, without the cue
+                words.insert(r.choice([k for k in range(len(words) + 1) if not k or words[k - 1].lower() not in _CUE_OF]), token)
         for _ in range(r.randrange(0, 4)):  # numbers that are nobody's
-            token = r.choice([digits(r.randrange(1, 9)), f"{r.randrange(9)}.{r.randrange(9)}", f"v{r.randrange(9)}.{r.randrange(9)}", f"{word()}{r.randrange(99)}", "1" + digits(3), digits(16)])
-            if token in marks or (len(token) == 16 and luhn(token)):
+            token = r.choice([digits(r.randrange(1, 9)), f"{r.randrange(9)}.{r.randrange(9)}", f"v{r.randrange(9)}.{r.randrange(9)}", f"{word()}{r.randrange(99)}", "1" + digits(3), digits(16), *(word() + word().capitalize() + r.choice(["", word().capitalize()]) for _ in range(3))])
+            if token in marks or (len(token) == 16 and token.isdigit() and luhn(token)):
                 continue
-            words.insert(r.randrange(len(words) + 1), token)
+            for _ in range(r.choice((1, 1, 1, 3))):
+                words.insert(r.randrange(len(words) + 1), token)
         out.append((" ".join(words), marks))
     return out
 
 
 @lru_cache(maxsize=2)
-def fitted(n: int = 700, seed: int = 11, epochs: int = 25, rate: float = 0.25, l2: float = 1e-3) -> Field:
+def fitted(n: int = 1000, seed: int = 11, epochs: int = 30, rate: float = 0.3, l2: float = 1e-3) -> Field:
     """A field fitted by pseudo-likelihood: each label given its neighbours' true labels."""
     field = Field()
     examples = []
@@ -282,11 +299,13 @@ def fitted(n: int = 700, seed: int = 11, epochs: int = 25, rate: float = 0.25, l
         d = Document(text)
         gold = [LABELS.index(marks.get(text[a:b], "other")) for a, b in d.spans]
         around = defaultdict(list)
-        for kind, edges in (("chain", d.chain), ("skip", d.skips)):
-            for i, j in edges:
-                around[i].append((kind, j, False))
-                around[j].append((kind, i, True))
-        examples += [(fs, gold[i], [(kind, gold[j], turned) for kind, j, turned in around[i]]) for i, fs in enumerate(d.features)]
+        for i, j in d.chain:
+            around[i].append(("chain", gold[j], False))
+            around[j].append(("chain", gold[i], True))
+        for group, cues in zip(d.groups, d.cues, strict=True):  # a hub has the label of its other mentions
+            for k, i in enumerate(group):
+                around[i].append(("skip", gold[group[k - 1]], cues))
+        examples += [(fs, gold[i], around[i]) for i, fs in enumerate(d.features)]
     for fs, _, _ in examples:
         for f in fs:
             field.unary.setdefault(f, np.zeros(N_LABELS))
@@ -296,20 +315,25 @@ def fitted(n: int = 700, seed: int = 11, epochs: int = 25, rate: float = 0.25, l
         step = rate / (1 + epoch / 6)
         for fs, gold, near in examples:
             s = sum(field.unary[f] for f in fs)
-            for kind, other, turned in near:
-                table = getattr(field, kind)
-                s = s + (table[other] if turned else table[:, other])
+            for kind, other, seen in near:
+                if kind == "skip":
+                    s = s + field.skip[:, other]
+                    s[other] += field.told[other] * seen[other]
+                else:
+                    s = s + (field.chain[other] if seen else field.chain[:, other])
             p = np.exp(s - s.max())
             g = p / p.sum()
             g[gold] -= 1
             for f in fs:
                 field.unary[f] -= step * (g / len(fs) + l2 * field.unary[f])
-            for kind, other, turned in near:
-                table = getattr(field, kind)
-                if turned:
-                    table[other] -= step * g
+            for kind, other, seen in near:
+                if kind == "skip":
+                    field.skip[:, other] -= step * g
+                    field.told[other] -= step * g[other] * seen[other]
+                elif seen:
+                    field.chain[other] -= step * g
                 else:
-                    table[:, other] -= step * g
+                    field.chain[:, other] -= step * g
     return field
 
 
@@ -336,12 +360,12 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 def find_personal_data(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, base, spans): arrays of (kind, start, end) for every row; starts and ends in code points."""
     field = fitted()
-    shared = docs.sparkSession.sparkContext.broadcast((field.unary, field.chain, field.skip))
+    shared = docs.sparkSession.sparkContext.broadcast((field.unary, field.chain, field.skip, field.told))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Field()
-        own.unary, own.chain, own.skip = shared.value
+        own.unary, own.chain, own.skip, own.told = shared.value
         names = ("kind", "start", "end")
         for batch in batches:
             for first in range(0, batch.num_rows, 1000):
