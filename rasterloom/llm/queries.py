@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import bpe, html_text, line_dedup, mixing, ngram_join, pii, simhash, substring_dedup, topk, toxicity
 from .bpe import tokenizer_path
 from .common import table, write_table
@@ -124,6 +122,13 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of the root script, which itself imports operators from here."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -136,7 +141,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mixing": op8_source_mixing,
         "op9_bpe_roundtrip": op9_bpe_roundtrip,
         "op10_ngram_join": op10_ngram_join,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline,
     }
 
 
