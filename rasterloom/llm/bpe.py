@@ -27,7 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import SparkFiles
+from pyspark import Broadcast, SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -223,15 +223,13 @@ def _texts(column: pa.Array) -> Iterator[str]:
 
 
 def read_tokenizer(path: str) -> str:
-    """The tokenizer file on the driver, without what encoding does not use."""
+    """The text of a tokenizer file; it is read into tables on the executors only."""
     with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    return json.dumps({"model": {k: spec["model"][k] for k in ("vocab", "merges")}, "added_tokens": spec.get("added_tokens", [])})
+        return f.read()
 
 
-def count_words(docs: DataFrame, spec: str, text: str = "text") -> DataFrame:
-    """(word, n): how often each pre-token occurs in all texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(spec)
+def count_words(docs: DataFrame, shared: Broadcast, text: str = "text") -> DataFrame:
+    """(word, n): how often each pre-token occurs in all texts; ``shared`` is the text of the tokenizer file."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_worker("bpe")
@@ -267,12 +265,24 @@ def build_lexicon(docs: DataFrame, spec: str, *, text: str = "text", lexicon_siz
 
     ``lexicon_size`` bounds what reaches the driver and the size of the file (about 30 bytes a word).
     """
-    spark, vocabulary = docs.sparkSession, _vocabulary(spec)
-    top = count_words(docs, spec, text).where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(lexicon_size)
-    words = sorted(row.word.encode() for row in top.select("word").toLocalIterator())
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(spec)
+    top = count_words(docs, shared, text).where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(lexicon_size)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("bpe")
+        vocabulary = _vocabulary(shared.value)
+        for batch in batches:
+            words = [w.encode() for w in batch.column(0).to_pylist()]
+            yield pa.record_batch([pa.array(words, pa.binary()), pa.array(map(vocabulary.merge, words), pa.list_(pa.int32()))], ["word", "ids"])
+
+    merged = top.select("word").mapInArrow(merge, "word binary, ids array<int>").toArrow()
+    shared.destroy()
+    merged = merged.sort_by("word")
+    words, ids = merged.column("word").to_pylist(), merged.column("ids").to_pylist()
     name = f"rasterloom-{uuid.uuid4().hex}.mast"
     path = f"{scratch_root(spark)}/rasterloom/{name}"
-    write_bytes(spark, path, compile_transducer((w, vocabulary.merge(w)) for w in words))
+    write_bytes(spark, path, compile_transducer(zip(words, map(tuple, ids), strict=True)))
     spark.sparkContext.addFile(path)
     return name
 

@@ -27,13 +27,24 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return row.n, row.h
 
 
+#: Up to so many edges a step of union-find is one task: shuffling them would cost more than the step itself.
+FEW_EDGES = 200_000
+
+
 def components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
-    """(id, component) for every vertex of ``edges`` (u, v); the component is its smallest vertex."""
+    """(id, component) for every vertex of ``edges`` (u, v); the component is its smallest vertex.
+
+    Edges are counted anyway; where they are few the same steps run on one
+    partition, which needs no shuffle.
+    """
     edges = write_table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _fingerprint(edges)
     for _ in range(max_steps):
         if not state[0]:
             break
+        stored = edges
+        if state[0] <= FEW_EDGES:
+            edges = edges.coalesce(1)
         # Large star: each larger neighbour of u joins the smallest of u and its neighbours.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
@@ -44,7 +55,7 @@ def components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
         small = large.join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         following = write_table(small)
-        drop_table(edges)
+        drop_table(stored)
         edges, before, state = following, state, _fingerprint(following)
         if state == before:
             break

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.llm import mixing
@@ -119,7 +120,9 @@ def test_word_count_is_that_of_the_six_spaces(spark):
     assert got == [len(re.findall("[^ \t-\r]+", t or "")) for t in texts]
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components_against_union_find(spark, monkeypatch, few):
+    monkeypatch.setattr("rasterloom.llm.components.FEW_EDGES", few)
     r = random.Random(8)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, k) for k in range(2001, 2100)] + [(5, 5)]
     root = {v: v for e in edges for v in e}
