@@ -210,33 +210,42 @@ def _codes(lengths: list[list[int]]) -> dict[int, tuple[int, int]]:
     return out
 
 
-def _symbols(coefficients: np.ndarray) -> tuple[list[list[tuple[int, int, int]]], dict[int, int], dict[int, int]]:
-    """For each block: (symbol, extra bits, their number), the first for the mean; and counts of both kinds of symbol."""
-    dc_counts: dict[int, int] = {}
-    ac_counts: dict[int, int] = {}
-    blocks, previous = [], 0
-    for row in coefficients.tolist():
-        diff, previous = row[0] - previous, row[0]
-        n = abs(diff).bit_length()
-        out = [(n, diff if diff > 0 else diff + (1 << n) - 1, n)]
-        dc_counts[n] = dc_counts.get(n, 0) + 1
-        run = 0
-        for v in row[1:]:
-            if not v:
-                run += 1
-                continue
-            while run > 15:
-                out.append((0xF0, 0, 0))
-                run -= 16
-            n = abs(v).bit_length()
-            out.append((run << 4 | n, v if v > 0 else v + (1 << n) - 1, n))
-            run = 0
-        if run:
-            out.append((0, 0, 0))
-        for s, _, _ in out[1:]:
-            ac_counts[s] = ac_counts.get(s, 0) + 1
-        blocks.append(out)
-    return blocks, dc_counts, ac_counts
+def _bit_lengths(values: np.ndarray) -> np.ndarray:
+    """Bits that the size of each number needs, 0 for 0."""
+    return np.frexp(np.abs(values))[1] * (values != 0)
+
+
+def _events(rows: np.ndarray, planes: int) -> tuple[np.ndarray, ...]:
+    """What a scan says, in order: (row, whether of its mean, symbol, extra bits, their number).
+
+    ``rows`` are the coefficients of blocks in the order of the scan, ``planes`` blocks in turn.
+    """
+    n = len(rows)
+    means = rows[:, 0].reshape(-1, planes)
+    steps = np.diff(means, axis=0, prepend=np.zeros((1, planes), means.dtype)).ravel()
+    at, k = np.nonzero(rows[:, 1:])
+    k = k + 1
+    before = np.where(np.concatenate([[True], at[1:] != at[:-1]])[: len(at)], 0, np.concatenate([[0], k[:-1]])[: len(k)])
+    run = k - before - 1
+    values = rows[at, k]
+    sizes = _bit_lengths(values)
+    long_runs = np.repeat(np.arange(len(at)), run // 16)
+    last = np.zeros(n, int)
+    np.maximum.at(last, at, k)
+    ends = np.flatnonzero(last < 63)
+    none = lambda x: np.zeros(len(x), int)
+    parts = [
+        # (place in the order, row, symbol, number)
+        (np.arange(n) * 256, np.arange(n), _bit_lengths(steps), steps),
+        (at[long_runs] * 256 + 2 * k[long_runs], at[long_runs], none(long_runs) + 0xF0, none(long_runs)),
+        (at * 256 + 2 * k + 1, at, (run % 16) << 4 | sizes, values),
+        (ends * 256 + 255, ends, none(ends), none(ends)),
+    ]
+    place, row, symbol, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(place, kind="stable")
+    place, row, symbol, value = place[order], row[order], symbol[order], value[order]
+    size = _bit_lengths(value)
+    return row, place % 256 == 0, symbol, np.where(value < 0, value + (1 << size) - 1, value), size
 
 
 def encode_jpg(pixels: np.ndarray, quality: int = 50) -> bytes:
@@ -249,31 +258,29 @@ def encode_jpg(pixels: np.ndarray, quality: int = 50) -> bytes:
     y = 0.299 * r + 0.587 * g + 0.114 * b
     planes = [y - 128, (b - y) / 1.772, (r - y) / 1.402]
     tables, cosines, order = _quantisers(quality), _cosines(), _zigzag()
-    coded, dc_counts, ac_counts = [], [{}, {}], [{}, {}]
+    coded = []
     for k, plane in enumerate(planes):
         padded = np.pad(plane, ((0, -h % 8), (0, -w % 8)), "edge")
         blocks = padded.reshape(padded.shape[0] // 8, 8, padded.shape[1] // 8, 8).transpose(0, 2, 1, 3).reshape(-1, 8, 8)
         freq = cosines @ blocks @ cosines.T
-        t = min(k, 1)
-        rows, dc, ac = _symbols(np.rint(freq / tables[t]).astype(int).reshape(-1, 64)[:, order])
-        coded.append(rows)
-        for total, part in ((dc_counts[t], dc), (ac_counts[t], ac)):
-            for s, n in part.items():
-                total[s] = total.get(s, 0) + n
-    lengths = {(c, t): _code_lengths(counts[t] or {0: 1}) for c, counts in ((0, dc_counts), (1, ac_counts)) for t in (0, 1)}
-    codes = {k: _codes(v) for k, v in lengths.items()}
-    bits: list[str] = []
-    for i in range(len(coded[0])):
-        for k in range(3):
-            t = min(k, 1)
-            for j, (s, extra, n) in enumerate(coded[k][i]):
-                code, size = codes[min(j, 1), t][s]
-                bits.append(f"{code:0{size}b}")
-                if n:
-                    bits.append(f"{extra:0{n}b}")
-    text = "".join(bits)
-    text += "1" * (-len(text) % 8)
-    scan = np.packbits(np.frombuffer(text.encode(), np.uint8) - 48).tobytes().replace(b"\xff", b"\xff\x00")
+        coded.append(np.rint(freq / tables[min(k, 1)]).astype(int).reshape(-1, 64)[:, order])
+    row, is_mean, symbol, extra, extra_size = _events(np.stack(coded, 1).reshape(-1, 64), 3)
+    color = (row % 3 > 0).astype(int)
+    code, code_size, lengths = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64), {}
+    for c, mean in ((0, True), (1, False)):
+        for t in (0, 1):
+            mine = (is_mean == mean) & (color == t)
+            counts = np.bincount(symbol[mine], minlength=256)
+            lengths[c, t] = _code_lengths({int(x): int(counts[x]) for x in np.flatnonzero(counts)} or {0: 1})
+            table = np.zeros((256, 2), np.int64)
+            for x, pair in _codes(lengths[c, t]).items():
+                table[x] = pair
+            code[mine], code_size[mine] = table[symbol[mine]].T
+    whole, size = code << extra_size | extra, code_size + extra_size
+    which = np.repeat(np.arange(len(size)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(which)) - 1
+    bits = np.concatenate([whole[which] >> left & 1, np.ones(-len(which) % 8, np.int64)])
+    scan = np.packbits(bits.astype(np.uint8)).tobytes().replace(b"\xff", b"\xff\x00")
     segment = lambda marker, body: struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
     out = [b"\xff\xd8", segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0")]
     for t, q in enumerate(tables):
