@@ -14,7 +14,10 @@ least ``threshold`` (a ratio of whole numbers); classes are connected components
    and 1.  Pairs are rarely shared by chance, so few documents are left.
 3. Among those left, shingles are ordered by document frequency, then hash.
    Two linked sets share a shingle within their first ``miss + 1``; those of
-   frequency 1 lead nowhere and are dropped after taking their places.
+   frequency 1 lead nowhere and are dropped after taking their places.  The same
+   holds if only shingles of even hash count, as long as a set has more than
+   ``miss`` of them: of 128 and more shingles it has (less than 14 even ones of
+   128 come up once in 10**20), so these sets spread half of theirs.
 4. Documents with the same prefix and size form one group.  Members are
    verified against their group's pivot, and pivots of groups against the pivots
    of their prefix shingles, first that of most of them.  Then all pairs of groups that
@@ -45,6 +48,8 @@ from .components import components
 
 #: 64-bit words in the bitmap of a set.
 BITMAP = 16
+#: Sets from this size on look at half of their hashes in step 3, and what tells the numbers of whole sets from theirs.
+HALVED, WHOLE = 128, 0x5DEECE66D1CE4E5B
 
 
 def _miss(size, t: Fraction):
@@ -158,18 +163,32 @@ def ngram_jaccard_classes(
     full = full.join(likely, ["doc_id", *digest]).dropDuplicates(["id"])
     full = write_table(full.select("id", "n", "hashes"))
     release_shuffles(spark)
-    spread = full.select("id", F.explode("hashes").alias("h"))
-    counts = spread.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = spread.join(counts, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("ranked"))
-    ranked = ranked.join(full.select("id", "n"), "id")
-    ranked = ranked.withColumn("own", size - F.size("ranked")).withColumn("slots", (miss + 1 - F.col("own")).cast("int"))
+    marks = write_table(add_bitmaps(full.select("id", "n", "hashes"), "hashes"))
+    # Large sets look at every other hash only (by its lowest bit), the others at all, under other numbers; a set that may link
+    # with both kinds does both.
+    halved = F.filter("hashes", lambda h: h.bitwiseAND(1) == 0)
+    whole = F.transform("hashes", lambda h: h.bitwiseXOR(F.lit(WHOLE)))
+    of = lambda kind, hashes, when: F.struct(F.lit(kind).alias("kind"), F.when(when, hashes).alias("hashes"))
+    looks = full.select("id", "n", F.explode(F.array(
+        of(1, halved, size >= HALVED), of(0, whole, size * t.numerator < HALVED * t.denominator))).alias("x")).select("id", "n", "x.*").where("hashes is not null")
+    looks = write_table(looks)
+    spread = looks.select("id", "kind", F.explode("hashes").alias("h"))
+    counts = write_table(spread.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    release_shuffles(spark)
+    ranked = spread.join(counts, "h").groupBy("id", "kind").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("ranked"))
+    ranked = ranked.join(looks.select("id", "kind", "n", F.size("hashes").alias("m")), ["id", "kind"])
+    ranked = ranked.withColumn("slots", (miss + 1 - (F.col("m") - F.size("ranked"))).cast("int"))
     ranked = ranked.where("slots > 0").withColumn("prefix", F.transform(F.slice("ranked", 1, F.col("slots")), lambda x: x["h"]))
-    # 4. Groups by prefix and size.  Shingles of frequency 1 are in no other set; bitmaps are of the others.
-    ranked = ranked.select("id", "n", F.col("own").cast("int").alias("own"), "prefix", F.xxhash64("n", "prefix").alias("gid"), F.transform("ranked", lambda x: x["h"]).alias("hashes"))
-    members = write_table(add_bitmaps(ranked, "hashes"))
+    # 4. Groups by prefix and size.
+    ranked = write_table(ranked.select("id", "prefix", F.xxhash64("n", "prefix").alias("gid")))
+    drop_table(looks)
+    drop_table(counts)
+    release_shuffles(spark)
+    members = write_table(ranked.join(marks, "id"))
+    drop_table(ranked)
     release_shuffles(spark)
     groups = write_table(members.groupBy("gid").agg(
-        F.first("n").alias("n"), F.min("own").alias("own"), F.first("prefix").alias("prefix"), F.min(F.struct("own", "id")).alias("pivot"),
+        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.struct(F.min("id").alias("id")).alias("pivot"),
         F.array(*[F.bit_and(F.col("bits")[i]) for i in range(BITMAP)]).alias("every"),
         F.array(*[F.bit_or(F.col("bits")[i]) for i in range(BITMAP)]).alias("some")))
 
@@ -194,12 +213,10 @@ def ngram_jaccard_classes(
     def pair(a: str, b: str) -> list[Column]:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-    kept = members.select("id", "n", "own", "bits")
-
     def bounded(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that sizes and bitmaps let pass."""
-        one, two = (kept.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "own", "bits")]) for side in "ab")
-        apart = F.col("own_a") + F.col("own_b") + lacking(F.col("bits_a"), F.col("bits_b")) + lacking(F.col("bits_b"), F.col("bits_a"))
+        one, two = (marks.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "bits")]) for side in "ab")
+        apart = lacking(F.col("bits_a"), F.col("bits_b")) + lacking(F.col("bits_b"), F.col("bits_a"))
         both = pairs.join(one, "a").join(two, "b")
         return both.where(sizes_fit(F.col("n_a"), F.col("n_b")) & near(apart, F.col("n_a"), F.col("n_b"))).select("a", "b")
 
@@ -227,13 +244,13 @@ def ngram_jaccard_classes(
     plain, members = members, write_table(members.join(classes, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component", "prefix"))
     drop_table(plain)
     span = members.groupBy("gid").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
-    spread = spread_table = write_table(groups.join(span, "gid").select(F.explode("prefix").alias("key"), "gid", "n", "own", "every", "some", "lo", "hi"))
+    spread = spread_table = write_table(groups.join(span, "gid").select(F.explode("prefix").alias("key"), "gid", "n", "every", "some", "lo", "hi"))
     # Keys whose groups are all in one class are done.
     open_keys = spread.groupBy("key").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("key")
     spread = spread.join(open_keys, "key", "left_semi")
     x, y = spread.alias("x"), spread.alias("y")
     done = (F.col("x.lo") == F.col("y.hi")) & (F.col("x.hi") == F.col("y.lo"))
-    apart = F.col("x.own") + F.col("y.own") + lacking(F.col("x.every"), F.col("y.some")) + lacking(F.col("y.every"), F.col("x.some"))
+    apart = lacking(F.col("x.every"), F.col("y.some")) + lacking(F.col("y.every"), F.col("x.some"))
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.gid") <= F.col("y.gid")) & ~done
     meet = meet & sizes_fit(F.col("x.n"), F.col("y.n")) & near(apart, F.col("x.n"), F.col("y.n"))
     release_shuffles(spark)
@@ -241,9 +258,9 @@ def ngram_jaccard_classes(
     drop_table(groups)
     drop_table(spread_table)
     release_shuffles(spark)
-    p = members.select(F.col("gid").alias("gx"), F.col("id").alias("ix"), F.col("n").alias("nx"), F.col("class").alias("cx"), F.col("own").alias("ox"), F.col("bits").alias("bx"))
-    q = members.select(F.col("gid").alias("gy"), F.col("id").alias("iy"), F.col("n").alias("ny"), F.col("class").alias("cy"), F.col("own").alias("oy"), F.col("bits").alias("by"))
-    apart = F.col("ox") + F.col("oy") + lacking(F.col("bx"), F.col("by")) + lacking(F.col("by"), F.col("bx"))
+    p = members.select(F.col("gid").alias("gx"), F.col("id").alias("ix"), F.col("n").alias("nx"), F.col("class").alias("cx"), F.col("bits").alias("bx"))
+    q = members.select(F.col("gid").alias("gy"), F.col("id").alias("iy"), F.col("n").alias("ny"), F.col("class").alias("cy"), F.col("bits").alias("by"))
+    apart = lacking(F.col("bx"), F.col("by")) + lacking(F.col("by"), F.col("bx"))
     cross = meetings.join(p, "gx").join(q, (meetings["gy"] == q["gy"]) & (F.col("cx") != F.col("cy")) & near(apart, F.col("nx"), F.col("ny")))
     more = write_table(verify(write_table(cross.select(*pair("ix", "iy")).distinct())))
     if not more.isEmpty():
