@@ -3,6 +3,14 @@
 Every stage works on all rows that its predecessor kept and returns the columns
 of ``documents``; the last returns ids.  ``run`` writes what each stage returns
 and reads it again, so a lost executor costs one stage's work at most.
+
+Edge cases, for all stages: null and empty texts score as clean, have no lines
+and no shingles, take no part in the mix (size 0) and so end there; rows with a
+null doc_id are scored, deduplicated by nobody, mixed and encoded; rows that
+repeat a doc_id share the fate of that id in the n-gram join, and are rows of
+their own elsewhere; ties go to the smaller doc_id, and where that is equal to
+either; very long texts are read whole; further columns of ``documents``, whatever
+their names, pass through up to the last stage; empty tables stay empty.
 """
 
 from __future__ import annotations
