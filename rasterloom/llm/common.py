@@ -88,6 +88,11 @@ def write_table(df: DataFrame) -> DataFrame:
     return out
 
 
+def few(table: DataFrame, most: int) -> DataFrame:
+    """``table`` (of :func:`write_table`) marked for a broadcast if it has at most ``most`` rows, counted first, else for a hash join."""
+    return F.broadcast(table) if table.count() <= most else table.hint("shuffle_hash")
+
+
 def append_table(table: DataFrame, rows: DataFrame) -> None:
     """Add rows to a table of :func:`write_table`; :func:`read_again` shows them."""
     rows.write.mode("append").parquet(table._rasterloom_path)

@@ -35,12 +35,14 @@ from random import Random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, fresh_name, release_shuffles, write_table
+from .common import drop_table, few, fresh_name, release_shuffles, write_table
 from .components import cluster
 
 FEED = "\n"
 #: Longs in the bitmap of a line's shingles; with 32 the conditions of a join grow beyond what the JVM compiles.
 BITMAP = 16
+#: Rows of a table of a few numbers that is broadcast to all lines or documents instead of shuffling those: 20 MB or so.
+FEW = 300_000
 #: Bytes of a character as ``encode`` writes it: fixed, so that any shingle is found at once.
 WIDE, CODE = 4, "UTF-32"
 
@@ -112,14 +114,14 @@ def gone_lines(
     keys = signed.select("h1", "h2", F.explode(F.array_distinct("keys")).alias("key"))
     shared = write_table(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     release_shuffles(spark)
-    found = write_table(keys.join(shared.hint("shuffle_hash"), "key", "left_semi"))
+    found = write_table(keys.join(few(shared, FEW), "key", "left_semi"))
     drop_table(signed)
     drop_table(shared)
     release_shuffles(spark)
     some = found.select("h1", "h2").distinct()
     first = lines.join(some, ["h1", "h2"]).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place")).alias("at"))
     some = write_table(first.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "at.*"))
-    where = some.select("id", F.col("doc_id").alias("_d"), F.col("place").alias("_p"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
+    where = few(some, FEW).select("id", F.col("doc_id").alias("_d"), F.col("place").alias("_p"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
     same = (F.col("doc_id") == F.col("_d")) & (F.col("place") == F.col("_p")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
     texts = write_table(exploded.join(where, same).groupBy("id").agg(F.first("line").alias("line")))
     release_shuffles(spark)
@@ -189,8 +191,10 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` with near-duplicate lines taken out of ``text``; ``dropped`` names a column for their number."""
     places = write_table(gone_lines(docs, text=text, doc_id=doc_id, **options))
+    n, numbers = places.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
     key, gone = fresh_name(docs, "dedup_id"), fresh_name(docs, "dedup_gone")
-    places = places.select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
+    small = n <= FEW and numbers <= 8 * FEW
+    places = (F.broadcast(places) if small else places).select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
     rows = docs.join(places, F.col(f"`{doc_id}`").cast("long") == F.col(key), "left")
     lines = F.split(F.col(f"`{text}`"), FEED)
     marked = F.transform(lines, lambda line, at: _packed(at, F.xxhash64(_trimmed(line))))

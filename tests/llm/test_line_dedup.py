@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from rasterloom.llm.line_dedup import dedup_lines
 
 
@@ -44,7 +46,9 @@ def corpus():
     return rows
 
 
-def test_equals_all_pairs(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_equals_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr("rasterloom.llm.line_dedup.FEW", few)
     rows = corpus() + [(1, None), (2, ""), (4, "\n \n\n"), (5, "x"), (7, "x\nx\nX"), (8, "漢字" * 40 + "\n" + "漢字" * 39 + "漢")]
     docs = spark.createDataFrame([(d, t, 9) for d, t in rows], "doc_id long, text string, places long")
     got = {r.doc_id: r for r in dedup_lines(docs, dropped="n_removed").collect()}
