@@ -35,7 +35,7 @@ from .common import claim_worker, keep_memo, scratch_root, write_bytes
 from .lexicon import Transducer, compile_transducer
 
 #: Segments, and pre-tokens of those that are no plain words, in a generation of what one worker keeps at hand (about 200 bytes each).
-MEMO_SEGMENTS, MEMO_WORDS = 250_000, 60_000
+MEMO_SEGMENTS, MEMO_WORDS = 400_000, 60_000
 #: Distinct words counted in one worker before it hands on what it has.
 COUNTED_WORDS = 300_000
 #: The rank of pairs that don't merge.
