@@ -182,16 +182,23 @@ def _rank() -> Column:
     return F.struct(F.col("_q").alias("q"), F.coalesce(F.col("_id").cast("long"), F.lit(-(2**63))).alias("id"))
 
 
-def _mixed(docs: DataFrame, text: str, source: str, doc_id: str, cap: int, weights: tuple[int, ...], seed: str) -> DataFrame:
-    """``docs`` with _id, _source, _size, _words and _target of the source, and _copies."""
-    rates, limits = _limits(_sized(docs, text, source, doc_id, seed), cap, weights)
-    rows = _with(_ranked(_sized(docs, text, source, doc_id, seed), rates), limits, _same("_source", "_s"), "_s")
+def _thin(sized: DataFrame) -> DataFrame:
+    """Four values a document, written once: texts are not read again for sums, rates and limits."""
+    return write_table(sized.select("_id", "_source", "_size", "_u"))
+
+
+def _mixed(sized: DataFrame, thin: DataFrame, cap: int, weights: tuple[int, ...]) -> DataFrame:
+    """``sized`` with _words and _target of the source, and _copies; ``thin`` are the same rows."""
+    rates, limits = _limits(thin, cap, weights)
+    rows = _with(_ranked(sized, rates), limits, _same("_source", "_s"), "_s")
     at_end = F.coalesce(_rank() == F.col("_end"), F.lit(False))
     before = (F.col("_bin") < F.col("_cut__bin")) | ((F.col("_bin") == F.col("_cut__bin")) & (
         (F.col("_sub") < F.col("_cut__sub")) | ((F.col("_sub") == F.col("_cut__sub")) & (_rank() <= F.col("_end")))))
     before = F.coalesce(before, F.lit(False))
     split = at_end & (F.col("_take") < F.col("_tied"))
     whole = rows.where(~split).withColumn("_copies", F.col("_certain") + before.cast("long"))
+    if limits.where("_take < _tied").isEmpty():
+        return whole
     # Equal rows at the very end: it is all the same which of them are taken, so they are numbered in any order.
     number = F.row_number().over(Window.partitionBy("_source").orderBy("_u"))
     tied = rows.where(split).withColumn("_copies", F.col("_certain") + (number <= F.col("_take")).cast("long"))
@@ -203,9 +210,11 @@ def mix_sources(
     cap: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix",
 ) -> DataFrame:
     """One row (doc_id, source, size, source_size, target, copies) per input row; see the module."""
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"))
-    mixed = _mixed(rows, "text", "source", "doc_id", cap, weights, seed)
-    return mixed.select("doc_id", "source", F.col("_size").alias("size"), F.col("_words").alias("source_size"), F.col("_target").alias("target"), F.col("_copies").alias("copies"))
+    thin = _thin(_sized(docs, text, source, doc_id, seed))
+    mixed = _mixed(thin, thin, cap, weights)
+    return mixed.select(
+        F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_words").alias("source_size"),
+        F.col("_target").alias("target"), F.col("_copies").alias("copies"))
 
 
 def mix_documents(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", cap: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix") -> DataFrame:
@@ -213,6 +222,7 @@ def mix_documents(docs: DataFrame, *, text: str = "text", source: str = "source"
     # Under names of our own, so that no other column of docs can clash.
     names = [f"c{i}" for i in range(len(docs.columns))]
     of = {c.lower(): n for c, n in zip(docs.columns, names, strict=True)}
-    mixed = _mixed(docs.toDF(*names), of[text.lower()], of[source.lower()], of[doc_id.lower()], cap, weights, seed)
+    sized = _sized(docs.toDF(*names), of[text.lower()], of[source.lower()], of[doc_id.lower()], seed)
+    mixed = _mixed(sized, _thin(sized), cap, weights)
     taken = mixed.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     return taken.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
