@@ -15,12 +15,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_table, write_table
 
 
+def unite(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Link u[k] with v[k] in ``root``, which names the smallest place linked with each, before and after."""
+    while True:
+        a, b = root[u], root[v]
+        differ = a != b
+        if not differ.any():
+            return
+        u, v, a, b = u[differ], v[differ], a[differ], b[differ]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(root, further := root[root]):
+            root[:] = further
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     # A sum of 64-bit hashes as decimal never overflows and does not depend on order.
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()

@@ -130,3 +130,25 @@ def test_votes_against_a_plain_count():
                 sums[b] += weight if bits[b // 8] >> (7 - b % 8) & 1 else -weight
         want = bytes(sum((sums[8 * k + b] > 0) << (7 - b) for b in range(8)) for k in range(16))
         assert bytes(got) == want
+
+
+def test_near_copies_lose_no_link(spark):
+    """Pairs at every distance up to the radius, in one tile and in many, looked up and compared whole."""
+    import numpy as np
+
+    r = random.Random(10)
+    base = [r.getrandbits(128) for _ in range(300)]
+    flip = lambda x, n: x ^ sum(1 << k for k in r.sample(range(128), n))
+    texts = [f"{x:032x}" for x in [*base, *(flip(b, 14 + k % 8) for k, b in enumerate(base))]]
+    prints = spark.createDataFrame(list(enumerate(texts)), "doc_id long, fingerprint string").localCheckpoint()
+    want = [i - 300 if i >= 300 and (i - 300) % 8 <= 5 else i for i in range(600)]
+    for tiles in ({}, {"tile": 50}):
+        near = {x.fingerprint: x.near_id for x in s.near_copies(prints, **tiles).collect()}
+        assert [near[t] for t in texts] == want
+    codes = np.array([[int(t[:16], 16), int(t[16:], 16)] for t in texts], np.uint64)
+    a, b = codes[:300], codes[200:]
+    for radius in (3, 19, 25):
+        far = np.bitwise_count(a[:, None] ^ b[None]).sum(axis=2)
+        pairs = set(zip(*(x.tolist() for x in np.nonzero(far <= radius)), strict=True))
+        for found in (s._by_blocks(a, b, radius), s._whole(a, b, radius, False), s.close_pairs(a, b, radius, False)):
+            assert {(int(i), int(j)) for x, y in found for i, j in zip(x, y, strict=True)} == pairs
