@@ -2,8 +2,8 @@
 
 ``components`` is distributed union-find by alternating large-star and
 small-star steps (Kiveris et al., 2014): every step is a minimum by key and a
-join, so a vertex with any number of links is never gathered in one place, and
-nothing but two numbers a step reaches the driver.
+join, so a vertex with any number of links is never gathered in one place.  Two
+numbers a step reach the driver, and up to FEW_EDGES edges, which are united there.
 
 ``cluster`` turns (key, id) postings into classes without listing all pairs of
 a key: members are verified against pivots first, and then only members outside
@@ -16,6 +16,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,24 +43,41 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return row.n, row.h
 
 
-#: Up to so many edges a step of union-find is one task: shuffling them would cost more than the step itself.
+#: Up to so many edges are united on the driver (up to 7 MB of them): dozens of small jobs would cost it more memory and time.
 FEW_EDGES = 200_000
 
 
-def components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
-    """(id, component) for every vertex of ``edges`` (u, v); the component is its smallest vertex.
+def _united(edges: DataFrame) -> DataFrame:
+    """:func:`components` of few edges, on the driver."""
+    table = edges.toArrow()
+    ends = pa.chunked_array([*table.column("u").chunks, *table.column("v").chunks], table.schema.field("u").type).combine_chunks()
+    parts = ends.flatten() if pa.types.is_struct(ends.type) else [ends]
+    order = pc.sort_indices(pa.table(parts, list(map(str, range(len(parts))))), [(str(k), "ascending") for k in range(len(parts))])
+    new = np.zeros(len(ends), bool)
+    new[:1] = True
+    for part in parts:
+        sorted_part = part.take(order)
+        new[1:] |= pc.not_equal(sorted_part[1:], sorted_part[:-1]).to_numpy(zero_copy_only=False)
+    order = order.to_numpy()
+    place = np.empty(len(ends), np.int64)
+    place[order] = np.cumsum(new) - 1
+    vertices = ends.take(pa.array(order[new]))
+    root = np.arange(len(vertices))
+    unite(root, place[: len(table)], place[len(table) :])
+    return edges.sparkSession.createDataFrame(pa.table([vertices, vertices.take(pa.array(root))], ["id", "component"]))
 
-    Edges are counted anyway; where they are few the same steps run on one
-    partition, which needs no shuffle.
-    """
+
+def components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
+    """(id, component) for every vertex of ``edges`` (u, v); the component is its smallest vertex."""
     edges = write_table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _fingerprint(edges)
     for _ in range(max_steps):
         if not state[0]:
             break
-        stored = edges
         if state[0] <= FEW_EDGES:
-            edges = edges.coalesce(1)
+            found = _united(edges)
+            drop_table(edges)
+            return found
         # Large star: each larger neighbour of u joins the smallest of u and its neighbours.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
@@ -69,7 +88,7 @@ def components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
         small = large.join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         following = write_table(small)
-        drop_table(stored)
+        drop_table(edges)
         edges, before, state = following, state, _fingerprint(following)
         if state == before:
             break

@@ -139,3 +139,17 @@ def test_components_against_union_find(spark, monkeypatch, few):
     linked = {v for a, b in edges if a != b for v in (a, b)}
     assert got == {v: find(v) for v in linked}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_few_edges_are_united_in_few_jobs(spark):
+    """A step of union-find was several jobs; a chain of 300 takes many steps."""
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    edges = spark.createDataFrame([((k, -k), (k + 1, -k - 1)) for k in range(300)], "u struct<x:long,y:long>, v struct<x:long,y:long>").localCheckpoint()
+    context.setJobGroup("few edges", "")
+    got = {tuple(x.id): tuple(x.component) for x in components(edges).collect()}
+    jobs = tracker.getJobIdsForGroup("few edges")
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {(k, -k): (0, 0) for k in range(301)}
+    assert len(jobs) <= 12
+    named = spark.createDataFrame([("b", "é"), ("é", "c")], "u string, v string")
+    assert {x.id: x.component for x in components(named).collect()} == {"b": "b", "c": "b", "é": "b"}
