@@ -21,19 +21,21 @@ import json
 import uuid
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast, SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import claim_worker, keep_memo, scratch_root, write_bytes
 from .lexicon import Transducer, compile_transducer
 
+Batches = Iterator[pa.RecordBatch]
+
 #: Segments, and pre-tokens of those that are no plain words, in a generation of what one worker keeps at hand (about 200 bytes each).
 MEMO_SEGMENTS, MEMO_WORDS = 400_000, 60_000
 #: Distinct words counted in one worker before it hands on what it has.
@@ -178,11 +180,14 @@ class _Memo(_Generations):
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer) -> None:
         super().__init__(MEMO_WORDS)
         self.vocabulary, self.lexicon = vocabulary, lexicon
+        #: Words of one id share its bytes.
+        self.single: dict[bytes, bytes] = {}
 
     def make(self, word: str) -> bytes:
         raw = word.encode()
         ids = self.lexicon.lookup(raw)
-        return array("i", self.vocabulary.merge(raw) if ids is None else ids).tobytes()
+        made = array("i", self.vocabulary.merge(raw) if ids is None else ids).tobytes()
+        return self.single.setdefault(made, made) if len(made) == 4 else made
 
 
 class _Segments(_Generations):
@@ -287,13 +292,13 @@ def build_lexicon(docs: DataFrame, spec: str, *, text: str = "text", lexicon_siz
     return name
 
 
-def encode(docs: DataFrame, tokenizer_path: str, *, text: str = "text", doc_id: str = "doc_id", lexicon_size: int = 1 << 16) -> DataFrame:
-    """(doc_id, ids array<int>) of every row."""
+def _encoder(docs: DataFrame, tokenizer_path: str, text: str, lexicon_size: int) -> Callable[[Batches], Batches]:
+    """What turns batches (doc_id, text) into (doc_id, ids) on the executors."""
     spec = read_tokenizer(tokenizer_path)
     name = build_lexicon(docs, spec, text=text, lexicon_size=lexicon_size)
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         claim_worker("bpe")
         segments = _segments(shared.value, name)
         vocabulary, encode_part = segments.memo.vocabulary, segments.encode
@@ -311,15 +316,14 @@ def encode(docs: DataFrame, tokenizer_path: str, *, text: str = "text", doc_id:
                 flat = np.frombuffer(b"".join(rows), np.int32)
                 yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["doc_id", "ids"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return run
 
 
-def decode(encoded: DataFrame, tokenizer_path: str, *, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
-    """The columns of ``keep``, ``ids`` and the decoded ``text`` of every row."""
-    shared = encoded.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))
+def _decoder(spark: SparkSession, tokenizer_path: str) -> Callable[[Batches], Batches]:
+    """What adds the decoded text to batches whose last column is ids."""
+    shared = spark.sparkContext.broadcast(read_tokenizer(tokenizer_path))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         claim_worker("bpe")
         pieces = _vocabulary(shared.value).pieces
         for batch in batches:
@@ -337,6 +341,28 @@ def decode(encoded: DataFrame, tokenizer_path: str, *, keep: tuple[str, ...] = (
                     texts = pa.array([t.as_py().decode("utf-8", "replace") for t in raw], pa.string())
                 yield pa.record_batch([*part.columns, texts], [*part.schema.names, "text"])
 
+    return run
+
+
+def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+
+def encode(docs: DataFrame, tokenizer_path: str, *, text: str = "text", doc_id: str = "doc_id", lexicon_size: int = 1 << 16) -> DataFrame:
+    """(doc_id, ids array<int>) of every row."""
+    run = _encoder(docs, tokenizer_path, text, lexicon_size)
+    return _rows(docs, text, doc_id).mapInArrow(run, "doc_id long, ids array<int>")
+
+
+def decode(encoded: DataFrame, tokenizer_path: str, *, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
+    """The columns of ``keep``, ``ids`` and the decoded ``text`` of every row."""
+    run = _decoder(encoded.sparkSession, tokenizer_path)
     rows = encoded.select(*keep, ids)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(run, f"{fields}, text string")
+
+
+def round_trip(docs: DataFrame, tokenizer_path: str, *, text: str = "text", doc_id: str = "doc_id", lexicon_size: int = 1 << 16) -> DataFrame:
+    """(doc_id, ids, text): ``decode`` of ``encode`` in one Python worker a task; one after the other they take two, and each comes to keep the memos of both."""
+    to_ids, to_text = _encoder(docs, tokenizer_path, text, lexicon_size), _decoder(docs.sparkSession, tokenizer_path)
+    return _rows(docs, text, doc_id).mapInArrow(lambda batches: to_text(to_ids(batches)), "doc_id long, ids array<int>, text string")

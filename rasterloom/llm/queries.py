@@ -108,9 +108,7 @@ FROM x
 
 
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), path)
-    both = bpe.decode(encoded, path)
+    both = bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

@@ -78,3 +78,16 @@ def test_query_digests(spark):
     row = queries.op9_bpe_roundtrip(spark, "/root/testdata/sf0.001").where(F.col("doc_id") == 0).first()
     text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id = 0").first().text
     assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_round_trip_takes_one_worker_a_task(spark, tmp_path):
+    """Encoding and decoding in two workers each, every one of them came to keep the memos of both."""
+    from rasterloom.llm import queries
+
+    docs = spark.createDataFrame(list(enumerate(TEXTS + fuzz(40))), "doc_id long, text string").localCheckpoint()
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    plan = queries.op9_bpe_roundtrip(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    both = bpe.round_trip(docs, tokenizer_path())
+    apart = bpe.decode(bpe.encode(docs, tokenizer_path()), tokenizer_path())
+    assert sorted(both.collect()) == sorted(apart.select("doc_id", "ids", "text").collect())
