@@ -45,6 +45,8 @@ def _fingerprint(edges: DataFrame) -> tuple:
 
 #: Up to so many edges are united on the driver (up to 7 MB of them): dozens of small jobs would cost it more memory and time.
 FEW_EDGES = 200_000
+#: Pairs of a key that meet in one place, where a key has many.
+PAIRS_A_CELL = 1 << 21
 
 
 def _united(edges: DataFrame) -> DataFrame:
@@ -131,7 +133,7 @@ def cluster(
         every = write_table(every)
         sizes = every.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
         keys = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"))
-        keys = write_table(keys.select("key", F.col("top.c").alias("largest"), (F.col("all") - F.col("top.n")).alias("others")).where("others > 0"))
+        keys = write_table(keys.select("key", F.col("top.c").alias("largest"), (F.col("all") - F.col("top.n")).alias("others"), "all").where("others > 0"))
         return every.join(keys, "key"), keys
 
     first = postings.groupBy("key").agg(F.min_by(member, order).alias("q"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -160,9 +162,21 @@ def cluster(
             known = write_table(deep(postings.join(many.select("key"), "key", "left_semi").select("id")))
             # Flat columns: a condition reads them at once, those of a struct anew for each mention.
             own, other = (known.select(*[F.col(c).alias(f"{side}_{c}") for c in known.columns]) for side in "xy")
-            left = left.where(F.col("others") > few).select("key", "c", "largest", F.struct("p.id").alias("p")).join(own, F.col("p.id") == F.col("x_id"))
-            right = right.where(F.col("o") > few).select("k", "d", F.struct("q.id").alias("q")).join(other, F.col("q.id") == F.col("y_id"))
-            more = more.union(meet(left, right, across & deep_compatible("x", "y")))
+            # Their pairs are dealt by hand: rows with these columns are large, and adaptive execution would cut both sides
+            # of a skewed key into pieces of a size and make a task of every two.  A grid of ``down`` by ``along`` cells
+            # has each pair of a key in one cell, with about PAIRS_A_CELL pairs in each.
+            cells = F.ceil(F.col("others") * F.col("all") / PAIRS_A_CELL)
+            down = F.greatest(F.lit(1), F.least(F.col("others"), F.round(F.sqrt(cells * F.col("others") / F.col("all"))).cast("long")))
+            along = F.ceil(cells / down)
+            upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+            place = lambda m, n: F.pmod(F.xxhash64(F.col(m)), n)
+            left = every.where("c <> largest").where(F.col("others") > few).select("key", "c", "largest", F.struct("m.id").alias("p"), place("m.id", down).alias("at"), along.alias("n"), upto(along).alias("to"))
+            left = left.select("key", "c", "largest", "p", (F.col("at") * F.col("n") + F.col("to")).alias("cell")).join(own, F.col("p.id") == F.col("x_id"))
+            right = every.where(F.col("others") > few).select("key", F.col("c").alias("d"), F.struct("m.id").alias("q"), place("m.id", along).alias("at"), along.alias("n"), upto(down).alias("to"))
+            right = right.select(F.col("key").alias("k"), "d", "q", (F.col("to") * F.col("n") + F.col("at")).alias("cell_q")).join(other, F.col("q.id") == F.col("y_id"))
+            tasks = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            left, right = left.repartition(tasks, "key", "cell"), right.repartition(tasks, "k", "cell_q")
+            more = more.union(meet(left, right, (F.col("cell") == F.col("cell_q")) & across & deep_compatible("x", "y")))
     if more.isEmpty():
         return classes
     return components(classes.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v")).union(more))

@@ -165,3 +165,37 @@ def test_clashing_names_and_a_very_long_line(spark):
     docs = spark.createDataFrame([(1, long, 1, "a", 2), (2, long + " end", 3, "b", 4)], "doc_id long, text string, id int, key string, place int")
     got = {x.doc_id: x for x in dedup_lines(docs).collect()}
     assert got[1].text == long and got[2].text == "" and (got[2].id, got[2].key, got[2].place) == (3, "b", 4)
+
+
+def test_a_hot_key_is_dealt_to_few_tasks(spark, monkeypatch):
+    """Adaptive execution made a task of every two pieces of a skewed key's members; with large rows these were thousands."""
+    from pyspark.sql import functions as F
+
+    from rasterloom.llm import components as c
+
+    monkeypatch.setattr(c, "PAIRS_A_CELL", 5000, raising=False)
+    tight = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "20", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in tight}
+    for k, v in tight.items():
+        spark.conf.set(k, v)
+    context = spark.sparkContext
+    context.setJobGroup("hot key", "")
+    try:
+        ids = spark.range(900)
+        postings = ids.select(F.when(F.col("id") < 400, 1).otherwise(F.col("id") % 20 + 2).alias("key"), "id").union(ids.select(F.col("id") % 20 + 100, "id"))
+        deep = lambda some: some.distinct().select("id", F.concat(F.array("id"), F.transform(F.sequence(F.lit(1), F.lit(400)), lambda k: F.xxhash64("id", k))).alias("large"))
+        linked = lambda a, b: F.abs(F.col(f"{a}.id") - F.col(f"{b}.id")) == 200
+        deep_linked = lambda a, b: F.abs(F.col(f"{a}_large")[0] - F.col(f"{b}_large")[0]) == 200
+        got = c.cluster(postings, lambda pairs: pairs, order=F.struct("id"), compatible=linked, deep=deep, deep_compatible=deep_linked)
+        got = {r.id: r.component for r in got.collect()}
+        stages = [s for job in context.statusTracker().getJobIdsForGroup("hot key") for s in context.statusTracker().getJobInfo(job).stageIds]
+        tasks = max(info.numTasks for s in stages if (info := context.statusTracker().getStageInfo(s)))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == {i: i % 200 for i in range(900)}
+    assert tasks <= 60
