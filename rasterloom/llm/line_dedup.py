@@ -45,6 +45,8 @@ BITMAP = 16
 FEW = 300_000
 #: Bytes of a character as ``encode`` writes it: fixed, so that any shingle is found at once.
 WIDE, CODE = 4, "UTF-32"
+#: Shingles of a line that are signed in one row.
+RUN = 4
 
 
 def _trimmed(line: Column) -> Column:
@@ -76,9 +78,13 @@ def signatures(lines: DataFrame, *, k: int, rows: int, bands: int) -> DataFrame:
     random = Random(31)
     masks = [F.lit(random.getrandbits(64) - (1 << 63)) for _ in range(rows * bands)]
     wide = lines.select("h1", "h2", F.encode("line", CODE).alias("wide"))
-    each = wide.select("h1", "h2", "wide", F.explode(_places(F.col("wide"), k)).alias("at"))
-    each = each.select("h1", "h2", _shingle(F.col("wide"), F.col("at"), k).alias("h"))
-    least = each.groupBy("h1", "h2").agg(*[F.min(F.col("h").bitwiseXOR(mask)).alias(f"m{j}") for j, mask in enumerate(masks)])
+    wide = wide.select("h1", "h2", "wide", F.greatest(F.length("wide") - WIDE * k + 1, F.lit(1)).alias("last"))
+    # RUN shingles a row, so that a row's way into the aggregation is paid for once; behind the last one that one again, which changes no minimum.
+    each = wide.select("h1", "h2", "wide", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(WIDE * RUN))).alias("at"))
+    run = [_shingle(F.col("wide"), F.least(F.col("at") + WIDE * j, F.col("last")), k).alias(f"g{j}") for j in range(RUN)]
+    each = each.select("h1", "h2", *run)
+    lowest = lambda mask: F.min(F.least(*[F.col(f"g{j}").bitwiseXOR(mask) for j in range(RUN)]))
+    least = each.groupBy("h1", "h2").agg(*[lowest(mask).alias(f"m{j}") for j, mask in enumerate(masks)])
     keys = [F.xxhash64(*[f"m{rows * b + r}" for r in range(rows)]) for b in range(bands)]
     return least.select("h1", "h2", F.array(*keys).alias("keys"))
 

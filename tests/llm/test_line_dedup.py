@@ -199,3 +199,20 @@ def test_a_hot_key_is_dealt_to_few_tasks(spark, monkeypatch):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert got == {i: i % 200 for i in range(900)}
     assert tasks <= 60
+
+
+@pytest.mark.parametrize("run", [2, 4, 7])
+def test_signing_several_shingles_a_row_changes_no_key(spark, monkeypatch, run):
+    from pyspark.sql import functions as F
+
+    from rasterloom.llm import line_dedup as m
+
+    monkeypatch.setattr(m, "RUN", run)
+    lines = ["x" * 3, *("漢字🙂 abcdefghijklmnopqrstuvwxyz0123456789"[:n] for n in range(8, 30)), "ab cd " * 50]
+    df = spark.createDataFrame([(i, -i, x) for i, x in enumerate(lines)], "h1 long, h2 long, line string")
+    random64 = random.Random(31)
+    masks = [random64.getrandbits(64) - (1 << 63) for _ in range(21)]
+    lowest = lambda mask: F.array_min(F.transform("s", lambda h: h.bitwiseXOR(F.lit(mask))))
+    least = [lowest(mask) for mask in masks]
+    plain = df.withColumn("s", m.shingles(F.col("line"), 10)).select("h1", F.array(*[F.xxhash64(*least[3 * b : 3 * b + 3]) for b in range(7)]).alias("keys"))
+    assert {r.h1: r["keys"] for r in m.signatures(df, k=10, rows=3, bands=7).collect()} == {r.h1: r["keys"] for r in plain.collect()}
