@@ -40,11 +40,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import claim_worker, drop_table, release_shuffles, write_table
+from .common import claim_worker, drop_table, few, release_shuffles, write_table
 from .components import components
 
 #: 64-bit words in the bitmap of a set.
 BITMAP = 16
+#: Ids of documents to read again that are broadcast to all texts instead of shuffling those (about 60 bytes each).
+WANTED = 3_000_000
 
 
 def _miss(size, t: Fraction):
@@ -151,7 +153,7 @@ def ngram_jaccard_classes(
     drop_table(lows)
     release_shuffles(spark)
     # 3. Whole sets of those left, in order of document frequency.
-    wanted = likely.select(F.col("doc_id").alias("_wanted")).distinct()
+    wanted = few(write_table(likely.select(F.col("doc_id").alias("_wanted")).distinct()), WANTED)
     again = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     again = again.join(wanted, F.col("doc_id") == F.col("_wanted"), "left_semi")
     full = shingle_sets(again, n, t, text="text", doc_id="doc_id", whole=True)

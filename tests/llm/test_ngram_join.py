@@ -86,3 +86,27 @@ def test_repeated_ids_null_ids_and_empty_table(spark):
     got = sorted(((r.doc_id or -1), r.n_shingles, r.component_id) for r in ngram_jaccard_classes(docs).collect())
     assert got == [(-1, 48, None), (1, 2, 1), (1, 48, 1), (1, 48, 1), (5, 49, 1)]
     assert ngram_jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_read_again_are_not_shuffled(spark, monkeypatch):
+    from rasterloom.llm import ngram_join as m
+
+    plans, plain = [], m.shingle_sets
+
+    def seen(docs, *args, whole, **options):
+        if whole:
+            plans.append(docs._jdf.queryExecution().executedPlan().toString())
+        return plain(docs, *args, whole=whole, **options)
+
+    monkeypatch.setattr(m, "shingle_sets", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # a table of ids is above it where documents are many
+    try:
+        rows = [(7 * i % 1009, t) for i, t in enumerate(corpus(3))]
+        check(spark, rows)
+        assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+        monkeypatch.setattr(m, "WANTED", 0)
+        check(spark, rows)
+        assert "BroadcastHashJoin" not in plans[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
