@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[ \x09-\x0D]"
 WORD_CLASS = r"[^ \x09-\x0D]"
 
+#: Spark's setting (since 4.1) by which a query deletes its shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dirs: dict[str, str] = {}
 
 #: What empties the memos that operators keep in a Python worker, by operator.
@@ -77,11 +80,17 @@ def write_table(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return a scan of what was written.
 
     Cuts the lineage like ``checkpoint()``, but column by column, so that later
-    readers fetch only the columns they use.  Lost executors lose nothing.
+    readers fetch only the columns they use.  Lost executors lose nothing.  The
+    shuffle files of the query go when it has ended.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/rasterloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     atexit.register(_remove_at_exit, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._rasterloom_path = path

@@ -40,14 +40,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import claim_worker, drop_table, release_shuffles, write_table
+from .common import claim_worker, drop_table, few, release_shuffles, write_table
 
 #: Rounds of pointer doubling at most: paths of 2**40 pieces.
 ROUNDS = 40
+#: Branching nodes that are broadcast to the distinct edges instead of shuffling those.
+FEW = 300_000
 
 
 class Hashes:
@@ -99,8 +102,19 @@ def _minimizers(hashed: np.ndarray, upto: np.ndarray, span: int, seed: int) -> t
     return least[starts], ends
 
 
-def _slice(key: Column, slices: int, which: int) -> Column:
-    return F.pmod(key, F.lit(slices)) == which
+def _slice(x: Column, y: Column, slices: int, which: int) -> Column:
+    """If the edge from x to y is in this slice; the same as :func:`_dealt` says."""
+    return F.pmod(x.bitwiseXOR(y), F.lit(slices)) == which
+
+
+def _dealt(values: np.ndarray, slices: int) -> np.ndarray:
+    return np.mod(values, slices)
+
+
+def _lists(values: np.ndarray, ends: np.ndarray, keep: np.ndarray) -> pa.Array:
+    """The rows of ``values`` that end at ``ends``, with what ``keep`` marks of them."""
+    upto = np.concatenate([[0], np.cumsum(keep)])
+    return pa.ListArray.from_arrays(upto[ends].astype(np.int32), pa.array(values[keep]))
 
 
 def sieve(docs: DataFrame, span: int, seed: int, hashes: Hashes, slices: int) -> list[DataFrame]:
@@ -112,12 +126,14 @@ def sieve(docs: DataFrame, span: int, seed: int, hashes: Hashes, slices: int) ->
             for rows, data, offsets in words.slices(batch, 1):
                 least, ends = _minimizers(*hashes.words(data, offsets), span, seed)
                 values, ends = words.distinct_sorted(least, ends)
-                yield pa.record_batch([rows.column(0), pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(values))], ["doc_id", "seeds"])
+                dealt = _dealt(values, slices)
+                yield pa.record_batch([rows.column(0), *(_lists(values, ends, dealt == w) for w in range(slices))], ["doc_id", *names])
 
-    seeds = write_table(docs.mapInArrow(run, "doc_id long, seeds array<long>"))
+    names = [f"seeds{w}" for w in range(slices)]
+    seeds = write_table(docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{name} array<long>" for name in names)))
     parts = []
     for which in range(slices):
-        rows = seeds.select("doc_id", F.explode("seeds").alias("seed")).where(_slice(F.col("seed"), slices, which))
+        rows = seeds.select("doc_id", F.explode(names[which]).alias("seed"))
         shared = rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
         both = rows.join(shared.hint("shuffle_hash"), "seed", "left_semi")
         parts.append(write_table(both.groupBy("doc_id").agg(F.collect_list("seed").alias("seeds"))))
@@ -126,44 +142,62 @@ def sieve(docs: DataFrame, span: int, seed: int, hashes: Hashes, slices: int) ->
     return parts
 
 
-def node_runs(docs: DataFrame, seeds: list[DataFrame], span: int, seed: int, hashes: Hashes) -> DataFrame:
-    """(doc_id, place, nodes): runs of windows that the sieve lets pass, as the hashes of their nodes."""
+def node_runs(docs: DataFrame, seeds: list[DataFrame], span: int, seed: int, hashes: Hashes, slices: int) -> DataFrame:
+    """(doc_id, place, nodes, edges0, ...): runs of windows that the sieve lets pass, as the hashes of their nodes; and where in them the edges of each slice are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_worker("substring_dedup")
         for batch in batches:
-            seeds_of, at = batch.column(2), 0
+            seeds_of, done = batch.column(2), 0
             for rows, data, offsets in words.slices(batch, 1):
                 hashed, upto = hashes.words(data, offsets)
                 least, ends = _minimizers(hashed, upto, span, seed)
                 nodes, node_ends = hashes.nodes(hashed, upto, span)
                 out = []
                 for i in range(rows.num_rows):
-                    wanted = seeds_of[at + i].values.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                    wanted = seeds_of[done + i].values.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                     keep = np.isin(least[ends[i] : ends[i + 1]], wanted)
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], keep, [0]])))
                     out += [(i, a, nodes[node_ends[i] + a : node_ends[i] + b + 1]) for a, b in edges.reshape(-1, 2)]
-                at += rows.num_rows
+                done += rows.num_rows
                 which = pa.array([x[0] for x in out], pa.int64())
                 lists = np.cumsum([0, *(len(x[2]) for x in out)], dtype=np.int32)
                 flat = np.concatenate([x[2] for x in out]).view(np.int64) if out else np.zeros(0, np.int64)
+                # Each node of a run begins an edge, but the last one.
+                dealt, at = _dealt(flat ^ np.append(flat[1:], 0), slices), np.arange(len(flat), dtype=np.int32) - np.repeat(lists[:-1], np.diff(lists))
+                dealt[lists[1:] - 1] = -1
                 yield pa.record_batch(
-                    [rows.column(0).take(which), pa.array([x[1] for x in out], pa.int32()), pa.ListArray.from_arrays(lists, pa.array(flat))],
-                    ["doc_id", "place", "nodes"])
+                    [rows.column(0).take(which), pa.array([x[1] for x in out], pa.int32()), pa.ListArray.from_arrays(lists, pa.array(flat)), *(_lists(at, lists, dealt == w) for w in range(slices))],
+                    ["doc_id", "place", "nodes", *names])
 
     wanted = seeds[0]
     for part in seeds[1:]:
         wanted = wanted.union(part)
     wanted = wanted.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("seeds").alias("seeds"))
     joined = docs.join(wanted, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "seeds")
-    return write_table(joined.mapInArrow(run, "doc_id long, place int, nodes array<long>"))
+    names = [f"edges{w}" for w in range(slices)]
+    return write_table(joined.mapInArrow(run, "doc_id long, place int, nodes array<long>, " + ", ".join(f"{name} array<int>" for name in names)))
 
 
-def _edges(runs: DataFrame, slices: int, which: int) -> DataFrame:
+def _edges(runs: DataFrame, which: int) -> DataFrame:
     """(x, y, doc_id, place): the edges from node x to node y of one slice."""
-    each = runs.select("doc_id", "place", "nodes", F.explode(F.sequence(F.lit(0), F.size("nodes") - 2)).alias("i"))
-    each = each.select(F.col("nodes")[F.col("i")].alias("x"), F.col("nodes")[F.col("i") + 1].alias("y"), "doc_id", (F.col("place") + F.col("i")).alias("place"))
-    return each.where(_slice(F.xxhash64("x", "y"), slices, which))
+    each = runs.select("doc_id", "place", "nodes", F.explode(f"edges{which}").alias("i"))
+    return each.select(F.col("nodes")[F.col("i")].alias("x"), F.col("nodes")[F.col("i") + 1].alias("y"), "doc_id", (F.col("place") + F.col("i")).alias("place"))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``first`` and ``piece`` to edges in order of their sources: an edge that does not follow the one before it in its source begins a piece."""
+    claim_worker("substring_dedup")
+    context = TaskContext.get()
+    last = (context.partitionId() if context else 0) << 40
+    for batch in batches:
+        source, at = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        follows = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+        same = batch.column(4).fill_null(0).to_numpy() == source
+        first = ~(follows & same & (batch.column(5).fill_null(0).to_numpy() == at - 1))
+        piece = last + np.cumsum(first)
+        last = int(piece[-1]) if len(piece) else last
+        yield pa.record_batch([*batch.columns, pa.array(piece), pa.array(first)], [*batch.schema.names, "piece", "first"])
 
 
 def compact(edges: DataFrame) -> DataFrame:
@@ -173,21 +207,23 @@ def compact(edges: DataFrame) -> DataFrame:
     """
     place = [F.col("source_id").alias("s"), F.col("at").alias("p")]
     none = F.lit(None).cast("long")
-    ends = edges.select(F.col("x").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"), *place, none.alias("q"), none.cast("int").alias("r"))
-    ends = ends.union(edges.select(F.col("y").alias("node"), F.lit(0), F.lit(1), none, none.cast("int"), *place))
-    degrees = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"), F.max("s").alias("s"), F.max("p").alias("p"), F.max("q").alias("q"), F.max("r").alias("r"))
-    # At such a node the one edge in, at place r of source q, goes on with the one edge out, at place p of source s.
-    plain = degrees.where("out = 1 and into = 1 and not (s = q and p = r)")
-    plain = write_table(plain.select(F.col("node").alias("x"), F.col("q").alias("before_id"), F.col("r").alias("before_at")))
+    ends = edges.select(F.col("x").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"), "y", *place, none.alias("q"), none.cast("int").alias("r"))
+    ends = ends.union(edges.select(F.col("y").alias("node"), F.lit(0), F.lit(1), none, none, none.cast("int"), *place))
+    degrees = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"), *[F.max(c).alias(c) for c in "yspqr"])
+    # A node of one edge out says all of that edge, at place p of source s.  If it has one edge in, at place r of source q, that goes on with it.
+    on = F.expr("into = 1 and not (s = q and p = r)")
+    heads = degrees.where("out > 0").select(
+        F.col("node").alias("x"), "y", F.col("s").alias("source_id"), F.col("p").alias("at"),
+        F.when(on, F.col("q")).alias("before_id"), F.when(on, F.col("r")).alias("before_at"), "out")
+    heads = write_table(heads)
     release_shuffles(edges.sparkSession)
-    linked = edges.join(plain, "x", "left")
+    branching = few(heads.where("out > 1").select("x"), FEW)
+    several = edges.join(branching, "x", "left_semi").select("x", "y", "source_id", "at", none.alias("before_id"), none.cast("int").alias("before_at"))
+    linked = heads.where("out = 1").drop("out").union(several)
     # Pieces: edges that follow each other in one source, named by their first edge.
-    begins = F.col("before_id").isNull() | (F.col("before_id") != F.col("source_id")) | (F.col("before_at") != F.col("at") - 1)
-    along = Window.partitionBy("source_id").orderBy("at", "x", "y")
-    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pieces = linked.withColumn("piece", F.last(F.when(begins, F.monotonically_increasing_id()), ignorenulls=True).over(upto))
-    pieces = write_table(pieces.withColumn("first", begins))
-    drop_table(plain)
+    linked = linked.repartition("source_id").sortWithinPartitions("source_id", "at", "x", "y")
+    pieces = write_table(linked.mapInArrow(_pieces, "x long, y long, source_id long, at int, before_id long, before_at int, piece long, first boolean"))
+    drop_table(heads)
     release_shuffles(edges.sparkSession)
     # A piece whose first edge follows an edge of another piece hangs on that one.
     links = pieces.where("first and before_id is not null").select("piece", "before_id", "before_at")
@@ -206,17 +242,51 @@ def compact(edges: DataFrame) -> DataFrame:
     return paths.select("x", "y", "source_id", "at", F.coalesce("to", "piece").alias("path"), "first")
 
 
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans from edges in order of (doc_id, source_id, shift, place): one ends where a place is missing or a first edge comes."""
+    claim_worker("substring_dedup")
+
+    def made(doc, source, shift, start, end) -> pa.RecordBatch:
+        columns = [pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(end - start + 1, pa.int32()), pa.array(source, pa.int64()), pa.array(start + shift, pa.int32())]
+        return pa.record_batch(columns, ["doc_id", "place", "length", "source_id", "at"])
+
+    left = None  # the span that may go on in the next batch: its line, place and end
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        *line, place, first = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        begins = first.astype(bool)
+        begins[1:] |= place[1:] > place[:-1] + 1
+        for c in line:
+            begins[1:] |= c[1:] != c[:-1]
+        begins[0] |= left is None or any(c[0] != x for c, x in zip(line, left, strict=False)) or place[0] > left[4] + 1
+        at = np.flatnonzero(begins)
+        goes_on = int(at[0]) if len(at) else len(place)
+        if goes_on:
+            left = *left[:4], place[goes_on - 1]
+        if not len(at):
+            continue
+        ends = place[np.append(at[1:], len(place)) - 1]
+        columns = [*(c[at] for c in line), place[at], ends]
+        if left is not None:
+            columns = [np.concatenate([[x], c]) for x, c in zip(left, columns, strict=True)]
+        left = tuple(c[-1] for c in columns)
+        yield made(*(c[:-1] for c in columns))
+    if left is not None:
+        yield made(*(np.array([x]) for x in left))
+
+
 def repeated_spans(docs: DataFrame, *, span: int = 13, seed: int = 5, slices: int = 4, hashes: Hashes | None = None) -> DataFrame:
     """(doc_id, place, length, source_id, at): runs of ``length`` repeated edges on one path, unverified."""
     spark, hashes = docs.sparkSession, hashes or Hashes()
     seeds = sieve(docs, span, seed, hashes, slices)
-    runs = node_runs(docs, seeds, span, seed, hashes)
+    runs = node_runs(docs, seeds, span, seed, hashes, slices)
     for part in seeds:
         drop_table(part)
     release_shuffles(spark)
     parts = []
     for which in range(slices):
-        first = _edges(runs, slices, which).groupBy("x", "y").agg(
+        first = _edges(runs, which).groupBy("x", "y").agg(
             F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last_id"), F.min_by("place", "doc_id").alias("at"))
         parts.append(write_table(first.where("source_id < last_id").drop("last_id")))
         release_shuffles(spark)
@@ -229,8 +299,8 @@ def repeated_spans(docs: DataFrame, *, span: int = 13, seed: int = 5, slices: in
     release_shuffles(spark)
     marked = []
     for which in range(slices):
-        known = paths.where(_slice(F.xxhash64("x", "y"), slices, which))
-        found = _edges(runs, slices, which).join(known, ["x", "y"]).where("doc_id > source_id")
+        known = paths.where(_slice(F.col("x"), F.col("y"), slices, which))
+        found = _edges(runs, which).join(known, ["x", "y"]).where("doc_id > source_id")
         marked.append(write_table(found.select("doc_id", "place", "source_id", "at", "first")))
         release_shuffles(spark)
     drop_table(runs)
@@ -240,12 +310,10 @@ def repeated_spans(docs: DataFrame, *, span: int = 13, seed: int = 5, slices: in
         marks = marks.union(part)
     # Edges that follow each other in the document and in the source are on one path until a first one comes.
     # Rows that repeat a doc_id may have an edge at the same place; it counts once.
-    line = Window.partitionBy("doc_id", "source_id", "shift").orderBy("place")
-    marks = marks.select("doc_id", "place", "source_id", (F.col("at") - F.col("place")).alias("shift"), "first")
-    upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marks = marks.select("doc_id", "source_id", "shift", "place", (F.col("place") - F.dense_rank().over(line)).alias("island"), F.sum(F.col("first").cast("int")).over(upto).alias("path"))
-    spans = marks.groupBy("doc_id", "source_id", "shift", "island", "path").agg(F.min("place").alias("place"), F.max("place").alias("end"))
-    spans = write_table(spans.select("doc_id", "place", (F.col("end") - F.col("place") + 1).alias("length"), "source_id", (F.col("place") + F.col("shift")).alias("at")))
+    line = ["doc_id", "source_id", "shift"]
+    marks = marks.select("doc_id", "source_id", (F.col("at") - F.col("place")).alias("shift"), "place", "first")
+    marks = marks.repartition(*line).sortWithinPartitions(*line, "place")
+    spans = write_table(marks.mapInArrow(_spans, "doc_id long, place int, length int, source_id long, at int"))
     for part in marked:
         drop_table(part)
     release_shuffles(spark)

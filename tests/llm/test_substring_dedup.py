@@ -110,3 +110,38 @@ def test_compaction_against_walks(spark):
     want = brute_paths([e[:2] for e in edges])
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
     assert max(map(len, want.values())) > 30
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from pyspark.sql import functions as F
+
+    from rasterloom.llm.common import write_table
+
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(found.size()) if "shuffle" in (name := found.apply(i).getName())}
+
+    before = files()
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert sorted(r["count"] for r in write_table(counts).collect())[-1] == 143
+    assert not files() - before
+
+
+def test_spans_do_not_depend_on_batches():
+    import pyarrow as pa
+
+    from rasterloom.llm.substring_dedup import _spans
+
+    r = random.Random(2)
+    rows = sorted((r.randrange(3), r.randrange(2), r.randrange(2), r.randrange(25), r.random() < 0.15) for _ in range(150))
+    want = []
+    for i, (*line, place, first) in enumerate(rows):
+        if i and rows[i - 1][:3] == (*line,) and place <= rows[i - 1][3] + 1 and not first:
+            want[-1][2] = place - want[-1][1] + 1
+        else:
+            want.append([line[0], place, 1, line[1], place + line[2]])
+    schema = pa.schema([("doc_id", pa.int64()), ("source_id", pa.int64()), ("shift", pa.int32()), ("place", pa.int32()), ("first", pa.bool_())])
+    whole = pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+    for size in (1, 2, 7, 150):
+        cuts = [whole.slice(0, 0), *(whole.slice(at, size) for at in range(0, 150, size))]
+        assert [list(x.values()) for b in _spans(iter(cuts)) for x in b.to_pylist()] == want
