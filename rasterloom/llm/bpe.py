@@ -23,6 +23,7 @@ from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -95,19 +96,20 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Ids of one word: join the pair of lowest rank, leftmost first, until none is left."""
-        byte_ids, ranks = self.byte_ids, self.ranks
-        ids = [byte_ids[b] for b in word]
+        rank, made = self.ranks.get, self.made
+        ids = list(map(self.byte_ids.__getitem__, word))
         if len(ids) > 64:
             return self._merge_long(ids)
-        row = [ranks.get(pair, NEVER) for pair in zip(ids, ids[1:])]
-        while row and (best := min(row)) != NEVER:
+        row = list(map(rank, zip(ids, ids[1:]), repeat(NEVER)))
+        row.append(NEVER)  # the last id has none behind it
+        while (best := min(row)) != NEVER:
             k = row.index(best)
-            ids[k] = new = self.made[best]
+            ids[k] = new = made[best]
             del ids[k + 1], row[k]
-            if k < len(row):
-                row[k] = ranks.get((new, ids[k + 1]), NEVER)
+            if k < len(row) - 1:
+                row[k] = rank((new, ids[k + 1]), NEVER)
             if k:
-                row[k - 1] = ranks.get((ids[k - 1], new), NEVER)
+                row[k - 1] = rank((ids[k - 1], new), NEVER)
         return tuple(ids)
 
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:

@@ -75,6 +75,10 @@ def compile_transducer(entries: Iterable[tuple[bytes, tuple[int, ...]]]) -> byte
     return head + b"".join(parts)
 
 
+#: Bytes of a word by which the way into the transducer is kept, and how many such ways.
+HEAD, HEADS = 3, 1 << 16
+
+
 class Transducer:
     """Lookup in a memory-mapped file of :func:`compile_transducer`."""
 
@@ -89,25 +93,37 @@ class Transducer:
         for n in (n_states + 1, n_arcs, n_arcs, self.n_words + 1, n_ids):
             self._views.append(view[at : at + 4 * n].cast("I"))
             at += 4 * n
-        self._label = view[at : at + n_arcs]
+        self._label = bytes(view[at : at + n_arcs])  # a few hundred kB, searched by ``bytes.find``
+        #: Where words that begin alike go on: state and number after their first HEAD bytes, a negative state if no word does.
+        self._heads: dict[bytes, tuple[int, int]] = {}
         self._final = view[at + n_arcs : at + n_arcs + n_states]
         self.n_states = n_states
 
-    def lookup(self, word: bytes) -> tuple[int, ...] | None:
-        first, target, skip, offsets, ids = self._views
-        state, index, label = self._root, 0, self._label
+    def _walk(self, state: int, index: int, word: bytes) -> tuple[int, int]:
+        """State and number after the bytes of ``word``; a negative state if there is no way."""
+        first, target, skip = self._views[:3]
+        find = self._label.find
         for c in word:
-            lo, hi = first[state], first[state + 1]
-            while lo < hi:
-                mid = (lo + hi) >> 1
-                if label[mid] < c:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            if lo == first[state + 1] or label[lo] != c:
-                return None
-            index += skip[lo]
-            state = target[lo]
+            arc = find(c, first[state], first[state + 1])
+            if arc < 0:
+                return -1, 0
+            index += skip[arc]
+            state = target[arc]
+        return state, index
+
+    def lookup(self, word: bytes) -> tuple[int, ...] | None:
+        head = word[:HEAD]
+        begin = self._heads.get(head)
+        if begin is None:
+            begin = self._walk(self._root, 0, head)
+            if len(self._heads) < HEADS:
+                self._heads[head] = begin
+        if begin[0] < 0:
+            return None
+        state, index = self._walk(*begin, word[HEAD:])
+        if state < 0:
+            return None
+        offsets, ids = self._views[3:]
         if not self._final[state]:
             return None
         return tuple(ids[offsets[index] : offsets[index + 1]])

@@ -91,3 +91,19 @@ def test_round_trip_takes_one_worker_a_task(spark, tmp_path):
     both = bpe.round_trip(docs, tokenizer_path())
     apart = bpe.decode(bpe.encode(docs, tokenizer_path()), tokenizer_path())
     assert sorted(both.collect()) == sorted(apart.select("doc_id", "ids", "text").collect())
+
+
+@pytest.mark.parametrize("most", [0, 1, 1 << 16])
+def test_ways_into_the_transducer_are_kept_and_change_nothing(tmp_path, monkeypatch, most):
+    from rasterloom.llm import lexicon as m
+
+    monkeypatch.setattr(m, "HEADS", most)
+    r = random.Random(3)
+    word = lambda: bytes(r.choice(b" abc\x00\xff") for _ in range(r.randrange(1, 8)))
+    known = {word(): tuple(r.randrange(50_000) for _ in range(r.randrange(1, 4))) for _ in range(400)}
+    path = tmp_path / "words.mast"
+    path.write_bytes(m.compile_transducer(sorted(known.items())))
+    words = m.Transducer(str(path))
+    for w in [*known, *(word() for _ in range(2000)), b"", b"a", b"zzzz", *known]:
+        assert words.lookup(w) == known.get(w)
+    assert len(words._heads) <= most
