@@ -40,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -153,21 +154,27 @@ def node_runs(docs: DataFrame, seeds: list[DataFrame], span: int, seed: int, has
                 hashed, upto = hashes.words(data, offsets)
                 least, ends = _minimizers(hashed, upto, span, seed)
                 nodes, node_ends = hashes.nodes(hashed, upto, span)
-                out = []
+                keep = np.zeros(len(least), bool)
                 for i in range(rows.num_rows):
-                    wanted = seeds_of[done + i].values.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                    keep = np.isin(least[ends[i] : ends[i + 1]], wanted)
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], keep, [0]])))
-                    out += [(i, a, nodes[node_ends[i] + a : node_ends[i] + b + 1]) for a, b in edges.reshape(-1, 2)]
+                    if ends[i] < ends[i + 1]:
+                        wanted = seeds_of[done + i].values.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                        keep[ends[i] : ends[i + 1]] = np.isin(least[ends[i] : ends[i + 1]], wanted)
                 done += rows.num_rows
-                which = pa.array([x[0] for x in out], pa.int64())
-                lists = np.cumsum([0, *(len(x[2]) for x in out)], dtype=np.int32)
-                flat = np.concatenate([x[2] for x in out]).view(np.int64) if out else np.zeros(0, np.int64)
+                # Runs of windows kept, none across rows.
+                edge = np.zeros(len(least) + 1, bool)
+                edge[ends] = True
+                begins = np.flatnonzero(keep & (edge[:-1] | ~np.concatenate([[False], keep[:-1]])))
+                stops = np.flatnonzero(keep & (edge[1:] | ~np.concatenate([keep[1:], [False]]))) + 1
+                which = np.searchsorted(ends, begins, "right") - 1
+                place = begins - ends[which]
+                sizes = stops - begins + 1  # a window more has a node more
+                lists = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                flat = nodes[np.arange(lists[-1]) + np.repeat(node_ends[which] + place - lists[:-1], sizes)].view(np.int64)
                 # Each node of a run begins an edge, but the last one.
                 dealt, at = _dealt(flat ^ np.append(flat[1:], 0), slices), np.arange(len(flat), dtype=np.int32) - np.repeat(lists[:-1], np.diff(lists))
                 dealt[lists[1:] - 1] = -1
                 yield pa.record_batch(
-                    [rows.column(0).take(which), pa.array([x[1] for x in out], pa.int32()), pa.ListArray.from_arrays(lists, pa.array(flat)), *(_lists(at, lists, dealt == w) for w in range(slices))],
+                    [rows.column(0).take(pa.array(which)), pa.array(place, pa.int32()), pa.ListArray.from_arrays(lists, pa.array(flat)), *(_lists(at, lists, dealt == w) for w in range(slices))],
                     ["doc_id", "place", "nodes", *names])
 
     wanted = seeds[0]
@@ -312,7 +319,9 @@ def repeated_spans(docs: DataFrame, *, span: int = 13, seed: int = 5, slices: in
     # Rows that repeat a doc_id may have an edge at the same place; it counts once.
     line = ["doc_id", "source_id", "shift"]
     marks = marks.select("doc_id", "source_id", (F.col("at") - F.col("place")).alias("shift"), "place", "first")
-    marks = marks.repartition(*line).sortWithinPartitions(*line, "place")
+    # One number is sorted by radix: half of the line's hash and the place.  Lines that share that half in a task come mixed, which only cuts spans shorter.
+    key = F.shiftleft(F.xxhash64(*line), 32).bitwiseOR(F.col("place").cast("long"))
+    marks = marks.repartition(*line).withColumn("key", key).sortWithinPartitions("key").drop("key")
     spans = write_table(marks.mapInArrow(_spans, "doc_id long, place int, length int, source_id long, at int"))
     for part in marked:
         drop_table(part)
@@ -352,19 +361,23 @@ def _apply(docs: DataFrame, spans: DataFrame, span: int, digest: bool) -> DataFr
         claim_worker("substring_dedup")
         for batch in batches:
             out: list[tuple] = []
-            for d, t, found in zip(*(batch.column(i) for i in range(3)), strict=True):
+            lists = batch.column(2)
+            places, lengths, digests = (lists.flatten().field(name).to_pylist() for name in ("place", "length", "words"))
+            upto = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).tolist()
+            for d, t, first, last in zip(batch.column(0), batch.column(1), upto, upto[1:], strict=False):
                 parts = (t.as_py() or "").encode().split()  # of bytes: at the six ASCII spaces only
                 n, kept, failed = len(parts), parts, 0
-                if found.is_valid:
-                    gone = np.zeros(n + 1, np.int64)
-                    for x in found.as_py():
-                        end = x["place"] + x["length"] + span - 1
-                        if end <= n and _digest(parts[x["place"] : end]) == x["words"]:
-                            gone[x["place"]] += 1
-                            gone[end] -= 1
+                if first < last:
+                    begins, ends = [], []
+                    for place, length, words_there in zip(places[first:last], lengths[first:last], digests[first:last], strict=True):
+                        end = place + length + span - 1
+                        if end <= n and _digest(parts[place:end]) == words_there:
+                            begins.append(place)
+                            ends.append(end)
                         else:
                             failed += 1
-                    kept = [parts[i] for i in np.flatnonzero(np.cumsum(gone[:-1]) == 0)]
+                    gone = np.bincount(np.array(begins, np.int64), minlength=n + 1) - np.bincount(np.array(ends, np.int64), minlength=n + 1)
+                    kept = [parts[i] for i in np.flatnonzero(np.cumsum(gone[:-1]) == 0).tolist()]
                 left = b" ".join(kept)
                 out.append((d.as_py(), n, n - len(kept), hashlib.sha256(left).hexdigest() if digest else left.decode(), failed))
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
