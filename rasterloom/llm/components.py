@@ -122,10 +122,14 @@ def cluster(
        takes the place of ``compatible``, so that what cannot be a link never becomes a row.
     """
     member = F.struct("id", *extra)
+    met: list[DataFrame] = []
 
     def meet(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
         pairs = left.join(right, condition).select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
-        return write_table(verify(write_table(pairs)).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        for earlier in met:  # what was no link when it was verified is none now
+            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+        met.append(write_table(pairs))
+        return write_table(verify(met[-1]).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     def labelled(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Members with their classes, of keys with several; and of those keys the largest class and how many are outside."""
@@ -161,7 +165,9 @@ def cluster(
             many = keys.where(F.col("others") > few)
             known = write_table(deep(postings.join(many.select("key"), "key", "left_semi").select("id")))
             # Flat columns: a condition reads them at once, those of a struct anew for each mention.
-            own, other = (known.select(*[F.col(c).alias(f"{side}_{c}") for c in known.columns]) for side in "xy")
+            # Numbers are told to be no nulls, which a table read from files doesn't know: each test for one is code in the condition.
+            sure = lambda c: F.coalesce(c, F.lit(0).cast("long")) if known.schema[c].dataType.typeName() == "long" else F.col(c)
+            own, other = (known.select(*[sure(c).alias(f"{side}_{c}") for c in known.columns]) for side in "xy")
             # Their pairs are dealt by hand: rows with these columns are large, and adaptive execution would cut both sides
             # of a skewed key into pieces of a size and make a task of every two.  A grid of ``down`` by ``along`` cells
             # has each pair of a key in one cell, with about PAIRS_A_CELL pairs in each.

@@ -30,6 +30,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from fractions import Fraction
+from functools import reduce
+from operator import or_
 from random import Random
 
 from pyspark.sql import Column, DataFrame
@@ -39,8 +41,12 @@ from .common import drop_table, few, fresh_name, release_shuffles, write_table
 from .components import cluster
 
 FEED = "\n"
+#: What is taken off the ends of a line.
+BLANK = " \t\r\x0b\x0c"
 #: Longs in the bitmap of a line's shingles; with 32 the conditions of a join grow beyond what the JVM compiles.
 BITMAP = 16
+#: Longs in the bitmap of a line in a key of many, where few lines are left: each a column of its own.
+DEEP = 48
 #: Rows of a table of a few numbers that is broadcast to all lines or documents instead of shuffling those: 20 MB or so.
 FEW = 300_000
 #: Bytes of a character as ``encode`` writes it: fixed, so that any shingle is found at once.
@@ -49,8 +55,10 @@ WIDE, CODE = 4, "UTF-32"
 RUN = 4
 
 
-def _trimmed(line: Column) -> Column:
-    return F.trim(line, F.lit(" \t\r\x0b\x0c"))
+def trimmed(line: Column) -> Column:
+    """``line`` without white space at its ends; few lines have any, and a trim by a set of characters looks at all of a line."""
+    odd = reduce(or_, [line.startswith(F.lit(c)) | line.endswith(F.lit(c)) for c in BLANK])
+    return F.when(odd, F.trim(line, F.lit(BLANK))).otherwise(line)
 
 
 def _places(wide: Column, k: int) -> Column:
@@ -62,10 +70,14 @@ def _shingle(wide: Column, place: Column, k: int) -> Column:
     return F.xxhash64(F.substring(wide, place, F.lit(WIDE * k)))
 
 
+def _runs(line: Column, k: int) -> Column:
+    """Hashes of all runs of k characters, repeated ones too."""
+    return _let(F.encode(line, CODE), lambda wide: F.transform(_places(wide, k), lambda at: _shingle(wide, at, k)))
+
+
 def shingles(line: Column, k: int) -> Column:
     """Hashes of all distinct runs of k characters; of the whole line if it is shorter."""
-    every = _let(F.encode(line, CODE), lambda wide: F.transform(_places(wide, k), lambda at: _shingle(wide, at, k)))
-    return F.array_distinct(every)
+    return F.array_distinct(_runs(line, k))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -73,6 +85,11 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _lower(a: Column, b: Column) -> Column:
+    # Not F.least: which of two hashes is lower can't be predicted, and only a plain choice compiles to code without a jump.
+    return F.call_function("if", a < b, a, b)
+
+
 def signatures(lines: DataFrame, *, k: int, rows: int, bands: int) -> DataFrame:
     """(h1, h2, keys): the band keys of each distinct line of ``lines`` (h1, h2, line)."""
     random = Random(31)
@@ -81,18 +98,38 @@ def signatures(lines: DataFrame, *, k: int, rows: int, bands: int) -> DataFrame:
     wide = wide.select("h1", "h2", "wide", F.greatest(F.length("wide") - WIDE * k + 1, F.lit(1)).alias("last"))
     # RUN shingles a row, so that a row's way into the aggregation is paid for once; behind the last one that one again, which changes no minimum.
     each = wide.select("h1", "h2", "wide", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(WIDE * RUN))).alias("at"))
-    run = [_shingle(F.col("wide"), F.least(F.col("at") + WIDE * j, F.col("last")), k).alias(f"g{j}") for j in range(RUN)]
+    run = [_shingle(F.col("wide"), _lower(F.col("at") + WIDE * j, F.col("last")), k).alias(f"g{j}") for j in range(RUN)]
     each = each.select("h1", "h2", *run)
-    lowest = lambda mask: F.min(F.least(*[F.col(f"g{j}").bitwiseXOR(mask) for j in range(RUN)]))
-    least = each.groupBy("h1", "h2").agg(*[lowest(mask).alias(f"m{j}") for j, mask in enumerate(masks)])
+    # The lowest of a row's RUN hashes under each mask, by two and two: a projection a round, as its columns are worked out once.
+    low = [[F.col(f"g{j}").bitwiseXOR(mask) for j in range(RUN)] for mask in masks]
+    while len(low[0]) > 1:
+        pairs = [[_lower(*x[at : at + 2]) if at + 1 < len(x) else x[at] for at in range(0, len(x), 2)] for x in low]
+        names = [[f"m{m}_{at}" for at in range(len(x))] for m, x in enumerate(pairs)]
+        each = each.select("h1", "h2", *[c.alias(n) for x, y in zip(pairs, names) for c, n in zip(x, y)])
+        low = [[F.col(n) for n in x] for x in names]
+    least = each.groupBy("h1", "h2").agg(*[F.min(x[0]).alias(f"m{m}") for m, x in enumerate(low)])
     keys = [F.xxhash64(*[f"m{rows * b + r}" for r in range(rows)]) for b in range(bands)]
     return least.select("h1", "h2", F.array(*keys).alias("keys"))
 
 
-def bitmap() -> list[Column]:
-    """Aggregates of the column h: a bit for each hash."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("h", 16).bitwiseAND(63).cast("int"))
-    return [F.coalesce(F.bit_or(F.when(F.col("h").bitwiseAND(BITMAP - 1) == w, bit)), F.lit(0).cast("long")) for w in range(BITMAP)]
+def marked(lines: DataFrame, k: int, words: int) -> DataFrame:
+    """(id, n, ones, b0, b1, ...): of each of ``lines`` (id, line) the number of shingles and a bitmap of them, of so many ``words``, with the number of its ones."""
+    # BITMAP words an aggregation: with more of them it grows beyond what the JVM compiles.
+    parts = [_marked(lines, k, words, range(at, min(at + BITMAP, words))) for at in range(0, words, BITMAP)]
+    maps = reduce(lambda a, b: a.join(b.drop("n"), "id"), parts)
+    names = [f"b{w}" for w in range(words)]
+    return maps.select("id", "n", sum((F.bit_count(b) for b in names), F.lit(0)).cast("long").alias("ones"), *names)
+
+
+def _marked(lines: DataFrame, k: int, words: int, some: range) -> DataFrame:
+    sets = lines.select("id", shingles(F.col("line"), k).alias("s"))
+    rows = sets.select("id", "s", F.size("s").alias("n"), F.explode(F.sequence(F.lit(0), F.size("s") - 1, F.lit(RUN))).alias("at"))
+    rows = rows.select("id", "n", *[F.col("s")[_lower(F.col("at") + j, F.col("n") - 1)].alias(f"h{j}") for j in range(RUN)])
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(f"h{j}", 16).bitwiseAND(63).cast("int")).alias(f"t{j}") for j in range(RUN)]
+    rows = rows.select("id", "n", *[F.pmod(f"h{j}", F.lit(words)).alias(f"w{j}") for j in range(RUN)], *bits)
+    none = F.lit(0).cast("long")
+    word = lambda w: reduce(Column.bitwiseOR, [F.call_function("if", F.col(f"w{j}") == w, F.col(f"t{j}"), none) for j in range(RUN)])
+    return rows.groupBy("id").agg(F.max("n").cast("long").alias("n"), *[F.coalesce(F.bit_or(word(w)), none).alias(f"b{w}") for w in some])
 
 
 def _packed(place: Column, h1: Column) -> Column:
@@ -110,7 +147,7 @@ def gone_lines(
     part, whole = least.numerator, least.denominator
     pick = F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")
     exploded = docs.select(*pick).where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", FEED)).alias("place", "line"))
-    exploded = exploded.withColumn("line", _trimmed(F.col("line"))).where("line <> ''")
+    exploded = exploded.withColumn("line", trimmed(F.col("line"))).where("line <> ''")
     exploded = exploded.select("doc_id", "place", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
     # 1. Places of all lines, band keys of distinct ones.
     lines = write_table(exploded.drop("line"))
@@ -131,10 +168,11 @@ def gone_lines(
     same = (F.col("doc_id") == F.col("_d")) & (F.col("place") == F.col("_p")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
     texts = write_table(exploded.join(where, same).groupBy("id").agg(F.first("line").alias("line")))
     release_shuffles(spark)
-    each = texts.select("id", F.explode(shingles(F.col("line"), k)).alias("h"))
-    marks = write_table(each.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.array(*bitmap()).alias("bits")))
+    marks = write_table(marked(texts, k, BITMAP).select("id", "n", "ones", F.array(*[f"b{w}" for w in range(BITMAP)]).alias("bits")))
+    plain, texts = texts, write_table(texts.join(marks.select("id", "n"), "id"))
+    drop_table(plain)
     postings = found.join(some.select("id", "h1", "h2"), ["h1", "h2"]).select("key", "id")
-    postings = write_table(postings.join(marks, "id").select("key", "id", "n", "bits"))
+    postings = write_table(postings.join(marks, "id").select("key", "id", "n", "bits", "ones"))
     drop_table(found)
     release_shuffles(spark)
 
@@ -143,38 +181,42 @@ def gone_lines(
     def near(lacking: Column, na: Column, nb: Column) -> Column:
         return lacking * (whole + part) <= (na + nb) * (whole - part)
 
-    def others(a: str, b: str) -> Column:
-        """Bits of a that b lacks: each stands for another shingle."""
-        return sum((F.bit_count(F.col(f"{a}.bits")[w].bitwiseAND(F.bitwise_not(F.col(f"{b}.bits")[w]))) for w in range(BITMAP)), F.lit(0))
-
     def sizes(na: Column, nb: Column) -> Column:
         return (na * whole >= nb * part) & (nb * whole >= na * part)
 
+    def enough(both: Column, one: Column, na: Column, other: Column, nb: Column) -> Column:
+        """Whether ``both`` bits in common of ``one`` and ``other`` leave few enough alone: each of those stands for a shingle that the other side lacks."""
+        a, b = 2 * one - na + nb, 2 * other - nb + na
+        return near(F.call_function("if", a < b, b, a) - 2 * both, na, nb)
+
+    def common(a: list[Column], b: list[Column]) -> Column:
+        return sum((F.bit_count(x.bitwiseAND(y)) for x, y in zip(a, b)), F.lit(0))
+
     def compatible(a: str, b: str) -> Column:
         na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-        return sizes(na, nb) & near(2 * others(a, b) + nb - na, na, nb) & near(2 * others(b, a) + na - nb, na, nb)
+        both = common(*[[F.col(f"{c}.bits")[w] for w in range(BITMAP)] for c in (a, b)])
+        return sizes(na, nb) & enough(both, F.col(f"{a}.ones"), na, F.col(f"{b}.ones"), nb)
 
     def deep_compatible(a: str, b: str) -> Column:
-        """Sharper bounds, by other bits and then by the lowest 16 bits of all hashes."""
+        """Sharper bounds: by the bits and then by the lowest 16 bits of all hashes.  What is longer than this is not compiled by the JVM."""
         na, nb, sa, sb = F.col(f"{a}_n"), F.col(f"{b}_n"), F.col(f"{a}_low"), F.col(f"{b}_low")
-        alone = lambda a, b: sum((F.bit_count(F.col(f"{a}_b{w}").bitwiseAND(F.bitwise_not(F.col(f"{b}_b{w}")))) for w in range(BITMAP)), F.lit(0))
-        by_bits = near(2 * alone(a, b) + nb - na, na, nb) & near(2 * alone(b, a) + na - nb, na, nb)
+        both = common(*[[F.col(f"{c}_b{w}") for w in range(DEEP)] for c in (a, b)])
+        by_bits = enough(both, F.col(f"{a}_ones"), na, F.col(f"{b}_ones"), nb)
         return sizes(na, nb) & by_bits & near(F.size(sa) + F.size(sb) - 2 * F.size(F.array_intersect(sa, sb)), na, nb)
 
     def deep(ids: DataFrame) -> DataFrame:
-        some = texts.join(ids.distinct(), "id", "left_semi")
-        each = some.select("id", F.explode(shingles(F.col("line"), k)).alias("h"))
-        low = F.collect_set(F.col("h").bitwiseAND(0xFFFF).cast("int"))
-        return each.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *[b.alias(f"b{w}") for w, b in enumerate(bitmap())], low.alias("low"))
+        some = texts.join(ids.distinct(), "id", "left_semi").select("id", "line")
+        low = F.array_distinct(F.transform(shingles(F.col("line"), k), lambda h: h.bitwiseAND(0xFFFF).cast("int")))
+        return marked(some, k, DEEP).join(some.select("id", low.alias("low")), "id")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        one = texts.select(F.col("id").alias("a"), F.col("line").alias("la"))
-        two = texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
-        sets = pairs.join(one, "a").join(two, "b").select("a", "b", shingles(F.col("la"), k).alias("sa"), shingles(F.col("lb"), k).alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        return sets.where(both * (whole + part) >= part * (F.size("sa") + F.size("sb"))).select("a", "b")
+        one = texts.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("n").alias("na"))
+        two = one.select(F.col("a").alias("b"), F.col("la").alias("lb"), F.col("na").alias("nb"))
+        sets = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", _runs(F.col("la"), k).alias("ra"), _runs(F.col("lb"), k).alias("rb"))
+        both = F.size(F.array_intersect("ra", "rb"))
+        return sets.where(both * (whole + part) >= part * (F.col("na") + F.col("nb"))).select("a", "b")
 
-    classes = cluster(postings, verify, order=F.struct("id"), compatible=compatible, extra=("n", "bits"), deep=deep, deep_compatible=deep_compatible)
+    classes = cluster(postings, verify, order=F.struct("id"), compatible=compatible, extra=("n", "bits", "ones"), deep=deep, deep_compatible=deep_compatible)
     # A line goes if it isn't the first of its class; equal lines are a class, too.
     named = classes.join(some.select("id", "h1", "h2"), "id").select("h1", "h2", "component")
     named = write_table(named)
@@ -202,12 +244,14 @@ def dedup_lines(
     small = n <= FEW and numbers <= 8 * FEW
     places = (F.broadcast(places) if small else places).select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
     rows = docs.join(places, F.col(f"`{doc_id}`").cast("long") == F.col(key), "left")
-    lines = F.split(F.col(f"`{text}`"), FEED)
-    marked = F.transform(lines, lambda line, at: _packed(at, F.xxhash64(_trimmed(line))))
-    stay = F.array_except(marked, F.col(gone))
-    kept = _let(lines, lambda lines: F.transform(stay, lambda x: lines[F.shiftright(x, 32).cast("int")]))
-    changed = F.when(F.col(gone).isNull() | F.col(f"`{text}`").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, FEED))
+    # A projection a step, as each of its columns is worked out once: only texts with lines to drop are split.
+    split, stay = fresh_name(docs, "dedup_lines"), fresh_name(docs, "dedup_stay")
+    rows = rows.select("*", F.when(F.col(gone).isNotNull(), F.split(F.col(f"`{text}`"), FEED)).alias(split))
+    marks = F.transform(split, lambda line, at: _packed(at, F.xxhash64(trimmed(line))))
+    rows = rows.select("*", F.array_except(marks, F.col(gone)).alias(stay))
+    kept = F.transform(stay, lambda x: F.col(split)[F.shiftright(x, 32).cast("int")])
+    changed = F.when(F.col(stay).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, FEED))
     columns = [changed.alias(c) if c.lower() == text.lower() else F.col(f"`{c}`") for c in docs.columns]
     if dropped:
-        columns.append(F.when(F.col(gone).isNull() | F.col(f"`{text}`").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(stay)).cast("long").alias(dropped))
+        columns.append(F.when(F.col(stay).isNull(), F.lit(0)).otherwise(F.size(split) - F.size(stay)).cast("long").alias(dropped))
     return rows.select(*columns)

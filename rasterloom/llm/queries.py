@@ -30,7 +30,7 @@ def op2_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines (non-blank, before), n_removed, kept_sha256 of the text that stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(" \t\r\x0b\x0c")) != "")).cast("long")
+    lines = F.size(F.filter(F.split("text", "\n"), lambda x: line_dedup.trimmed(x) != "")).cast("long")
     out = line_dedup.dedup_lines(docs.withColumn("n_lines", F.coalesce(lines, F.lit(0).cast("long"))), dropped="n_removed")
     kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return out.select("doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))

@@ -216,3 +216,48 @@ def test_signing_several_shingles_a_row_changes_no_key(spark, monkeypatch, run):
     least = [lowest(mask) for mask in masks]
     plain = df.withColumn("s", m.shingles(F.col("line"), 10)).select("h1", F.array(*[F.xxhash64(*least[3 * b : 3 * b + 3]) for b in range(7)]).alias("keys"))
     assert {r.h1: r["keys"] for r in m.signatures(df, k=10, rows=3, bands=7).collect()} == {r.h1: r["keys"] for r in plain.collect()}
+
+
+def test_no_pair_is_verified_twice(spark):
+    """Members that were no link of their key's pivot met it again with those of other classes."""
+    from pyspark.sql import functions as F
+
+    from rasterloom.llm import components as c
+
+    seen = []
+
+    def verify(pairs):
+        seen.extend((r.a, r.b) for r in pairs.collect())
+        return pairs.where("a % 3 = b % 3")
+
+    postings = spark.range(60).select(F.explode(F.array(F.lit(1000), F.col("id") % 4)).alias("key"), "id")
+    got = c.cluster(postings, verify, order=F.struct("id"), compatible=lambda a, b: F.lit(True))
+    assert {r.id: r.component for r in got.collect()} == {i: i % 3 for i in range(60)}
+    assert len(seen) == len(set(seen))
+
+
+def test_only_white_space_at_the_ends_is_taken_off(spark):
+    from pyspark.sql import functions as F
+
+    from rasterloom.llm import line_dedup as m
+
+    lines = ["", " ", "\t\r\x0b\x0c ", "a", " a", "a\t", "\x0ba b\x0c", "\u3000a\u00a0", "\r漢 字\r\r", "🙂 "]
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select(m.trimmed(F.col("line")).alias("x")).collect()
+    assert [r.x for r in got] == [x.strip(m.BLANK) for x in lines]
+
+
+@pytest.mark.parametrize("words", [16, 48])
+def test_bitmap_has_a_bit_for_each_shingle(spark, words):
+    from pyspark.sql import functions as F
+
+    from rasterloom.llm import line_dedup as m
+
+    lines = ["short", "abcdefghijklmnopqrstuvwxyz" * 3, "漢字🙂 é" * 9, *("0123456789abcdefg"[:n] for n in range(9, 17))]
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    got = {r.id: r for r in m.marked(df, 10, words).collect()}
+    for r in df.select("id", m.shingles(F.col("line"), 10).alias("s")).collect():
+        want = [0] * words
+        for h in r.s:
+            want[h % words] |= 1 << (h >> 16 & 63)
+        assert [got[r.id][f"b{w}"] % (1 << 64) for w in range(words)] == want
+        assert (got[r.id].n, got[r.id].ones) == (len(set(r.s)), sum(x.bit_count() for x in want))
