@@ -27,6 +27,16 @@ RESULT = T.StructType([T.StructField("bytes", T.BinaryType()), *_SIZE])
 SIZE = T.StructType(_SIZE)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Narrow rows dealt over all cores, before each becomes an image.
+
+    Spark cuts files into tasks by their bytes, so a file of millions of numbers is one task, whatever is made of a row.
+    """
+    spark = rows.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks)
+
+
 # ---- pixels ----
 
 
@@ -45,20 +55,23 @@ def draw(canvas: np.ndarray, layer: np.ndarray, src: tuple, dst: tuple, truncate
     if dw <= 0 or dh <= 0 or sw <= 0 or sh <= 0:
         return
     h, w = canvas.shape[:2]
-    xs = np.arange(max(0, math.floor(dx)), min(w, math.ceil(dx + dw)))
-    ys = np.arange(max(0, math.floor(dy)), min(h, math.ceil(dy + dh)))
-    if not len(xs) or not len(ys):
+    x0, x1 = max(0, math.floor(dx)), min(w, math.ceil(dx + dw))
+    y0, y1 = max(0, math.floor(dy)), min(h, math.ceil(dy + dh))
+    if x0 >= x1 or y0 >= y1:
         return
+    xs, ys = np.arange(x0, x1), np.arange(y0, y1)
     # Cell centres keep within the rectangle for unrounded ones; for whole numbers this is floor(k * sw / dw).
     from_x = np.floor(sx + np.maximum(0, xs - dx) * sw / dw).astype(int).clip(0, layer.shape[1] - 1)
     from_y = np.floor(sy + np.maximum(0, ys - dy) * sh / dh).astype(int).clip(0, layer.shape[0] - 1)
-    above = with_alpha(layer)[np.ix_(from_y, from_x)].astype(np.float64)
-    spot = np.ix_(ys, xs)
-    below = canvas[spot].astype(np.float64)
+    above, spot = layer[from_y[:, None], from_x], canvas[y0:y1, x0:x1]
+    if above.shape[2] == 3 or (above[:, :, 3] == 255).all():  # nothing shines through
+        spot[:, :, :3], spot[:, :, 3] = above[:, :, :3], 255
+        return
+    above, below = above.astype(np.float64), spot.astype(np.float64)
     a, b = above[:, :, 3:] / 255, below[:, :, 3:] / 255
     out = a + b * (1 - a)
     color = np.where(out > 0, (above[:, :, :3] * a + below[:, :, :3] * b * (1 - a)) / np.where(out > 0, out, 1), 0)
-    canvas[spot] = np.floor(np.dstack([color, out * 255]) + 0.5).astype(np.uint8)
+    spot[:] = np.floor(np.dstack([color, out * 255]) + 0.5).astype(np.uint8)
 
 
 def _half_up(x: float) -> int:

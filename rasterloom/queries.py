@@ -455,7 +455,7 @@ def q40_own_conversion(spark, sf_dir):
 def q41_jpg_pixels(spark, sf_dir):
     """Flat JPG pictures, decoded, resized to 3 x 2, and their sizes by full decoding."""
     k = F.col("p_partkey")
-    flat = _table(spark, sf_dir, "part").select("p_partkey", P.flat_jpg(k % 256, k % 23 + 1, k % 11 + 1).alias("bytes"))
+    flat = P.spread(_table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", P.flat_jpg(k % 256, k % 23 + 1, k % 11 + 1).alias("bytes"))
     sized = P.image_meta(flat, mode="strict")
     out = P.resize_images(sized, width=F.lit(3), height=F.lit(2))
     return out.select("p_partkey", F.col("meta.width").alias("width"), F.col("meta.height").alias("height"), P.first_channel(F.col("image.bytes")).alias("px"), F.col("meta.encoding.kind").alias("kind"))

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.operators import codec
-from rasterloom.operators.compose import image_meta, resize_images
+from rasterloom.operators import codec, jpg_reader
+from rasterloom.operators.compose import draw, image_meta, resize_images, with_alpha
+from rasterloom.queries import QUERIES
 
 
 def java_jpg(spark, pixels, quality=0.9, progressive=False, gray=False):
@@ -90,3 +91,69 @@ def test_resizing_a_progressive_file(spark):
             (image,) = (r.image for r in resize_images(files, width=F.lit(width), height=F.lit(height), crop=cut, kind=kind).collect())
             assert image.error is None and (image.width, image.height) == want
             assert codec.decode(bytes(image.bytes)).shape[:2] == want[::-1]
+
+
+def test_code_tables_are_as_long_as_their_codes_and_kept():
+    """A file of few short codes must not cost a table of 65,536 entries each."""
+    rng = np.random.default_rng(5)
+    for longest in (0, 1, 3, 9, 16):
+        counts, room = [0] * 16, 1
+        for size in range(1, longest + 1):
+            room *= 2
+            counts[size - 1] = 1 if size == longest else min(room - 1, 15, int(rng.integers(0, 2)))
+            room -= counts[size - 1]
+        symbols = bytes(rng.integers(0, 256, sum(counts)).tolist())
+        wide, table = jpg_reader._lookup(bytes(counts), symbols)
+        assert wide == longest and len(table) == 1 << longest
+        assert jpg_reader._lookup(bytes(counts), symbols)[1] is table
+        code, left, want = 0, iter(symbols), {}
+        for size in range(1, 17):
+            for _ in range(counts[size - 1]):
+                want[f"{code:0{size}b}"] = size << 8 | next(left)
+                code += 1
+            code <<= 1
+        for i, got in enumerate(table):
+            bits = f"{i:0{longest}b}" if longest else ""
+            assert got == next((v for c, v in want.items() if bits.startswith(c)), 0)
+    for counts in (bytes([3] + [0] * 15), bytes([1, 3] + [0] * 14), bytes([0, 2] + [0] * 14)):
+        with pytest.raises(jpg_reader.JpgError):
+            jpg_reader._lookup(counts, b"a" if counts[1] == 2 else b"abcdef")
+
+
+def test_planes_at_once_and_one_by_one(monkeypatch):
+    data = codec.encode_jpg(picture(37, 50), 80)
+    together = codec.decode(data)
+    monkeypatch.setattr(jpg_reader, "TOGETHER", 0)
+    assert (codec.decode(data) == together).all()
+
+
+@pytest.mark.parametrize("quality", [0, 1, 25, 50, 75, 95, 100])
+def test_images_of_one_colour_are_written_as_any_other(quality):
+    rng = np.random.default_rng(quality)
+    for size in ((1, 1), (8, 8), (9, 1), (3, 17), (17, 256), (64, 72)):
+        for channels in (3, 4):
+            for color in [[0] * channels, [255] * channels, *rng.integers(0, 256, (6, channels)).tolist()]:
+                flat = np.empty((*size, channels), np.uint8)
+                flat[:] = color
+                want = codec._any_jpg(flat, quality)
+                assert codec._flat_jpg(tuple(color), size[1], size[0], quality) == codec.encode_jpg(flat, quality) == want
+
+
+def test_opaque_layers_are_laid_as_by_their_alpha():
+    """Shining through is not reckoned where nothing does; the pixels are those of the sum."""
+    rng = np.random.default_rng(3)
+    for channels in (3, 4):
+        layer, canvas = rng.integers(0, 256, (7, 5, channels), dtype=np.uint8), rng.integers(0, 256, (6, 9, 4), dtype=np.uint8)
+        if channels == 4:
+            layer[:, :, 3] = 255
+        before = canvas.copy()
+        draw(canvas, layer, (0, 0, 5, 7), (2, -1, 10, 6))
+        for y in range(6):
+            for x in range(9):
+                inside = x >= 2 and y < 5
+                assert (canvas[y, x] == (with_alpha(layer)[(y + 1) * 7 // 6, (x - 2) * 5 // 10] if inside else before[y, x])).all()
+
+
+def test_jpgs_made_of_narrow_rows_are_dealt_over_all_cores(spark):
+    made = QUERIES["q41_jpg_pixels"](spark, "/root/testdata/sf0.001")
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
