@@ -197,12 +197,13 @@ def _placeholder_batch(requests: pd.DataFrame) -> pd.DataFrame:
 def placeholders(requests: DataFrame) -> DataFrame:
     """``requests`` (width, height, color, encoding; any of them null) with ``image``.
 
-    256 x 256 and JPG(50) by default; a packed colour fills the image, none leaves it black.
+    256 x 256 and JPG(50) by default; a packed colour fills the image, none leaves it black.  Requests are dealt
+    over all cores.
     """
     target = E.encode_target(F.col("encoding.kind"), F.col("encoding.quality"), F.lit("placeholder"))
     side = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(PLACEHOLDER_SIDE)).alias(c)
     ask = F.struct(side("width"), side("height"), F.col("color").cast("long").alias("color"), target["bytes_kind"].alias("kind"), F.coalesce(target["label_quality"], F.lit(DEFAULT_QUALITY)).alias("quality"))
-    made = requests.withColumn("_made", F.pandas_udf(_placeholder_batch, RESULT)(ask))
+    made = spread(requests).withColumn("_made", F.pandas_udf(_placeholder_batch, RESULT)(ask))
     image = F.struct(F.col("_made.bytes").alias("bytes"), E.encoding(target["label_kind"], target["label_quality"]).alias("encoding"), F.col("_made.width").alias("width"), F.col("_made.height").alias("height"))
     return made.withColumn("image", image).drop("_made")
 

@@ -247,6 +247,16 @@ def test_placeholder_defaults(spark):
     assert codec.decode_png(bytes(P.placeholders(red).first().image.bytes))[0, 0].tolist() == [255, 0, 0, 255]
 
 
+def test_placeholders_are_dealt_over_all_cores(spark):
+    """Requests are a few bytes each: all of a large table's lie in one task of its file."""
+    asked = spark.range(0, 400, 1, 1).select(
+        F.col("id"), (F.col("id") % 9 + 1).cast("int").alias("width"), F.lit(3).alias("height"), (F.col("id") * 40503).alias("color"), E.encoding(F.lit("jpg"), F.lit(75)).alias("encoding"))
+    made = P.placeholders(asked).select("id", F.col("image.width").alias("width"), F.spark_partition_id().alias("task"))
+    got = made.collect()
+    assert len({r.task for r in got}) >= spark.sparkContext.defaultParallelism
+    assert sorted((r.id, r.width) for r in got) == [(i, i % 9 + 1) for i in range(400)]
+
+
 def test_sources_by_kind(spark):
     rect = "image_id long, source struct<kind: string, camera: string, path: string, bytes: binary>"
     rows = [(1, ("memory", None, None, bytearray(b"m"))), (2, ("gallery", None, "f", None)), (3, ("camera", "rear", None, None))]
