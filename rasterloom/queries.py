@@ -288,7 +288,7 @@ def q24_placeholder(spark, sf_dir):
 def _png_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles as 8 x 8 PNG, red = green = blue = the value brought to a byte."""
     byte = F.transform("px", lambda v: F.least(F.greatest(F.floor(v * 128.0 + 128.0), F.lit(0)), F.lit(255)).cast("int"))
-    return _tiles(spark, sf_dir).select("vec_id", P.gray_png(byte).alias("bytes"))
+    return P.spread(_tiles(spark, sf_dir)).select("vec_id", P.gray_png(byte).alias("bytes"))
 
 
 _BYTES = f"(SELECT vec_id, list_transform(px, lambda v: least(greatest(floor(v * 128 + 128), 0), 255)::INTEGER) AS px FROM {_TILES})"

@@ -154,6 +154,7 @@ def test_opaque_layers_are_laid_as_by_their_alpha():
                 assert (canvas[y, x] == (with_alpha(layer)[(y + 1) * 7 // 6, (x - 2) * 5 // 10] if inside else before[y, x])).all()
 
 
-def test_jpgs_made_of_narrow_rows_are_dealt_over_all_cores(spark):
-    made = QUERIES["q41_jpg_pixels"](spark, "/root/testdata/sf0.001")
+@pytest.mark.parametrize("name", ["q41_jpg_pixels", "q30_resize_e2e"])
+def test_pictures_made_of_narrow_rows_are_dealt_over_all_cores(spark, name):
+    made = QUERIES[name](spark, "/root/testdata/sf0.001")
     assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
